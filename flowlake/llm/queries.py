@@ -43,11 +43,11 @@ QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op4_sharding, op8_
 
 ORACLE_SQL = {
     "op9_benchmark_decontamination": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(0, greatest(len(w) - 5, 0) + 1), i -> array_to_string(w[i + 1:i + 5], ' '))) AS s FROM b WHERE len(w) > 0),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(0, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM b WHERE len(w) > 0),
 n AS (SELECT item_id, width, count(*) AS n FROM bs GROUP BY item_id, width),
-ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(0, greatest(len(w) - width, 0) + 1), i -> array_to_string(w[i + 1:i + width], ' '))) AS s
+ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(0, greatest(len(w) - width, 0) + 1), lambda i: array_to_string(w[i + 1:i + width], ' '))) AS s
  FROM d, (SELECT DISTINCT width FROM bs) v WHERE len(w) > 0),
 m AS (SELECT doc_id, item_id, width, count(*) AS matched FROM ds JOIN bs USING (width, s) GROUP BY doc_id, item_id, width)
 SELECT doc_id, item_id, matched, n AS n_shingles, matched / n AS containment FROM m JOIN n USING (item_id, width) WHERE matched * 10 >= n * 8

@@ -30,8 +30,8 @@ def size_of(text: Column) -> Column:
 def order_key(text: Column, doc_id: Column) -> Column:
     """126 bits: 62 of the text's hash, then doc_id."""
     high = F.shiftrightunsigned(F.xxhash64(text), 2).cast(DecimalType(20, 0))
-    low = F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).cast(DecimalType(20, 0)) + F.lit(2**63).cast(DecimalType(20, 0))
-    return (high * F.lit(_TWO64).cast(DecimalType(20, 0)) + low).cast(_KEY)
+    low = F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).cast(DecimalType(20, 0)) + F.lit(str(2**63)).cast(DecimalType(20, 0))
+    return (high * F.lit(str(_TWO64)).cast(DecimalType(20, 0)) + low).cast(_KEY)
 
 
 def _number(n: int) -> Column:
