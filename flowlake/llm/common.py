@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlake.plans.lineage import cut
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
@@ -25,8 +27,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return cut(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlake.llm import decontam, fingerprint, packing, records, sharding
+from flowlake.llm import decontam, fingerprint, langid, ngram_join, packing, quality, records, sharding, toxicity, url_filter
 from flowlake.llm.common import table
-from pyspark.sql import functions as F
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -27,6 +35,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read(spark, table(spark, sf_dir, "documents"))
 
@@ -39,7 +59,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op4_sharding, op8_token_records, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_document_fingerprints,
+        op3_toxicity,
+        op4_sharding,
+        op5_url_filters,
+        op6_language_id,
+        op7_quality_classifier,
+        op8_token_records,
+        op9_benchmark_decontamination,
+        op10_best_fit_packing,
+    )
+}
 
 ORACLE_SQL = {
     "op9_benchmark_decontamination": r"""
@@ -51,5 +85,16 @@ ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(0, greatest(le
  FROM d, (SELECT DISTINCT width FROM bs) v WHERE len(w) > 0),
 m AS (SELECT doc_id, item_id, width, count(*) AS matched FROM ds JOIN bs USING (width, s) GROUP BY doc_id, item_id, width)
 SELECT doc_id, item_id, matched, n AS n_shingles, matched / n AS containment FROM m JOIN n USING (item_id, width) WHERE matched * 10 >= n * 8
+""",
+    "op5_url_filters": r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT *, CASE
+ WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+ WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+ WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+ WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+ WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """,
 }
