@@ -76,7 +76,7 @@ class Words:
         out = np.zeros(len(at), dtype=np.uint64)
         for j in range(n):
             inside = left > j
-            out += np.where(inside, mix(h[np.where(inside, at + j, 0)] + np.uint64(j + 1) * _ODD), np.uint64(0)) if len(h) else 0
+            out += np.where(inside, mix(h[np.where(inside, at + j, 0)] + np.uint64((j + 1) * int(_ODD) % 2**64)), np.uint64(0)) if len(h) else 0
         return Words(mix(out + left.astype(np.uint64)), bounds)
 
     def of(self, i: int) -> np.ndarray:
