@@ -25,8 +25,8 @@ BITS = 18
 #: At most about so many labelled documents are trained on, in shards of at least SHARD_ROWS.
 TRAINING_ROWS = 8_000
 SHARD_ROWS, SHARDS = 1_000, 4
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 10.0, 1.0, 0.0005, 0.01
 THRESHOLD = 0.3
 
 
@@ -63,9 +63,9 @@ class Ftrl:
         w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
         return np.where(np.abs(z) <= L1, 0.0, w)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
         w, x = self.weights(at), values(at)
-        g = (sigmoid(w @ x) - label) * x
+        g = weight * (sigmoid(w @ x) - label) * x
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA * w
         self.n[at] += g * g
 
@@ -87,9 +87,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> np.
         part = part.assign(order=[hash((int(d) * 0x9E3779B97F4A7C15) % 2**61) for d in part["doc_id"]]).sort_values(["order", "doc_id", "label"])
         model = Ftrl()
         rows = [(np.frombuffer(p, dtype="<i4").astype(np.int64), int(y)) for p, y in zip(part["places"], part["label"])]
+        ones = sum(label for _, label in rows)
+        # the rarer label counts more, by the root of the ratio
+        ratio = np.sqrt(np.clip(ones / max(1, len(rows) - ones), 1 / 16, 16))
+        weight = (max(1.0, ratio), max(1.0, 1 / ratio))
         for _ in range(EPOCHS):
             for at, label in rows:
-                model.learn(at, label)
+                model.learn(at, label, weight[label])
         w = model.weights(np.arange(2**BITS))
         used = np.flatnonzero(w)
         return pd.DataFrame({"place": used, "w": w[used]})

@@ -27,8 +27,8 @@ from flowlake.llm.training import fold, labelled_sample
 #: At most about so many labelled documents teach the lexicon.
 TRAINING_ROWS = 10_000
 THRESHOLD = 0.3
-#: Different contexts in toxic documents that a word needs, and a word beginning of 4 to 6 bytes.
-WORD_CONTEXTS, STEM_CONTEXTS = 6, 12
+#: Different contexts in toxic documents that a word or a word beginning of 4 to 6 bytes needs, and different documents.
+CONTEXTS, CONTEXT_DOCS = 6, 3
 STEMS = (4, 5, 6)
 
 OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, DIRECTED, SOFTENED, DIRECT_THREAT = range(10)
@@ -148,9 +148,10 @@ def learn(sample: DataFrame) -> Lexicon:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = units(b.column(0).to_pylist())
+            u = units(b.column(1).to_pylist())
             if len(u.word) == 0:
                 continue
+            docs = b.column(0).to_numpy(zero_copy_only=False)[u.doc]
             before = np.concatenate([[0], u.word[:-1]]).astype(np.uint64)
             behind = np.concatenate([u.word[1:], [0]]).astype(np.uint64)
             around = mix(before * np.uint64(3) + mix(behind))
@@ -158,11 +159,13 @@ def learn(sample: DataFrame) -> Lexicon:
             kinds = np.repeat(np.array([0, *STEMS], dtype=np.int32), len(u.word))
             places = np.tile(around, 1 + len(STEMS))
             keep = hashes != 0
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(kinds[keep]), pa.array(places[keep].view(np.int64))], names=["h", "kind", "around"])
+            columns = [hashes[keep].view(np.int64), kinds[keep], places[keep].view(np.int64), np.tile(docs, 1 + len(STEMS))[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "kind", "around", "doc"])
 
-    toxic = sample.where("label = 1").select("text").mapInArrow(contexts, "h long, kind int, around long")
-    diverse = toxic.distinct().groupBy("h", "kind").agg(F.count("*").alias("n"))
-    diverse = diverse.where(F.col("n") >= F.when(F.col("kind") == 0, WORD_CONTEXTS).otherwise(STEM_CONTEXTS))
+    toxic = sample.where("label = 1").select("doc_id", "text").mapInArrow(contexts, "h long, kind int, around long, doc long")
+    once = toxic.groupBy("h", "kind", "around").agg(F.min("doc").alias("doc"))  # a copied passage has one context, in one document
+    diverse = once.groupBy("h", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+    diverse = diverse.where((F.col("n") >= CONTEXTS) & (F.col("docs") >= CONTEXT_DOCS))
     known = {(r["h"], r["kind"]): r["n"] for r in diverse.collect()}
     wanted = np.sort(np.array([h for h, _ in known], dtype=np.int64))
 
