@@ -1,0 +1 @@
+"""Network-flow analytics on Spark."""
