@@ -77,27 +77,38 @@ def ip6_hex(ip: Column) -> Column:
     return F.when(ip.contains(":"), F.array_join(F.concat(head, gap, tail), ""))
 
 
-def in_cidr(ip: Column, cidr: str) -> Column:
-    """Whether a canonical address lies in a network; false for the other address family, null for a null address."""
+def _once(ip: Column, use) -> Column:
+    """``use(number, hex)`` with both forms of the address computed once a row."""
+    forms = F.array(F.struct(ip_number(ip).alias("n"), F.when(ip.contains(":"), ip6_hex(ip)).alias("h")))
+    return F.element_at(F.transform(forms, lambda x: use(x["n"], x["h"])), 1)
+
+
+def _within(number: Column, hexed: Column, cidr: str) -> Column:
     net = ipaddress.ip_network(cidr)
     if net.version == 4:
-        within = ip_number(ip).between(int(net.network_address), int(net.broadcast_address))
-    else:
-        whole, rest = divmod(net.prefixlen, 4)
-        digits = f"{int(net.network_address):032x}"
-        hexed = ip6_hex(ip)
-        within = F.left(hexed, F.lit(whole)) == digits[:whole] if whole else F.lit(True) & hexed.isNotNull()
-        if rest:
-            base = int(digits[whole], 16)
-            within = within & F.substring(hexed, whole + 1, 1).isin([f"{d:x}" for d in range(base, base + (1 << (4 - rest)))])
-    return F.when(ip.isNotNull(), F.coalesce(within, F.lit(False)))
+        return F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+    whole, rest = divmod(net.prefixlen, 4)
+    digits = f"{int(net.network_address):032x}"
+    within = hexed.startswith(digits[:whole])
+    if rest:
+        base = int(digits[whole], 16)
+        within = within & F.substring(hexed, whole + 1, 1).isin([f"{d:x}" for d in range(base, base + (1 << (4 - rest)))])
+    return F.coalesce(within, F.lit(False))
+
+
+def in_cidr(ip: Column, cidr: str) -> Column:
+    """Whether a canonical address lies in a network; false for the other address family, null for a null address."""
+    return in_cidrs(ip, [cidr])
 
 
 def in_cidrs(ip: Column, cidrs: list[str]) -> Column:
-    found = F.lit(False)
-    for c in cidrs:
-        found = found | in_cidr(ip, c)
-    return found
+    def any_of(number: Column, hexed: Column) -> Column:
+        found = F.lit(False)
+        for c in cidrs:
+            found = found | _within(number, hexed, c)
+        return found
+
+    return F.when(ip.isNotNull(), _once(ip, any_of))
 
 
 def is_local(ip: Column) -> Column:
@@ -112,7 +123,11 @@ def is_public(ip: Column, variant: str = "local") -> Column:
 
 def bogon_class(ip: Column) -> Column:
     """Class of a reserved address by the first range that holds it, else null."""
-    found = F.lit(None).cast("string")
-    for cidr, name in reversed(BOGONS):
-        found = F.when(in_cidr(ip, cidr), name).otherwise(found)
-    return found
+
+    def first(number: Column, hexed: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for cidr, name in reversed(BOGONS):
+            found = F.when(_within(number, hexed, cidr), name).otherwise(found)
+        return found
+
+    return _once(ip, first)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.flow import flow_end_us, flow_start_us, protocol_number, recv_us
-from flowlake.functions.ip import BOGONS, bogon_class, ip_number, is_local
+from flowlake.functions.ip import bogon_class, ip_number, is_local
 
 #: A dimension up to this many rows is sent to all tasks; a larger one is joined as Spark sees fit.
 BROADCAST_ROWS = 1_000_000
@@ -74,22 +74,32 @@ def cidr_join(addresses: DataFrame, ip_col: str, blocks: DataFrame) -> DataFrame
     return found.groupBy("ip").agg(F.min_by("block", F.struct("_width", "ip_lo")).alias("block"))
 
 
-def geo_lookup(flows: DataFrame, ip_col: str, blocks: DataFrame, home: tuple[float, float], out: str) -> DataFrame:
-    """Flows plus struct ``out`` (lat, lon, country, city, is_home): home for local addresses, else the block's
-    place, else null. Addresses are looked up once each, then joined back."""
+def places_of(addresses: DataFrame, ip_col: str, blocks: DataFrame, home: tuple[float, float]) -> DataFrame:
+    """Ip and struct ``place`` (lat, lon, country, city, is_home) of each distinct address that has one: home for
+    local addresses, else the block's place."""
     blocks = blocks.select("ip_lo", "ip_hi", *(F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("lat", "lon", "country", "city"))).dropna(subset=["lat", "lon"])
-    places = cidr_join(flows, ip_col, blocks).select(F.col("ip").alias(ip_col), F.col("block").alias("_block"))
+    named = addresses.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
+    rows = named.join(cidr_join(named, "ip", blocks), "ip", "left")
     point = lambda lat, lon, country, city, home_: F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), country.cast("string").alias("country"), city.cast("string").alias("city"), F.lit(home_).alias("is_home"))
     null = F.lit(None)
     here = point(F.lit(home[0]), F.lit(home[1]), null, null, True)
-    there = point(F.col("_block.lat"), F.col("_block.lon"), F.col("_block.country"), F.col("_block.city"), False)
-    located = flows.join(places, ip_col, "left")
-    return located.withColumn(out, F.when(is_local(F.col(ip_col)), here).when(F.col("_block").isNotNull(), there)).drop("_block").select(*flows.columns, out)
+    there = point(F.col("block.lat"), F.col("block.lon"), F.col("block.country"), F.col("block.city"), False)
+    return rows.select("ip", F.when(is_local(F.col("ip")), here).when(F.col("block").isNotNull(), there).alias("place")).where("place is not null")
+
+
+def geo_lookup(flows: DataFrame, ip_col: str, blocks: DataFrame, home: tuple[float, float], out: str) -> DataFrame:
+    """Flows plus the place of one address column; null where it has none. Addresses are looked up once each."""
+    places = places_of(flows, ip_col, blocks, home).select(F.col("ip").alias(ip_col), F.col("place").alias(out))
+    return flows.join(places, ip_col, "left").select(*flows.columns, out)
 
 
 def located(flows: DataFrame, blocks: DataFrame, home: tuple[float, float]) -> DataFrame:
-    """Flows with src_geo and dst_geo."""
-    return geo_lookup(geo_lookup(flows, "src_addr", blocks, home, "src_geo"), "dst_addr", blocks, home, "dst_geo")
+    """Flows with src_geo and dst_geo; the addresses of both ends are looked up together."""
+    ends = flows.select(F.explode(F.array("src_addr", "dst_addr")).alias("ip"))
+    places = places_of(ends, "ip", blocks, home)
+    side = lambda addr, out: places.select(F.col("ip").alias(addr), F.col("place").alias(out))
+    rows = flows.join(side("src_addr", "src_geo"), "src_addr", "left").join(side("dst_addr", "dst_geo"), "dst_addr", "left")
+    return rows.select(*flows.columns, "src_geo", "dst_geo")
 
 
 def with_bogon_class(df: DataFrame, ip_col: str, out: str = "class") -> DataFrame:
