@@ -1,7 +1,8 @@
 """8. Token-ID / binary output: length-delimited binary records with masked checksums and a separate offset index.
 
-A data file is a row of records: length (unsigned 64-bit, little-endian), masked crc32 of these 8 bytes (32-bit), the
-ids as unsigned 32-bit integers, masked crc32 of the ids' bytes. Its index file has 24 bytes a record: doc_id, byte
+A data file is a row of records: length of the data (unsigned 64-bit, little-endian), masked crc32 of these 8 bytes
+(32-bit), the data, masked crc32 of the data. The data are one byte, the bytes an id takes (2 or 4: 2 where all ids of
+the vocabulary are below 65536), and the ids as unsigned little-endian integers of that size. Its index file has 24 bytes a record: doc_id, byte
 offset of the record, number of ids. Readers that shuffle seek by the index; readers that stream need the data only.
 
 Cases: null text is an empty text (one record with the end id); empty table: no files, no rows; repeated rows: one
@@ -40,8 +41,8 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(ids: np.ndarray) -> bytes:
-    data = ids.astype("<u4").tobytes()
+def frame(ids: np.ndarray, width: int = 4) -> bytes:
+    data = bytes([width]) + ids.astype(f"<u{width}").tobytes()
     head = struct.pack("<Q", len(data))
     return b"".join((head, struct.pack("<I", masked_crc(head)), data, struct.pack("<I", masked_crc(data))))
 
@@ -55,13 +56,14 @@ def unframe(read) -> Iterator[np.ndarray]:
         tail = read(4)
         if len(tail) < 4 or struct.unpack("<I", tail)[0] != masked_crc(data):
             raise ValueError("a record's data are damaged")
-        yield np.frombuffer(data, dtype="<u4")
+        yield np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype("<u4")
 
 
 class _Writer:
     """Data and index file of one task attempt; names differ for each attempt, so a repeated task harms nothing."""
 
-    def __init__(self, folder: str, part: int, number: int):
+    def __init__(self, folder: str, part: int, number: int, width: int):
+        self.width = width
         self.files, path = fs.FileSystem.from_uri(folder)
         self.files.create_dir(path, recursive=True)
         self.part, self.number = part, number
@@ -71,7 +73,7 @@ class _Writer:
         self.bytes = self.tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        record = frame(ids)
+        record = frame(ids, self.width)
         self.index.append((NULL_ID if doc_id is None else doc_id, self.bytes, len(ids)))
         self.data.write(record)
         self.bytes += len(record)
@@ -91,13 +93,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, pa
         from pyspark import TaskContext
 
         part, number, writer, done = TaskContext.get().partitionId(), 0, None, []
-        encode, end = encoder(vocabulary).encode_many, np.array([end_id], dtype="<u4")
+        tokenizer, end = encoder(vocabulary), np.array([end_id], dtype="<u4")
+        encode, width = tokenizer.encode_many, 2 if max(tokenizer.size, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
                     if writer is None:
-                        writer, number = _Writer(folder, part, number), number + 1
+                        writer, number = _Writer(folder, part, number, width), number + 1
                     writer.add(doc_id, np.concatenate([ids, end]))
                     if writer.bytes >= FILE_BYTES:
                         done, writer = [*done, writer.close()], None

@@ -45,7 +45,8 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.size = max(vocabulary.values()) + 1  # ids are below this
+        self.closes = np.zeros(self.size, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
