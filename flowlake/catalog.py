@@ -5,6 +5,8 @@ Home is 192.168.0.0/16 at lat -45, lon -131; ``now`` is the time of the last flo
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -395,8 +397,9 @@ def geo_pass_state(spark, sf_dir):
     return ip_geo_of(spark, sf_dir).select("ip", "lat", "lon", "country", "obs_count", F.round("confidence", 6).alias("confidence"), "dirty", "first_seen", "last_seen")
 
 
-_HALF = _PLACES.replace("FROM m WHERE", "FROM mh WHERE").replace(", obs AS", ", mh AS (SELECT * FROM m WHERE flow_id < (SELECT max(flow_id) / 2 FROM flows)), obs AS", 1)
-_HALF_ONLY = _HALF[len(_MARKED) :].replace(" obs ", " obs0 ").replace(" pub", " pub0").replace("mode_", "mode0_").replace(" per ", " per0 ").replace(" pg ", " pg0 ").replace("FROM per)", "FROM per0)")
+_HALF = _PLACES.replace("FROM m WHERE", "FROM mh WHERE").replace(", obs AS", ", mh AS (SELECT * FROM m WHERE flow_id < (SELECT max(flow_id) / 200 FROM flows)), obs AS", 1)
+# the same steps over the first flows, under other names
+_HALF_ONLY = re.sub(r"\b(obs|pub|mode_lat|mode_lon|mode_country|per|pg)\b", r"\g<1>0", _HALF[len(_MARKED) :])
 
 
 @query(
@@ -405,18 +408,18 @@ _HALF_ONLY = _HALF[len(_MARKED) :].replace(" obs ", " obs0 ").replace(" pub", "
     "flows", "geo_blocks",
 )
 def geo_pass_decisions(spark, sf_dir):
-    """C1's audit, from the state that the first half of the flows left."""
+    """C1's audit, from the state that the first flows left."""
     flows = located_flows(spark, sf_dir)
-    half = flows.agg(F.max("flow_id")).first()[0] / 2
+    half = flows.agg(F.max("flow_id")).first()[0] / 200
     before = cut(passes.observed_geo_pass(flows.where(F.col("flow_id") < half), empty(spark, IP_GEO))[0])
     made = passes.observed_geo_pass(flows, before)[1]
     return made.select("ip", "reason", "old_lat", "old_lon", "new_lat", "new_lon", "obs_count", F.round("confidence", 6).alias("confidence"))
 
 
 _RELOCATE = _PLACES + f""", cand AS (SELECT ip, lat, lon, country FROM pg WHERE dirty AND ip IN (SELECT dst_ip FROM route_hops)),
-hop AS (SELECT c.ip, h.idx, h.lat AS hlat, h.lon AS hlon, h.ip AS hip, rtt_ms AS rtt, {_HAVERSINE.format("-45.0", "-131.0", "h.lat", "h.lon")} AS hdist FROM cand c JOIN route_hops h ON h.dst_ip = c.ip WHERE rtt_ms IS NOT NULL),
+hop AS (SELECT c.ip, h.idx, h.lat AS hlat, h.lon AS hlon, h.ip AS hip, rtt_ms AS rtt, {_HAVERSINE.format("(-45.0)", "(-131.0)", "h.lat", "h.lon")} AS hdist FROM cand c JOIN route_hops h ON h.dst_ip = c.ip WHERE rtt_ms IS NOT NULL),
 worst AS (SELECT ip, max(rtt) AS dst_rtt FROM hop GROUP BY ip),
-imp AS (SELECT c.*, dst_rtt FROM cand c JOIN worst USING (ip) WHERE {_HAVERSINE.format("-45.0", "-131.0", "c.lat", "c.lon")} > dst_rtt * 100),
+imp AS (SELECT c.*, dst_rtt FROM cand c JOIN worst USING (ip) WHERE {_HAVERSINE.format("(-45.0)", "(-131.0)", "c.lat", "c.lon")} > dst_rtt * 100),
 anchor AS (SELECT * FROM (SELECT hop.*, imp.dst_rtt, row_number() OVER (PARTITION BY ip ORDER BY idx DESC) AS rn FROM hop JOIN imp USING (ip) WHERE hdist <= rtt * 100 + 50) q WHERE rn = 1)
 """
 

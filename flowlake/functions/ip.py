@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Address ranges of the three private predicates and of the reserved classes, in order of precedence.
 LOCAL = "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 255.255.255.255/32 0.0.0.0/8 224.0.0.0/4 100.64.0.0/10 ::1/128 ::/128 ff00::/8 fc00::/7 fe80::/10".split()
@@ -42,7 +43,7 @@ BOGONS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_ip(text: pd.Series) -> pd.Series:
     """Canonical text of an address, null where it is none; needed once, where addresses enter."""
 
