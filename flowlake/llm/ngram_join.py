@@ -14,7 +14,8 @@ dropped, and the groups left are expanded to their members, which are filtered a
   of these are verified over whole texts. Where one fails, every pair between different components is verified instead.
 
 Cases: null and wordless texts have no shingles and stand alone; fewer than three words are one shingle; repeated rows
-and equal texts are one class; rows with a null doc_id get a null component unless linked to another; other columns are
+and equal texts are one class; a null doc_id is never a component's name, so rows
+with one get a null component unless linked to another; other columns are
 left behind; an empty table gives no rows.
 """
 
@@ -291,10 +292,10 @@ def link_components(docs: DataFrame) -> DataFrame:
         named = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
         more = checkpointed(verify(docs, likely_links(named, known=True)))
         labels = component_labels(checked.where("linked").unionByName(more.where("linked")))
+    back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     vertices = classes.select("d1", "d2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("label"))
-    lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min("_id").alias("low")).join(vertices, ["d1", "d2"])
+    lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(back("_id")).alias("low")).join(vertices, ["d1", "d2"])
     named = lowest.join(lowest.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("d1", "d2", "component_id")
     whole = sketched.where("n > 0").select("_id", "n", "d1", "d2").join(named, ["d1", "d2"]).select("_id", "n", "component_id")
-    alone = sketched.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return whole.unionByName(alone).select(back("_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
+    alone = sketched.where("n = 0").select("_id", "n", back("_id").alias("component_id"))
+    return whole.unionByName(alone).select(back("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

@@ -1,0 +1,389 @@
+"""The numbered operators against brute force, and on null, empty, long, tied and repeated rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowlake.llm import decontam, fingerprint, langid, ngram_join, packing, quality, records, sharding, tokens, toxicity, url_filter
+from flowlake.llm.hashing import words_of
+
+SCHEMA = "doc_id long, text string, lang string, shard string, score string, n string, v long, _key string, Part string"
+
+
+def word_list(seed, n, size=40):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(size)}" for _ in range(n)]
+
+
+def edge_rows():
+    long = " ".join(word_list(1, 30_000, 5000))
+    base = " ".join(word_list(2, 60, 500))
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one two"), (6, "ONE two"), (7, long), (8, long + " tail"), (9, base), (10, base), (10, base), (None, base + " x"), (11, "ünï çode 日本語 \U0001f600 end"), (12, base.replace("w1", "q1"))]
+    return [(i, t, "en", "s", "9", "n", 7, "k", "p") for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def near_docs(n, seed, width=60):
+    """Families of texts with a few changed words, so similarities lie around 0.9."""
+    rng = random.Random(seed)
+    docs = []
+    for f in range(6):
+        base = [f"f{f}_{rng.randrange(10**6)}" for _ in range(width)]
+        for _ in range(n // 6):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            docs.append(" ".join(words))
+    return list(enumerate(docs, 100))
+
+
+def shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+def brute_components(docs):
+    sets = [(i, shingles(t, 3)) for i, t in docs]
+    up = {i: i for i, _ in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            x, y = top(i), top(j)
+            up[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_ngram_join_equals_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = near_docs(90, 5) + near_docs(30, 6, 12) + [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "a b c"), (6, "a")]
+    docs = [(i + 1000 * k, t) for k, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df).collect()}
+    assert got == brute_components(docs)
+
+
+def test_ngram_join_edges(edge, none):
+    rows = ngram_join.link_components(edge).collect()
+    assert len(rows) == 14
+    by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert [by[i]["n_shingles"] for i in (1, 2, 3, 4, 5)] == [0, 0, 0, 1, 1]
+    assert by[6]["component_id"] == 5 and by[10]["component_id"] == 9 and by[8]["component_id"] == 7
+    assert ngram_join.link_components(none).count() == 0
+
+
+def test_ngram_hashes_follow_words():
+    grams = words_of([b"a b c d", b"", b"a b", b"x a b c"]).ngrams(3)
+    assert np.diff(grams.bounds).tolist() == [2, 0, 1, 2]
+    assert grams.of(0)[0] == grams.of(3)[1] and len(set(grams.hashes.tolist())) == 4
+
+
+def test_fingerprints(spark, edge, none):
+    docs = [(i, t) for i, t in near_docs(60, 9)] + [(500, None), (501, ""), (502, "short"), (503, "ab" * 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(df).collect()}
+    ids = sorted(rows)
+    text = {i: t or "" for i, t in docs}
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        half = len(text[a]) // 2
+        edited = text[a][: len(text[a]) - half] + text[b][:half]
+        assert rows[a]["n_chars"] == len(text[a])
+        assert rows[a]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        sa, sb, se = (shingles(t, 5) for t in (text[a], text[b], edited))
+        true = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert rows[a]["near_edited"] == pytest.approx(true(sa, se)) and rows[a]["near_next"] == pytest.approx(true(sa, sb))  # sketches this small are whole
+    assert fingerprint.fingerprint_edits(edge).count() == 14
+    one = fingerprint.fingerprint_edits(edge.where("doc_id = 11")).collect()
+    assert one[0]["near_next"] == 1.0
+    assert fingerprint.fingerprint_edits(none).count() == 0
+
+
+def test_sketches_estimate_and_merge(spark):
+    rng = random.Random(3)
+    words = [f"v{rng.randrange(10**9)}" for _ in range(6000)]
+    a, b = " ".join(words[:4000]), " ".join(words[2000:])
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
+    k = fingerprint.SKETCH_SIZE
+    r = row.select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("j"), fingerprint.containment(F.col("a"), F.col("b")).alias("c"), fingerprint.distinct_shingles(F.col("a")).alias("n")).first()
+    assert abs(r["j"] - 1 / 3) < 4 * (0.22 / k) ** 0.5 and abs(r["c"] - 0.5) < 0.25 and abs(r["n"] / 3996 - 1) < 4 / k**0.5
+    parts = row.select(F.lit(1).alias("key"), F.explode(F.array("a", "b")).alias("s"))
+    merged = fingerprint.merge_parts(parts, "key", "s").first()["s"]
+    both = row.select(fingerprint.merge(F.col("a"), F.col("b")).alias("m")).first()["m"]
+    assert merged == both
+
+
+def test_sharding_is_even_and_gapless(spark, edge, none):
+    hot = "same text " * 30
+    docs = [(i, hot if i % 3 == 0 else " ".join(word_list(i, 5 + i % 90))) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = sharding.shard(df, 10).select("shard", "slot", sharding.size_of(F.col("text")).alias("size")).collect()
+    total = sum(r["size"] for r in rows)
+    for s in range(10):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 10) <= max(r["size"] for r in rows)
+    out = sharding.shard(edge, 40)
+    assert out.count() == 14 and {"lang", "score", "_key"} <= set(out.columns)
+    assert sharding.shard(none, 40).count() == 0
+
+
+URLS = ["http://M.Example.org/es/1", "https://example.org/en/12?x", "https://example.org/en/2", "http://a.example.com/de/5#t", "ftp://b.com/fr/", "http://c.net/x", "nothing", None, "http://example.org", "://org/", "http://notexample.org/es/1", "x://y.org/a://b/c", ""]
+
+
+def brute_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fit)[1:]) if fit else (host, path, None, "allow")
+
+
+@pytest.mark.parametrize("limit", [url_filter.BROADCAST_BYTES, 0])
+def test_url_rules(spark, limit):
+    pages = [(i, u, "h") for i, u in enumerate(URLS * 2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, h1 string")
+    rows = url_filter.judge(df, broadcast_bytes=limit).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {i: brute_rule(u) for i, u, _ in pages}
+    assert all(r["listed"] == (r["verdict"] == "block") for r in rows)
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_cascade_is_exact():
+    rng = np.random.default_rng(4)
+    h1, h2 = rng.integers(0, 2**63, 20_000, dtype=np.uint64), rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    for share in (0.0, 0.001, 0.3, 0.9, 1.0):
+        listed = rng.random(20_000) < share
+        levels = [{"shard": 0, "level": k, "hashes": n, "size": m, "bits": b} for k, n, m, b in url_filter.build_cascade(h1, h2, listed)]
+        assert (url_filter.Cascades.of(levels, 1).has(np.zeros(20_000, dtype=np.int64), h1, h2) == listed).all()
+
+
+def labelled(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"w{rng.randrange(300)}" for _ in range(40)]
+        toxic, good = int(i % 5 == 0), int(i % 4 != 1)
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(40), rng.choice(["grobian", "grobling", "schuft"]))
+        if not good:
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, good, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_words_not_copies(spark, edge, none):
+    docs, labels = labelled(spark)
+    rows = toxicity.score_documents(spark, docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert rows and all(r["predicted"] == r["toxic"] for r in rows)
+    lexicon = toxicity.train(docs, labels)
+    scorer = toxicity.Scorer(lexicon)
+    plain, negated, directed, said = scorer.scores(["he is schuft", "he is not a schuft", "you are schuft", "they claimed he is schuft"])
+    assert directed > plain > 0.3 > negated and said < plain
+    assert scorer.scores([None, "", "...", "nothing here"]).tolist() == [0, 0, 0, 0]
+    assert toxicity.score(edge, lexicon).count() == 14 and toxicity.score(none, lexicon).count() == 0
+    empty = toxicity.train(docs, labels.limit(0))
+    assert len(empty.strong) == 0 and toxicity.score(docs, empty).where("predicted = 1").count() == 0
+
+
+def test_grammar_composes():
+    follow, weight = toxicity.grammar()
+    run = lambda s: sum(w for w, _ in _walk(follow, weight, s))
+    assert run([toxicity.INSULT]) == pytest.approx(1.2)
+    assert run([toxicity.NEGATION, toxicity.OTHER, toxicity.INSULT]) == pytest.approx(0.3)
+    assert run([toxicity.NEGATION] + [toxicity.OTHER] * 4 + [toxicity.INSULT]) == pytest.approx(1.2)
+    assert run([toxicity.TARGET, toxicity.THREAT]) == pytest.approx(1.0)
+
+
+def _walk(follow, weight, symbols):
+    state = 0
+    for s in symbols:
+        yield weight[state][s], state
+        state = follow[state][s]
+
+
+def test_language(spark, edge, none):
+    rng = random.Random(2)
+    en, de = "the and of that with from this are was".split(), "der die und ist nicht mit auf eine sich".split()
+    rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(30)), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "123 !!", "de"), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify_documents(docs).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, t, lang in rows[:200])
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[5]["held_out"] == (zlib.crc32(b"5") % 4 == 2)
+    profiles = langid.train(docs)
+    assert langid.identify(edge, profiles).count() == 14 and langid.identify(none, profiles).count() == 0
+    assert langid.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_ranking_equals_plain_counting():
+    codes, counts = langid.grams("Abba, ab!")
+    text = " abba ab "
+    plain = {}
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            g = text[i : i + n]
+            if g.strip():
+                key = 0
+                for c in g:
+                    key = key << 21 | ord(c)
+                plain[key] = plain.get(key, 0) + 1
+    assert dict(zip(codes.tolist(), counts.tolist())) == plain
+    assert langid.ranking(codes, counts, 5).tolist() == sorted(plain, key=lambda k: (-plain[k], k))[:5]
+
+
+def test_quality(spark, edge, none):
+    docs, labels = labelled(spark)
+    rows = quality.score_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert rows and sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
+    weights = quality.train(docs, labels)
+    assert quality.score(edge, weights).count() == 14 and quality.score(none, weights).count() == 0
+    blind = quality.train(docs, labels.limit(0))
+    assert {r["score"] for r in quality.score(docs, blind).select("score").distinct().collect()} == {0.5}
+
+
+ODD = ["don't It's Σ", "e\u0301 ½ ² a\x1cb", "<|endoftext|> x", "ab12 ... ÉCOLE ß", "a×b ÷", "日本語 text"]
+
+
+def library():
+    return tokens.encoder(tokens.vocabulary_path()).tokenizer
+
+
+def expected_ids(text, end):
+    return [*library().encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_cached_encoding_is_the_librarys():
+    texts = ODD + [r[1] for r in edge_rows()]
+    encoder = tokens.encoder(tokens.vocabulary_path())
+    for _ in range(2):
+        for t, ids in zip(texts, encoder.encode_many(texts)):
+            assert ids.tolist() == expected_ids(t, 0)[:-1]
+
+
+def test_records_round_trip(spark, edge, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "FILE_BYTES", 2000)
+    rows = records.encode_and_read(spark, edge).collect()
+    text = sorted(((i is not None, i or 0), t or "") for i, t, *_ in edge_rows())
+    start = 0
+    for r, (_, t) in zip(sorted(rows, key=lambda r: r["start"]), text):
+        ids = expected_ids(t, 2)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert records.encode_and_read(spark, none).count() == 0
+
+
+def test_damaged_records_are_noticed():
+    import io
+
+    good = records.frame(np.array([5, 70000, 7]), 4) + records.frame(np.array([1]), 2)
+    assert [r.tolist() for r in records.unframe(io.BytesIO(good).read)] == [[5, 70000, 7], [1]]
+    for at in (0, 9, 14, len(good) - 1):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            list(records.unframe(io.BytesIO(bytes(bad)).read))
+
+
+def brute_hits(docs, items):
+    norm = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for item, t in items:
+        w = norm(t)
+        n = min(5, len(w))
+        own = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+        for doc, text in docs:
+            d = norm(text)
+            have = {tuple(d[i : i + n]) for i in range(len(d) - n + 1)} or ({tuple(d)} if d and n == 5 else set())
+            if own and len(own & have) * 10 >= len(own) * 8:
+                out.add((doc, item, len(own & have), len(own)))
+    return out
+
+
+def test_decontamination(spark, edge, none):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"b{rng.randrange(2000)}" for _ in range(rng.choice([3, 6, 15, 40])))) for i in range(30)] + [(98, None), (99, "")]
+    docs = []
+    for i in range(60):
+        words = word_list(i, 300, 3000)
+        if i % 2:
+            part = items[i % 30][1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                part[rng.randrange(len(part))] = "changed"
+            at = rng.randrange(300)
+            words[at:at] = [w.upper() + "," for w in part]
+        docs.append((i, " ".join(words)))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["n_shingles"]) for r in decontam.contaminated(a, b).collect()}
+    assert got == brute_hits(docs, items) and got
+    assert decontam.contaminated(edge, b).count() == 0 and decontam.contaminated(none, b).count() == 0
+    assert decontam.contaminated(a, b.limit(0)).count() == 0
+
+
+def check_packing(rows, docs, capacity):
+    where = {}
+    for r in rows:
+        where.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in where.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(where)
+
+
+def test_packing(spark, edge, none):
+    rows = packing.pack_documents(spark, edge).collect()
+    n = check_packing(rows, edge, packing.CAPACITY)
+    total = sum(r["length"] for r in rows)
+    assert n <= -(-total // packing.CAPACITY) + 1
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    want = []
+    for i, t, *_ in edge_rows():
+        ids = expected_ids(t, 1)
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            piece = np.array(ids[s : s + 4096], dtype="<u4")
+            want.append(((i is not None, i or 0), k, s, len(piece), zlib.crc32(piece.tobytes())))
+    assert got == sorted(want)
+    assert packing.pack_documents(spark, none).count() == 0
+
+
+def test_packing_plans_use_every_piece_once():
+    rng = random.Random(1)
+    for capacity in (10, 64):
+        counts = {n: rng.randrange(50) for n in range(1, capacity + 1)}
+        patterns = packing.plan_patterns(counts, capacity)
+        used = {}
+        for lengths, times in patterns:
+            assert 0 < sum(lengths) <= capacity and times > 0
+            for n in lengths:
+                used[n] = used.get(n, 0) + times
+        assert used == {n: c for n, c in counts.items() if c}
+        total = sum(n * c for n, c in counts.items())
+        assert sum(t for _, t in patterns) <= -(-total // capacity) * 1.25 + 1
+    assert packing.plan_patterns({6: 2, 3: 2, 1: 2}, 10) == [((6, 3, 1), 2)]
