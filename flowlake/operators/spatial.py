@@ -19,14 +19,13 @@ def _cell(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
 
 
 def _spread(df: DataFrame, degrees: int) -> DataFrame:
-    """Rows in their cell and all cells within ``degrees``; near the poles in all cells of the rows they reach, since
-    there every longitude is near."""
+    """Rows in their cell and all cells within ``degrees`` of arc."""
     rows = _cell(df)
     dy = F.explode(F.sequence(F.col("cy") - degrees, F.col("cy") + degrees))
     rows = rows.withColumn("_y", dy).where("_y between -90 and 89")
-    edge = F.greatest(F.abs(F.col("_y")), F.abs(F.col("_y") + 1))
-    # a degree of longitude shrinks with the cosine of the latitude farthest from the equator
-    reach = F.when(edge >= 89, F.lit(180)).otherwise(F.least(F.lit(180), F.ceil(degrees / F.cos(F.radians(edge))) + 1)).cast("int")
+    # the widest longitude difference within an angle of a point; a pole within reach means all longitudes
+    widest = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(float(degrees)))) / F.cos(F.radians("lat")))))
+    reach = F.when(F.abs("lat") + degrees >= 89.999, F.lit(180)).otherwise(F.least(F.lit(180), F.ceil(widest) + 1)).cast("int")
     cells = F.when(reach >= 180, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.array_distinct(F.transform(F.sequence(F.col("cx").cast("int") - reach, F.col("cx").cast("int") + reach), lambda x: F.pmod(x + 180, F.lit(360)) - 180)))
     return rows.withColumn("_x", F.explode(cells)).drop("cx", "cy")
 
