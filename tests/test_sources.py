@@ -127,3 +127,12 @@ def test_partitioned_appends(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).count() == 6
     sinks.append_sni(flows.withColumnRenamed("recv_us", "ts_us"), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).select("recv_hour").distinct().count() == 1
+
+
+def test_seed_rules(spark):
+    from flowlake.sources.app_rules import APP_RULES, SEEDS, seed_app_rules
+
+    own = spark.createDataFrame([(SEEDS[0][0], "Mine", "own", 1.0, "manual")], APP_RULES)
+    rows = seed_app_rules(spark, own)
+    assert rows.count() == len({s[0] for s in SEEDS}) and rows.where("app = 'Mine'").count() == 1
+    assert seed_app_rules(spark).count() == rows.count()
