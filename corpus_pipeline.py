@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake.llm import decontam, langid, ngram_join, packing, toxicity
 from flowlake.llm.common import new_folder, table
+from flowlake.ship import shipped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest doc_id."""
+    """One document of each group of linked documents: the one with the smallest doc_id; rows of one doc_id stay or go
+    together, and rows without one stay."""
     linked = ngram_join.link_components(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(linked.distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -39,11 +41,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_languages),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("benchmark_decontamination", drop_benchmark_leaks),
-    ("best_fit_packing", pack),
+    ("toxicity", shipped(drop_toxic)),
+    ("language_id", shipped(keep_languages)),
+    ("ngram_jaccard_join", shipped(drop_near_copies)),
+    ("benchmark_decontamination", shipped(drop_benchmark_leaks)),
+    ("best_fit_packing", shipped(pack)),
 ]
 
 #: Learned stages and packing are beyond SQL; tests/llm compares each stage with a brute-force version.
