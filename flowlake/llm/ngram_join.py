@@ -24,9 +24,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from flowlake.llm.common import checkpointed
@@ -39,6 +41,8 @@ RARE, FREQUENT = 24, 1 << 18
 #: The share of a set in which frequent shingles are counted; more than a prefix, as prefixes then reach further.
 COUNTED = 0.16
 BITMAP_BITS = 1024
+#: Bits of the filter of ids whose texts are wanted: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
 BLOCK = 1024
 _NULL = -(2**63)
 
@@ -66,11 +70,25 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (mix(s + np.uint64(11)), mix(s ^ np.uint64(0x5851F42D4C957F2D))))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    odd = np.bincount((mix(s) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
+def bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+    odd = np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """At least two bits a shingle, so long sets are told apart too; a power of two, so halves fold onto each other."""
+    return bitmap(s, max(BITMAP_BITS, 1 << (2 * len(s) - 1).bit_length()))
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ once the wider is folded to the other's size."""
+    x, y = (np.frombuffer(m, dtype=np.uint8) for m in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     if len(table) == 0:
         return np.zeros(len(values), dtype=bool)
@@ -108,23 +126,23 @@ def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for s in shingle_sets(b.column(1).to_pylist()):
                 d = digest(s)
                 if len(s) == 0 or d in seen:
-                    rows.append((len(s), *d, None, None))
+                    rows.append((len(s), *d, None, None, None))
                     continue
                 seen.add(d)
                 late = _member(last, s)
                 order = np.concatenate([s[~late], s[late]])[: prefix_size(len(s))]
-                rows.append((len(s), *d, order.view(np.int64), bitmap(s)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                rows.append((len(s), *d, order.view(np.int64), bitmap(s), wide_bitmap(s)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["_id", "n", "d1", "d2", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["_id", "n", "d1", "d2", "prefix", "bitmap", "wide"])
 
-    return docs.mapInArrow(sketch, "_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary")
+    return docs.mapInArrow(sketch, "_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, wide binary")
 
 
 def grouped_classes(sketched: DataFrame) -> DataFrame:
     """One row a class: group, members of the group, whether it leads the group, size, prefix, bitmap and vertex v."""
     rows = sketched.where("prefix is not null").withColumn("group", F.xxhash64("n", "prefix"))
-    rows = rows.repartition("group").groupBy("group", "d1", "d2").agg(F.min("_id").alias("v"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    rows = rows.repartition("group").groupBy("group", "d1", "d2").agg(F.min("_id").alias("v"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     w = Window.partitionBy("group")
     return rows.withColumn("members", F.count("*").over(w)).withColumn("leads", F.row_number().over(w.orderBy("d1", "d2")) == 1)
 
@@ -132,11 +150,14 @@ def grouped_classes(sketched: DataFrame) -> DataFrame:
 def shared_lists(classes: DataFrame) -> DataFrame:
     """token, block pair (i, j), own block, n, v, d1, bitmap of all members of lists that can hold a link."""
     leaders = classes.where("leads")
-    posted = leaders.select("group", "members", F.posexplode("prefix").alias("place", "token"))
+    # a group of several members has a list of its own besides those of its prefix
+    own = F.when(F.col("members") > 1, F.array(F.xxhash64("group", F.lit("own")))).otherwise(F.array().cast("array<bigint>"))
+    posted = leaders.select("group", "members", F.posexplode(F.concat(own, "prefix")).alias("place", "token"))
     # how many groups and members a list has; counted in part before any list is dealt
-    counts = posted.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("all_members"), F.max("members").alias("largest"))
-    counts = counts.where("groups > 1 or largest > 1").withColumn("blocks", F.ceil(F.col("all_members") / BLOCK).cast("int"))
-    kept = posted.join(counts, "token").where("groups > 1 or place = 0").select("token", "group", "blocks")
+    alone = (F.col("place") == 0) & (F.col("members") > 1)
+    counts = posted.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("all_members"), F.max(alone).alias("own"))
+    counts = counts.where("groups > 1 or own").select("token", F.ceil(F.col("all_members") / BLOCK).cast("int").alias("blocks"))
+    kept = posted.select("token", "group").join(counts, "token").select("token", "group", "blocks")
     members = classes.select("group", "n", "v", "d1", "bitmap")
     rows = kept.join(members, "group").withColumn("own", F.pmod("d1", "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -217,7 +238,9 @@ def likely_links(lists: DataFrame, known: bool) -> DataFrame:
                 x, y, apart, limit = x[ok], y[ok], apart[ok], limit[ok]
                 swap = v[x] > v[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                likely = (limit <= 400) & (apart <= limit - 2 - limit // 16)
+                # the expected difference of the sets, from that of the bitmaps, with a margin of several deviations
+                half = BITMAP_BITS / 2
+                likely = (limit <= 400) & (-half * np.log1p(-np.minimum(apart, half - 1) / half) <= 0.88 * limit - 2)
                 order = np.argsort(~likely, kind="stable")
                 for p, q, sure in zip(x[order].tolist(), y[order].tolist(), likely[order].tolist()):
                     a, b = int(v[p]), int(v[q])
@@ -259,6 +282,48 @@ def likely_links(lists: DataFrame, known: bool) -> DataFrame:
     return found.groupBy("a", "b", "da", "db").agg(F.max("sure").alias("sure"))
 
 
+def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """docs, without most of those that no pair names: a Bloom filter of fixed size over the ids asked for. Where they
+    are too many for it, it lets more through, and the join that follows drops the rest."""
+    size = FILTER_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype=bool)
+        for b in batches:
+            for i in (0, 1):
+                bits[(mix(b.column(i).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
+        words = np.packbits(bits).view(np.uint64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["word", "bits"])
+
+    marks = pairs.select("a", "b").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, dtype=np.int64)
+    words[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    @F.pandas_udf(BooleanType())
+    def asked(ids: pd.Series) -> pd.Series:
+        at = (mix(ids.to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+        bits = np.unpackbits(shared.value.view(np.uint8))
+        return pd.Series(bits[at] == 1)
+
+    return docs.where(asked("_id"))
+
+
+def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs plus possible: whether the wide bitmaps of both sets leave a link open."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+            apart = np.array([bits_apart(x, y) for x, y in zip(b.column(7).to_pylist(), b.column(8).to_pylist())], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(apart <= most_different(na, nb))], names=["a", "b", "da", "db", "sure", "possible"])
+
+    side = lambda p: classes.select(F.col("v").alias(p), F.col("d1").alias(f"d{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
+    rows = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).select("a", "b", "da", "db", "sure", "na", "nb", "wa", "wb")
+    return rows.mapInArrow(check, "a long, b long, da long, db long, sure boolean, possible boolean")
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs plus linked: whether the whole texts of a and b link."""
 
@@ -274,6 +339,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     rows.append(None if not right else 19 * both >= 9 * (len(x) + len(y)))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(rows, pa.bool_())], names=["a", "b", "da", "db", "sure", "linked"])
 
+    docs = asked_for(docs, pairs)
     left = docs.select(F.col("_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("_id").alias("b"), F.col("text").alias("text_b"))
     texts = pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db", "sure", "text_a", "text_b")
@@ -286,12 +352,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     sketched = checkpointed(sketches(docs, frequent_shingles(docs)))
     classes = checkpointed(grouped_classes(sketched))
     lists = shared_lists(classes)
-    checked = checkpointed(verify(docs, likely_links(lists, known=False)))
-    labels = component_labels(checked.where("linked"))
-    if checked.where("sure and not linked").limit(1).count():
+    found = checkpointed(possible_pairs(likely_links(lists, known=False), classes))
+    checked = checkpointed(verify(docs, found.where("possible").drop("possible")))
+    links = checked.where("linked")
+    labels = component_labels(links)
+    failed = found.where("sure and not possible").select("a").unionByName(checked.where("sure and not linked").select("a"))
+    if failed.limit(1).count():
+        # a chain that broke: every pair that it stood for is looked at again, and no others
+        chains = component_labels(found.where("sure"))
+        broken = chains.join(failed.distinct(), chains["id"] == failed["a"], "left_semi").select("component").distinct()
+        again = chains.join(broken, "component", "left_semi").select(F.col("id").alias("v"))
+        lists = shared_lists(checkpointed(classes.join(again, "v", "left_semi").withColumn("leads", F.lit(True)).withColumn("members", F.lit(1))))
         named = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-        more = checkpointed(verify(docs, likely_links(named, known=True)))
-        labels = component_labels(checked.where("linked").unionByName(more.where("linked")))
+        more = checkpointed(possible_pairs(likely_links(named, known=True), classes)).where("possible").drop("possible")
+        labels = component_labels(links.unionByName(checkpointed(verify(docs, more)).where("linked")))
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     vertices = classes.select("d1", "d2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("label"))
     lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(back("_id")).alias("low")).join(vertices, ["d1", "d2"])
