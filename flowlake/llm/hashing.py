@@ -83,7 +83,7 @@ class Words:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
 
 
-def chunks(texts: list[bytes], most: int = 2_000_000):
+def chunks(texts: list[bytes], most: int = 500_000):
     """(first, last) of consecutive documents with about ``most`` bytes; a longer document stands alone."""
     first, held = 0, 0
     for i, t in enumerate(texts):

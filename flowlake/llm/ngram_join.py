@@ -37,12 +37,12 @@ from flowlake.plans.components import component_labels
 
 WIDTH = 3
 #: Shingles in more lists than this go last in the order; at most FREQUENT of them, the most frequent.
-RARE, FREQUENT = 24, 1 << 18
+RARE, FREQUENT = 4, 1 << 20
 #: The share of a set in which frequent shingles are counted; more than a prefix, as prefixes then reach further.
 COUNTED = 0.16
 BITMAP_BITS = 1024
-#: Bits of the filter of ids whose texts are wanted: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of ids whose texts are wanted: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 BLOCK = 1024
 _NULL = -(2**63)
 
@@ -65,6 +65,12 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
             yield np.unique(grams.of(i))
 
 
+def batch_sets(texts: pa.Array, slice_rows: int = 500) -> Iterator[np.ndarray]:
+    """The same for an Arrow column, a slice at a time."""
+    for at in range(0, len(texts), slice_rows):
+        yield from shingle_sets(texts.slice(at, slice_rows).to_pylist())
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (mix(s + np.uint64(11)), mix(s ^ np.uint64(0x5851F42D4C957F2D))))
@@ -102,7 +108,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out = []
-            for s in shingle_sets(b.column(1).to_pylist()):
+            for s in batch_sets(b.column(1)):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     out.append(s[: max(prefix_size(len(s)), int(len(s) * COUNTED))])
@@ -123,7 +129,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             rows = []
-            for s in shingle_sets(b.column(1).to_pylist()):
+            for s in batch_sets(b.column(1)):
                 d = digest(s)
                 if len(s) == 0 or d in seen:
                     rows.append((len(s), *d, None, None, None))
@@ -238,9 +244,8 @@ def likely_links(lists: DataFrame, known: bool) -> DataFrame:
                 x, y, apart, limit = x[ok], y[ok], apart[ok], limit[ok]
                 swap = v[x] > v[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                # the expected difference of the sets, from that of the bitmaps, with a margin of several deviations
-                half = BITMAP_BITS / 2
-                likely = (limit <= 400) & (-half * np.log1p(-np.minimum(apart, half - 1) / half) <= 0.88 * limit - 2)
+                # bitmaps differ in a little less than the sets do, so a link is likely only with a margin
+                likely = (limit <= 400) & (apart <= limit - 2 - limit // 16)
                 order = np.argsort(~likely, kind="stable")
                 for p, q, sure in zip(x[order].tolist(), y[order].tolist(), likely[order].tolist()):
                     a, b = int(v[p]), int(v[q])
@@ -304,8 +309,7 @@ def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     @F.pandas_udf(BooleanType())
     def asked(ids: pd.Series) -> pd.Series:
         at = (mix(ids.to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
-        bits = np.unpackbits(shared.value.view(np.uint8))
-        return pd.Series(bits[at] == 1)
+        return pd.Series((shared.value.view(np.uint8)[at // 8] >> (7 - at % 8).astype(np.uint8)) & 1 == 1)
 
     return docs.where(asked("_id"))
 
@@ -329,8 +333,8 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                b = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 200):
+                b = batch.slice(k, 200)
                 rows = []
                 for x, y, da, db in zip(shingle_sets(b.column(5).to_pylist()), shingle_sets(b.column(6).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
                     # a doc_id may stand in several rows: only the text that was looked up counts
