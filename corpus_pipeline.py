@@ -23,9 +23,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest doc_id; rows of one doc_id stay or go
-    together, and rows without one stay."""
-    linked = ngram_join.link_components(docs).where("component_id <> doc_id").select("doc_id")
+    """One document of each group of linked documents (five-word shingles 80 % the same): the one with the smallest
+    doc_id; rows of one doc_id stay or go together, and rows without one stay."""
+    linked = ngram_join.link_components(docs, width=5, similarity=0.8).where("component_id <> doc_id").select("doc_id")
     return docs.join(linked.distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

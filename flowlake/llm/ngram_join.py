@@ -1,7 +1,8 @@
 """1. N-gram Jaccard join by grouped prefixes.
 
-A document is the set of its three-word shingles. Documents with equal sets are one class. Of a set of n shingles in a
-global order, only the first n - ceil(0.9 n) + 1 (its prefix) need a partner's prefix in common. Classes with the same
+A document is the set of its shingles: three words in the numbered query, as many as ``width`` says elsewhere. Documents
+with equal sets are one class. Of a set of n shingles in a global order, only the first n - ceil(similarity x n) + 1 (its
+prefix) need a partner's prefix in common. Classes with the same
 prefix and size are one group; groups are looked up by prefix shingles, group pairs that differ too much in size are
 dropped, and the groups left are expanded to their members, which are filtered and verified.
 
@@ -13,7 +14,7 @@ dropped, and the groups left are expanded to their members, which are filtered a
 - Within a list, members that a chain of likely links joins are handed on by a spanning chain instead of all pairs. All
   of these are verified over whole texts. Where one fails, every pair between different components is verified instead.
 
-Cases: null and wordless texts have no shingles and stand alone; fewer than three words are one shingle; repeated rows
+Cases: null and wordless texts have no shingles and stand alone; fewer words than a shingle has are one shingle; repeated rows
 and equal texts are one class; a null doc_id is never a component's name, so rows
 with one get a null component unless linked to another; other columns are
 left behind; an empty table gives no rows.
@@ -35,11 +36,12 @@ from flowlake.llm.common import checkpointed
 from flowlake.llm.hashing import chunks, mix, words_of
 from flowlake.plans.components import component_labels
 
-WIDTH = 3
+#: The numbered query links documents whose sets of three-word shingles are 90 % the same.
+WIDTH, SIMILARITY = 3, 0.9
 #: Shingles in more lists than this go last in the order; at most FREQUENT of them, the most frequent.
 RARE, FREQUENT = 4, 1 << 20
-#: The share of a set in which frequent shingles are counted; more than a prefix, as prefixes then reach further.
-COUNTED = 0.16
+#: How many prefixes long the part of a set is in which frequent shingles are counted, as prefixes then reach further.
+COUNTED = 1.6
 BITMAP_BITS = 1024
 #: Bits of the filter of ids whose texts are wanted: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
@@ -47,16 +49,24 @@ BLOCK = 1024
 _NULL = -(2**63)
 
 
-def prefix_size(n: int) -> int:
-    return n - (9 * n + 9) // 10 + 1
+def percent_of(similarity: float) -> int:
+    """Similarities are whole per cents, so all bounds are whole numbers."""
+    percent = round(similarity * 100)
+    if not 0 < percent <= 100 or abs(percent - similarity * 100) > 1e-6:
+        raise ValueError(f"similarity must be a whole per cent above 0: {similarity}")
+    return percent
 
 
-def most_different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The largest symmetric difference of linked sets of sizes a and b: 100 x intersection >= 90 x union."""
-    return a + b - 2 * ((9 * (a + b) + 18) // 19)
+def prefix_size(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
 
-def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets of sizes a and b: 100 x intersection >= percent x union."""
+    return a + b - 2 * ((percent * (a + b) + 99 + percent) // (100 + percent))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """Ascending distinct shingle hashes of each text."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     for first, last in chunks(raw):
@@ -65,10 +75,10 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
             yield np.unique(grams.of(i))
 
 
-def batch_sets(texts: pa.Array, slice_rows: int = 500) -> Iterator[np.ndarray]:
+def batch_sets(texts: pa.Array, width: int, slice_rows: int = 500) -> Iterator[np.ndarray]:
     """The same for an Arrow column, a slice at a time."""
     for at in range(0, len(texts), slice_rows):
-        yield from shingle_sets(texts.slice(at, slice_rows).to_pylist())
+        yield from shingle_sets(texts.slice(at, slice_rows).to_pylist(), width)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -101,17 +111,17 @@ def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
     """Ascending hashes of the most frequent shingles among the first of each document's set."""
 
     def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out = []
-            for s in batch_sets(b.column(1)):
+            for s in batch_sets(b.column(1), width):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
-                    out.append(s[: max(prefix_size(len(s)), int(len(s) * COUNTED))])
+                    out.append(s[: max(prefix_size(len(s), percent), int(len(s) * COUNTED * (100 - percent) / 100))])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["h"])
 
@@ -120,7 +130,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
     """_id, n, d1, d2 of every document; prefix and bitmap too of the first document of a class in each partition."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -129,14 +139,14 @@ def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             rows = []
-            for s in batch_sets(b.column(1)):
+            for s in batch_sets(b.column(1), width):
                 d = digest(s)
                 if len(s) == 0 or d in seen:
                     rows.append((len(s), *d, None, None, None))
                     continue
                 seen.add(d)
                 late = _member(last, s)
-                order = np.concatenate([s[~late], s[late]])[: prefix_size(len(s))]
+                order = np.concatenate([s[~late], s[late]])[: prefix_size(len(s), percent)]
                 rows.append((len(s), *d, order.view(np.int64), bitmap(s), wide_bitmap(s)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
@@ -189,7 +199,7 @@ class _Forest:
         return a != b
 
 
-def _list_pairs(key, own, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _list_pairs(key, own, n, bits, percent) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of the same list that sizes and bitmaps leave; rows are sorted by key, then n."""
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
     sizes = np.diff(np.append(starts, len(key)))
@@ -197,9 +207,9 @@ def _list_pairs(key, own, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     within = key[:, 1] != key[:, 2]  # a pair of different blocks: only pairs across them
 
     def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ok = (9 * n[y] <= 10 * n[x]) & ((own[x] != own[y]) | ~within[x])
+        ok = (percent * n[y] <= 100 * n[x]) & ((own[x] != own[y]) | ~within[x])
         x, y = x[ok], y[ok]
-        limit = most_different(n[x], n[y])
+        limit = most_different(n[x], n[y], percent)
         apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
         ok = apart <= limit
         return x[ok], y[ok], apart[ok], limit[ok]
@@ -216,13 +226,13 @@ def _list_pairs(key, own, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k in np.flatnonzero(~small).tolist():
         first, last = starts[k], starts[k] + sizes[k]
         for x in range(first, last - 1):
-            reach = first + np.searchsorted(n[first:last], n[x] * 10 // 9, side="right")
+            reach = first + np.searchsorted(n[first:last], n[x] * 100 // percent, side="right")
             if reach > x + 1:
                 y = np.arange(x + 1, reach)
                 yield keep(np.full(len(y), x), y)
 
 
-def likely_links(lists: DataFrame, known: bool) -> DataFrame:
+def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
     """a, b, da, db, sure: pairs to verify. Without ``known`` components: a spanning chain over likely links (sure) and
     all other pairs the filters leave between different chains. With them: all pairs left between components."""
     columns = ["token", "i", "j", "own", "n", "v", "d1", "bitmap"] + (["component"] if known else [])
@@ -237,7 +247,7 @@ def likely_links(lists: DataFrame, known: bool) -> DataFrame:
             bits = np.frombuffer(b"".join(t["bitmap"].to_pylist()), dtype=np.uint64).reshape(len(v), -1)
             group = t["component"].to_numpy().astype(np.int64) if known else None
             out = []
-            for x, y, apart, limit in _list_pairs(key, own, n, bits):
+            for x, y, apart, limit in _list_pairs(key, own, n, bits, percent):
                 ok = v[x] != v[y]
                 if known:
                     ok &= group[x] != group[y]
@@ -314,21 +324,21 @@ def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.where(asked("_id"))
 
 
-def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs plus possible: whether the wide bitmaps of both sets leave a link open."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
             apart = np.array([bits_apart(x, y) for x, y in zip(b.column(7).to_pylist(), b.column(8).to_pylist())], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(apart <= most_different(na, nb))], names=["a", "b", "da", "db", "sure", "possible"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(apart <= most_different(na, nb, percent))], names=["a", "b", "da", "db", "sure", "possible"])
 
     side = lambda p: classes.select(F.col("v").alias(p), F.col("d1").alias(f"d{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
     rows = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).select("a", "b", "da", "db", "sure", "na", "nb", "wa", "wb")
     return rows.mapInArrow(check, "a long, b long, da long, db long, sure boolean, possible boolean")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs plus linked: whether the whole texts of a and b link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,11 +346,11 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 200):
                 b = batch.slice(k, 200)
                 rows = []
-                for x, y, da, db in zip(shingle_sets(b.column(5).to_pylist()), shingle_sets(b.column(6).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                for x, y, da, db in zip(shingle_sets(b.column(5).to_pylist(), width), shingle_sets(b.column(6).to_pylist(), width), b.column(2).to_pylist(), b.column(3).to_pylist()):
                     # a doc_id may stand in several rows: only the text that was looked up counts
                     right = digest(x)[0] == da and digest(y)[0] == db
                     both = len(np.intersect1d(x, y, assume_unique=True)) if right else 0
-                    rows.append(None if not right else 19 * both >= 9 * (len(x) + len(y)))
+                    rows.append(None if not right else (100 + percent) * both >= percent * (len(x) + len(y)))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(rows, pa.bool_())], names=["a", "b", "da", "db", "sure", "linked"])
 
     docs = asked_for(docs, pairs)
@@ -350,14 +360,16 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.mapInArrow(check, "a long, b long, da long, db long, sure boolean, linked boolean").where("linked is not null").dropDuplicates(["a", "b", "da", "db"])
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of docs(doc_id, text)."""
+def link_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs(doc_id, text): linked are sets of ``width``-word shingles whose Jaccard
+    similarity is at least ``similarity``."""
+    percent = percent_of(similarity)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("_id"), F.col("text").cast("string").alias("text"))
-    sketched = checkpointed(sketches(docs, frequent_shingles(docs)))
+    sketched = checkpointed(sketches(docs, frequent_shingles(docs, width, percent), width, percent))
     classes = checkpointed(grouped_classes(sketched))
     lists = shared_lists(classes)
-    found = checkpointed(possible_pairs(likely_links(lists, known=False), classes))
-    checked = checkpointed(verify(docs, found.where("possible").drop("possible")))
+    found = checkpointed(possible_pairs(likely_links(lists, False, percent), classes, percent))
+    checked = checkpointed(verify(docs, found.where("possible").drop("possible"), width, percent))
     links = checked.where("linked")
     labels = component_labels(links)
     failed = found.where("sure and not possible").select("a").unionByName(checked.where("sure and not linked").select("a"))
@@ -368,8 +380,8 @@ def link_components(docs: DataFrame) -> DataFrame:
         again = chains.join(broken, "component", "left_semi").select(F.col("id").alias("v"))
         lists = shared_lists(checkpointed(classes.join(again, "v", "left_semi").withColumn("leads", F.lit(True)).withColumn("members", F.lit(1))))
         named = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-        more = checkpointed(possible_pairs(likely_links(named, known=True), classes)).where("possible").drop("possible")
-        labels = component_labels(links.unionByName(checkpointed(verify(docs, more)).where("linked")))
+        more = checkpointed(possible_pairs(likely_links(named, True, percent), classes, percent)).where("possible").drop("possible")
+        labels = component_labels(links.unionByName(checkpointed(verify(docs, more, width, percent)).where("linked")))
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     vertices = classes.select("d1", "d2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("label"))
     lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(back("_id")).alias("low")).join(vertices, ["d1", "d2"])

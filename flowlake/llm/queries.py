@@ -10,7 +10,7 @@ from flowlake.llm.common import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), width=3, similarity=0.9)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Every pipeline stage against a brute-force version on a small fixture."""
 
+import itertools
 import random
 
 import pytest
 
 import corpus_pipeline
-from flowlake.llm import packing
-from test_operators import brute_components, brute_hits, check_packing, labelled, near_docs
+from flowlake.llm import ngram_join, packing
+from test_operators import brute_components, brute_hits, check_packing, labelled, near_docs, shingles
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,50 @@ def test_run_gives_the_last_stage(spark, tables):
     folder, _, _ = tables
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def brute_near_copies(docs, width=5, percent=80):
+    """doc_ids that stay: all but those that a chain of near copies links to a smaller one."""
+    sets = [(i, shingles(t, width)) for i, t in docs]
+    up = {i: i for i, _ in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = top(i), top(j)
+            up[max(x, y)] = min(x, y)
+    return {i for i in up if top(i) == i}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_copies_are_of_five_words_and_eight_tenths(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    texts = [None, "", "a b c d", "A b c d", "a b c d e"]
+    for f in range(8):
+        base = [f"b{f}_{k}" for k in range(200)]
+        texts.append(" ".join(base))
+        for changed in (3, 4, 5, 6):
+            words = list(base)
+            for at in rng.sample(range(5, 195, 10), changed):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        for tail in (20, 24, 30, 48, 52):
+            texts.append(" ".join(base + [f"t{f}_{tail}_{k}" for k in range(tail)]))
+    docs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == brute_near_copies(docs)
+    assert kept < brute_near_copies(docs, 3, 90)
+
+
+def test_bounds_hold_for_every_similarity():
+    for percent in (50, 80, 90, 100):
+        for a in range(1, 40):
+            for b in range(a, 40):
+                fit = [a + b - 2 * both for both in range(a + 1) if 100 * both >= percent * (a + b - both)]
+                assert ngram_join.most_different(a, b, percent) >= max(fit, default=-1) and (not fit or ngram_join.most_different(a, b, percent) == max(fit))
