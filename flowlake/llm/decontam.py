@@ -8,8 +8,9 @@ it can match, so documents of any length give up most of their shingles before t
 exact shingle containment, so no containing pair is missed and none is wrong.
 
 Cases: null and empty texts match nothing; items without words match nothing; items of fewer than five words are one
-shingle of their own width; rows of one item_id are one item; repeated document rows give one result a doc_id and item.
-Empty tables give no rows.
+shingle of their own width; rows of one item_id are one item and rows of one doc_id one document, as in the SQL; rows
+without an id are told apart by their texts, each text an item or document of its own with a null id in the result.
+Repeated document rows give one result a doc_id and item. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,18 +33,32 @@ def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def keys(name: str) -> tuple[Column, Column]:
+    """What names a row wherever ids may be null: the id, or a hash of the text where there is none; and whether so."""
+    own = F.col(name).cast("long")
+    return F.coalesce(own, F.xxhash64("text")), own.isNull()
+
+
+def keyed(rows: DataFrame, name: str, flag: str) -> DataFrame:
+    key, missing = keys(name)
+    return rows.select(key.alias(name), missing.alias(flag), "text")
+
+
+DOC, ITEM = ["doc_id", "no_doc_id"], ["item_id", "no_item_id"]
+
+
 def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, n (distinct shingles of the item), h, rank of h among the item's hashes."""
-    words = benchmark.select("item_id", letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """item_id, no_item_id, width, n (distinct shingles of the item), h, rank of h among the item's hashes."""
+    words = benchmark.select(*ITEM, letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(WIDTH))
     per_width = F.lit(None).cast("array<bigint>")
     for n in range(1, WIDTH + 1):
         per_width = F.when(width == n, shingle_hashes(F.col("w"), n)).otherwise(per_width)
-    rows = words.select("item_id", width.alias("width"), per_width.alias("h"))
-    rows = rows.select("item_id", "width", F.size("h").alias("n"), F.explode("h").alias("h")).dropDuplicates(["item_id", "width", "h"])
-    n = F.count("*").over(Window.partitionBy("item_id", "width"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "width").orderBy("h"))
-    return rows.select("item_id", "width", n.alias("n"), "h", rank.alias("rank"))
+    rows = words.select(*ITEM, width.alias("width"), per_width.alias("h"))
+    rows = rows.select(*ITEM, "width", F.explode("h").alias("h")).dropDuplicates([*ITEM, "width", "h"])
+    n = F.count("*").over(Window.partitionBy(*ITEM, "width"))
+    rank = F.row_number().over(Window.partitionBy(*ITEM, "width").orderBy("h"))
+    return rows.select(*ITEM, "width", n.alias("n"), "h", rank.alias("rank"))
 
 
 def needed(n: Column) -> Column:
@@ -55,13 +70,28 @@ def document_hashes(docs: DataFrame, width: int, limit: int | None = None) -> Da
     h = shingle_hashes(F.col("w"), width)
     if limit is not None:
         h = F.filter(h, lambda x: x <= F.lit(limit))
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), letter_words(F.col("text")).alias("w"))
-    return words.select("doc_id", F.explode(h).alias("h"))
+    words = docs.select(*DOC, letter_words(F.col("text")).alias("w"))
+    return words.select(*DOC, F.explode(h).alias("h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, n_shingles, containment of every pair with containment of at least SHARE."""
-    items = checkpointed(item_shingles(benchmark))
+    found = containing(docs, benchmark)
+    shown = lambda name: F.when(~F.col(f"no_{name}"), F.col(name)).alias(name)
+    return found.select(shown("doc_id"), shown("item_id"), "matched", "n_shingles", "containment")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that contain an item, rows without a doc_id included."""
+    found = containing(docs, benchmark).select(F.col("doc_id").alias("_found"), F.col("no_doc_id").alias("_found_no")).distinct()
+    key, missing = keys("doc_id")
+    return docs.join(found, (key == F.col("_found")) & (missing == F.col("_found_no")), "left_anti")
+
+
+def containing(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What contaminated() gives, by the keys DOC and ITEM."""
+    docs = keyed(docs, *DOC)
+    items = checkpointed(item_shingles(keyed(benchmark, *ITEM)))
     sketches = items.where(F.col("rank") <= F.col("n") - needed(F.col("n")) + 1).withColumn("part", F.floor(F.log2("n")))
     limits = sketches.groupBy("width", "part").agg(F.max("h").alias("limit"), F.count("*").alias("rows")).collect()  # a row for each power of two
     found = None
@@ -70,28 +100,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = [r for r in limits if r["width"] == width]
         rows = sum(r["rows"] for r in own)
         hashes = document_hashes(docs, width, max(r["limit"] for r in own))
-        probe = _small(sketches.where(F.col("width") == width).select("item_id", "h"), rows, BROADCAST_ROWS)
-        pairs = hashes.join(probe, "h").select("doc_id", "item_id", F.lit(width).alias("width"))
+        probe = _small(sketches.where(F.col("width") == width).select(*ITEM, "h"), rows, BROADCAST_ROWS)
+        pairs = hashes.join(probe, "h").select(*DOC, *ITEM, F.lit(width).alias("width"))
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
-        found = items.select(F.lit(None).cast("long").alias("doc_id"), "item_id", "width").limit(0)
+        found = items.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("no_doc_id"), *ITEM, "width").limit(0)
     candidates = checkpointed(found.distinct())
     return verify(docs, items, candidates, widths)
 
 
 def verify(docs: DataFrame, items: DataFrame, candidates: DataFrame, widths: list[int]) -> DataFrame:
-    """Exact shingle containment of candidates(doc_id, item_id, width)."""
-    ids = candidates.select("doc_id", "width").distinct()
+    """Exact shingle containment of candidates(DOC, ITEM, width)."""
+    ids = candidates.select(*DOC, "width").distinct()
     n_ids, n_items = ids.count(), items.count()
     checked = None
     for width in widths or [WIDTH]:
-        these = ids.where(F.col("width") == width).select("doc_id")
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(these, n_ids, CANDIDATE_BROADCAST_ROWS), "doc_id", "left_semi")
+        these = ids.where(F.col("width") == width).select(*DOC)
+        own = docs.join(_small(these, n_ids, CANDIDATE_BROADCAST_ROWS), DOC, "left_semi")
         hashes = document_hashes(own, width)
-        shingles = _small(items.where(F.col("width") == width).select("item_id", "n", "h"), n_items, BROADCAST_ROWS)
+        shingles = _small(items.where(F.col("width") == width).select(*ITEM, "n", "h"), n_items, BROADCAST_ROWS)
         hits = hashes.join(shingles, "h").distinct()
-        counts = hits.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("matched")).withColumn("width", F.lit(width))
+        counts = hits.groupBy(*DOC, *ITEM, "n").agg(F.count("*").alias("matched")).withColumn("width", F.lit(width))
         checked = counts if checked is None else checked.unionByName(counts)
-    whole = checked.join(candidates, ["doc_id", "item_id", "width"], "left_semi")
+    whole = checked.join(candidates, [*DOC, *ITEM, "width"], "left_semi")
     kept = whole.where(F.col("matched") >= needed(F.col("n")))
-    return kept.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("n").cast("long").alias("n_shingles"), (F.col("matched") / F.col("n")).alias("containment"))
+    return kept.select(*DOC, *ITEM, F.col("matched").cast("long"), F.col("n").cast("long").alias("n_shingles"), (F.col("matched") / F.col("n")).alias("containment"))

@@ -15,9 +15,9 @@ dropped, and the groups left are expanded to their members, which are filtered a
   of these are verified over whole texts. Where one fails, every pair between different components is verified instead.
 
 Cases: null and wordless texts have no shingles and stand alone; fewer words than a shingle has are one shingle; repeated rows
-and equal texts are one class; a null doc_id is never a component's name, so rows
-with one get a null component unless linked to another; other columns are
-left behind; an empty table gives no rows.
+and equal texts are one class; rows of one doc_id, or without one, are linked by their own texts only, as classes and not
+ids are the vertices; a component is named by its lowest doc_id, so rows without one get a null component unless linked to
+another; other columns are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +46,6 @@ BITMAP_BITS = 1024
 #: Bits of the filter of ids whose texts are wanted: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 BLOCK = 1024
-_NULL = -(2**63)
 
 
 def percent_of(similarity: float) -> int:
@@ -118,7 +117,7 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out = []
-            for s in batch_sets(b.column(1), width):
+            for s in batch_sets(b.column(2), width):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     out.append(s[: max(prefix_size(len(s), percent), int(len(s) * COUNTED * (100 - percent) / 100))])
@@ -131,7 +130,7 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """_id, n, d1, d2 of every document; prefix and bitmap too of the first document of a class in each partition."""
+    """doc_id, row, n, d1, d2 of every document; prefix and bitmap too of the first document of a class in each partition."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +138,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
         seen: set[tuple[int, int]] = set()
         for b in batches:
             rows = []
-            for s in batch_sets(b.column(1), width):
+            for s in batch_sets(b.column(2), width):
                 d = digest(s)
                 if len(s) == 0 or d in seen:
                     rows.append((len(s), *d, None, None, None))
@@ -150,21 +149,22 @@ def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
                 rows.append((len(s), *d, order.view(np.int64), bitmap(s), wide_bitmap(s)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["_id", "n", "d1", "d2", "prefix", "bitmap", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "row", "n", "d1", "d2", "prefix", "bitmap", "wide"])
 
-    return docs.mapInArrow(sketch, "_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, wide binary")
+    return docs.mapInArrow(sketch, "doc_id long, row long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, wide binary")
 
 
 def grouped_classes(sketched: DataFrame) -> DataFrame:
-    """One row a class: group, members of the group, whether it leads the group, size, prefix, bitmap and vertex v."""
+    """One row a class: group, members of the group, whether it leads the group, size, prefix, bitmaps, the key of one of
+    its rows and vertex v. The vertex is a number of its own, so these rows must be kept before they are read twice."""
     rows = sketched.where("prefix is not null").withColumn("group", F.xxhash64("n", "prefix"))
-    rows = rows.repartition("group").groupBy("group", "d1", "d2").agg(F.min("_id").alias("v"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    rows = rows.repartition("group").groupBy("group", "d1", "d2").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     w = Window.partitionBy("group")
-    return rows.withColumn("members", F.count("*").over(w)).withColumn("leads", F.row_number().over(w.orderBy("d1", "d2")) == 1)
+    return rows.withColumn("members", F.count("*").over(w)).withColumn("leads", F.row_number().over(w.orderBy("d1", "d2")) == 1).withColumn("v", F.monotonically_increasing_id())
 
 
 def shared_lists(classes: DataFrame) -> DataFrame:
-    """token, block pair (i, j), own block, n, v, d1, bitmap of all members of lists that can hold a link."""
+    """token, block pair (i, j), own block, n, v, bitmap of all members of lists that can hold a link."""
     leaders = classes.where("leads")
     # a group of several members has a list of its own besides those of its prefix
     own = F.when(F.col("members") > 1, F.array(F.xxhash64("group", F.lit("own")))).otherwise(F.array().cast("array<bigint>"))
@@ -177,7 +177,7 @@ def shared_lists(classes: DataFrame) -> DataFrame:
     members = classes.select("group", "n", "v", "d1", "bitmap")
     rows = kept.join(members, "group").withColumn("own", F.pmod("d1", "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "v", "d1", "bitmap")
+    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "v", "bitmap")
 
 
 class _Forest:
@@ -233,9 +233,9 @@ def _list_pairs(key, own, n, bits, percent) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
-    """a, b, da, db, sure: pairs to verify. Without ``known`` components: a spanning chain over likely links (sure) and
+    """a, b, sure: pairs of vertices to verify. Without ``known`` components: a spanning chain over likely links (sure) and
     all other pairs the filters leave between different chains. With them: all pairs left between components."""
-    columns = ["token", "i", "j", "own", "n", "v", "d1", "bitmap"] + (["component"] if known else [])
+    columns = ["token", "i", "j", "own", "n", "v", "bitmap"] + (["component"] if known else [])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, told = _Forest(), set()
@@ -243,7 +243,7 @@ def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
 
         def work(t: pa.Table) -> pa.RecordBatch | None:
             key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
-            own, n, v, d1 = (t[c].to_numpy().astype(np.int64) for c in ("own", "n", "v", "d1"))
+            own, n, v = (t[c].to_numpy().astype(np.int64) for c in ("own", "n", "v"))
             bits = np.frombuffer(b"".join(t["bitmap"].to_pylist()), dtype=np.uint64).reshape(len(v), -1)
             group = t["component"].to_numpy().astype(np.int64) if known else None
             out = []
@@ -264,10 +264,10 @@ def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
                     told.add((a, b))
                     if sure and not known:
                         forest.join(a, b)
-                    out.append((a, b, int(d1[p]), int(d1[q]), sure))
+                    out.append((a, b, sure))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["a", "b", "da", "db", "sure"])
+                kinds = (pa.int64(), pa.int64(), pa.bool_())
+                return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["a", "b", "sure"])
             return None
 
         def whole_lists(last: bool) -> pa.Table | None:
@@ -293,12 +293,12 @@ def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
             yield found
 
     dealt = lists.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
-    found = dealt.mapInArrow(find, "a long, b long, da long, db long, sure boolean")
-    return found.groupBy("a", "b", "da", "db").agg(F.max("sure").alias("sure"))
+    found = dealt.mapInArrow(find, "a long, b long, sure boolean")
+    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs, without most of those that no pair names: a Bloom filter of fixed size over the ids asked for. Where they
+    """docs, without most of those that no pair names: a Bloom filter of fixed size over the rows asked for. Where they
     are too many for it, it lets more through, and the join that follows drops the rest."""
     size = FILTER_BITS
 
@@ -311,60 +311,64 @@ def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["word", "bits"])
 
-    marks = pairs.select("a", "b").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marks = pairs.select("ra", "rb").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 64, dtype=np.int64)
     words[marks["word"].to_numpy()] = marks["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     @F.pandas_udf(BooleanType())
-    def asked(ids: pd.Series) -> pd.Series:
-        at = (mix(ids.to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+    def asked(rows: pd.Series) -> pd.Series:
+        at = (mix(rows.to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
         return pd.Series((shared.value.view(np.uint8)[at // 8] >> (7 - at % 8).astype(np.uint8)) & 1 == 1)
 
-    return docs.where(asked("_id"))
+    return docs.where(asked("row"))
 
 
 def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs plus possible: whether the wide bitmaps of both sets leave a link open."""
+    """pairs plus key and digest of a row of both classes, and possible: whether the wide bitmaps leave a link open."""
+    kept = ["a", "b", "sure", "ra", "rb", "da", "ea", "db", "eb"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
-            apart = np.array([bits_apart(x, y) for x, y in zip(b.column(7).to_pylist(), b.column(8).to_pylist())], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(apart <= most_different(na, nb, percent))], names=["a", "b", "da", "db", "sure", "possible"])
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (9, 10))
+            apart = np.array([bits_apart(x, y) for x, y in zip(b.column(11).to_pylist(), b.column(12).to_pylist())], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(9)), pa.array(apart <= most_different(na, nb, percent))], names=[*kept, "possible"])
 
-    side = lambda p: classes.select(F.col("v").alias(p), F.col("d1").alias(f"d{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
-    rows = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).select("a", "b", "da", "db", "sure", "na", "nb", "wa", "wb")
-    return rows.mapInArrow(check, "a long, b long, da long, db long, sure boolean, possible boolean")
+    side = lambda p: classes.select(F.col("v").alias(p), F.col("row").alias(f"r{p}"), F.col("d1").alias(f"d{p}"), F.col("d2").alias(f"e{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(*kept, "na", "nb", "wa", "wb")
+    return rows.mapInArrow(check, "a long, b long, sure boolean, ra long, rb long, da long, ea long, db long, eb long, possible boolean")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs plus linked: whether the whole texts of a and b link."""
+    """a, b, sure of pairs plus linked: whether the whole texts of both classes link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 b = batch.slice(k, 200)
                 rows = []
-                for x, y, da, db in zip(shingle_sets(b.column(5).to_pylist(), width), shingle_sets(b.column(6).to_pylist(), width), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    # a doc_id may stand in several rows: only the text that was looked up counts
-                    right = digest(x)[0] == da and digest(y)[0] == db
+                digests = zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)))
+                for x, y, (da, ea, db, eb) in zip(shingle_sets(b.column(7).to_pylist(), width), shingle_sets(b.column(8).to_pylist(), width), digests):
+                    # keys of rows may be equal by chance: only the text that was looked up counts
+                    right = digest(x) == (da, ea) and digest(y) == (db, eb)
                     both = len(np.intersect1d(x, y, assume_unique=True)) if right else 0
                     rows.append(None if not right else (100 + percent) * both >= percent * (len(x) + len(y)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(rows, pa.bool_())], names=["a", "b", "da", "db", "sure", "linked"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(rows, pa.bool_())], names=["a", "b", "sure", "linked"])
 
-    docs = asked_for(docs, pairs)
-    left = docs.select(F.col("_id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("_id").alias("b"), F.col("text").alias("text_b"))
-    texts = pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db", "sure", "text_a", "text_b")
-    return texts.mapInArrow(check, "a long, b long, da long, db long, sure boolean, linked boolean").where("linked is not null").dropDuplicates(["a", "b", "da", "db"])
+    # a row that stands many times is looked up once
+    docs = asked_for(docs.select("row", "text"), pairs).repartition("row").dropDuplicates(["row", "text"])
+    left = docs.select(F.col("row").alias("ra"), F.col("text").alias("text_a"))
+    right = docs.select(F.col("row").alias("rb"), F.col("text").alias("text_b"))
+    texts = pairs.join(left, "ra").join(right, "rb").select("a", "b", "sure", "da", "ea", "db", "eb", "text_a", "text_b")
+    return texts.mapInArrow(check, "a long, b long, sure boolean, linked boolean").where("linked is not null").dropDuplicates(["a", "b"])
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of docs(doc_id, text): linked are sets of ``width``-word shingles whose Jaccard
     similarity is at least ``similarity``."""
     percent = percent_of(similarity)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     sketched = checkpointed(sketches(docs, frequent_shingles(docs, width, percent), width, percent))
     classes = checkpointed(grouped_classes(sketched))
     lists = shared_lists(classes)
@@ -382,10 +386,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
         named = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
         more = checkpointed(possible_pairs(likely_links(named, True, percent), classes, percent)).where("possible").drop("possible")
         labels = component_labels(links.unionByName(checkpointed(verify(docs, more, width, percent)).where("linked")))
-    back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     vertices = classes.select("d1", "d2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("label"))
-    lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(back("_id")).alias("low")).join(vertices, ["d1", "d2"])
+    lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("low")).join(vertices, ["d1", "d2"])
     named = lowest.join(lowest.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("d1", "d2", "component_id")
-    whole = sketched.where("n > 0").select("_id", "n", "d1", "d2").join(named, ["d1", "d2"]).select("_id", "n", "component_id")
-    alone = sketched.where("n = 0").select("_id", "n", back("_id").alias("component_id"))
-    return whole.unionByName(alone).select(back("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    whole = sketched.where("n > 0").select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "n", "component_id")
+    alone = sketched.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return whole.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -92,6 +92,27 @@ def test_ngram_join_edges(edge, none):
     assert ngram_join.link_components(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_ngram_join_of_rows_without_or_with_repeated_ids(spark, parts):
+    near = near_docs(12, 3)
+    texts = [(i, f"family {i} " + t) for i, t in near]
+    rows = [(None, "a a a"), (5, "a a a"), (None, "b b b"), (9, "b b b"), (None, "c c c"), (None, "c c c"), (None, "d"), (None, None)]
+    # one id with two texts, each with a partner of its own
+    rows += [(20, "e e e"), (21, "e e e"), (20, "f f f"), (22, "f f f")]
+    # rows without id in several families of near copies
+    rows += [(None if k % 2 else i, t) for k, (i, t) in enumerate(near)] + [(None, t) for _, t in texts]
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    linked = {k: c for k, (_, c) in brute_components(numbered).items()}
+    want = []
+    for k, (i, t) in enumerate(rows):
+        ids = [rows[j][0] for j, c in linked.items() if c == linked[k] and rows[j][0] is not None]
+        want.append((i, len(shingles(t, 3)), min(ids, default=None)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [tuple(r) for r in ngram_join.link_components(df).collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(got) == order(want)
+
+
 def test_ngram_hashes_follow_words():
     grams = words_of([b"a b c d", b"", b"a b", b"x a b c"]).ngrams(3)
     assert np.diff(grams.bounds).tolist() == [2, 0, 1, 2]
@@ -344,6 +365,17 @@ def test_decontamination(spark, edge, none):
     assert decontam.contaminated(a, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_rows_without_ids(spark):
+    items = [(1, "p1 p2 p3 p4 p5 p6 p7"), (None, "q1 q2 q3 q4 q5 q6"), (None, "r1 r2 r3 r4 r5 r6 r7 r8")]
+    docs = [(None, "x " + items[0][1]), (None, "clean words only here now"), (None, items[1][1] + " y"), (7, items[2][1]), (8, "p1 p2 p3 p4 p5"), (None, "r1 r2 r3 r4 r5 r6"), (None, "r5 r6 r7 r8 z")]
+    docs += [(30, "p1 p2 p3 p4 p5 p6"), (30, "p3 p4 p5 p6 p7 z")]  # rows of one doc_id are one document, as in the SQL
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(repr, map(tuple, decontam.contaminated(a, b).select("doc_id", "item_id", "matched", "n_shingles").collect())))
+    assert got == sorted(map(repr, [(None, 1, 3, 3), (None, None, 2, 2), (7, None, 4, 4), (30, 1, 3, 3)]))
+    left = {tuple(r) for r in decontam.without_items(a, b).collect()}
+    assert left == set(docs) - {docs[0], docs[2], docs[3], docs[7], docs[8]}
+
+
 def check_packing(rows, docs, capacity):
     where = {}
     for r in rows:
