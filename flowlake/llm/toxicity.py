@@ -3,7 +3,9 @@
 Words become symbols (insult, weak insult, threat, target, negation, reported speech, other). Small transducers rewrite
 symbols by what stands before them (a negated or reported insult is weakened, one near a target is directed); they are
 composed into one machine whose arcs carry weights, and it reads each clause that holds an insult or a threat. A
-document's score joins its clauses: 1 - product of exp(-clause weight). The lexicon of insults is learned from labels: a
+document's score joins its clauses: 1 - product of exp(-clause weight). Threat words without a target are faint, more so
+if negated or reported: however many a document holds, they add at most FAINT_MOST, so they reject no text of any length,
+not even beside one softened insult. The lexicon of insults is learned from labels: a
 word or word beginning counts when it stands in many different contexts of toxic documents and hardly in others, so
 copies of a passage teach nothing.
 
@@ -31,7 +33,12 @@ THRESHOLD = 0.3
 CONTEXTS, CONTEXT_DOCS = 6, 3
 STEMS = (4, 5, 6)
 
-OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, DIRECTED, SOFTENED, DIRECT_THREAT = range(10)
+OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, DIRECTED, SOFTENED, DIRECT_THREAT, SOFTENED_THREAT = range(11)
+
+WEIGHTS = {INSULT: 1.2, WEAK: 0.5, DIRECTED: 1.8, SOFTENED: 0.3, DIRECT_THREAT: 1.0}
+FAINT = {THREAT: 0.1, SOFTENED_THREAT: 0.03}
+#: The most that faint symbols add to a document's weight; with one softened insult still below the threshold.
+FAINT_MOST = 0.05
 
 # Function words of the grammar.
 TARGET_WORDS = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre ton ta tú tu te ti usted ustedes vosotros they them those these people".split()
@@ -68,7 +75,7 @@ def weigh(weights: dict[int, float]) -> Transducer:
     return Transducer({(0, s): (s, w, 0) for s, w in weights.items()})
 
 
-def compose(machines: list[Transducer], symbols: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def compose(machines: list[Transducer], symbols: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """The machines one behind the other as one table: next state and weight for each state and symbol."""
     states, work = {(0,) * len(machines): 0}, [(0,) * len(machines)]
     follow: list[list[int]] = []
@@ -93,13 +100,13 @@ def compose(machines: list[Transducer], symbols: int = 10) -> tuple[np.ndarray,
     return np.array(follow), np.array(weight)
 
 
-def grammar() -> tuple[np.ndarray, np.ndarray]:
+def grammar(weights: dict[int, float] = WEIGHTS | FAINT) -> tuple[np.ndarray, np.ndarray]:
     return compose(
         [
-            after(NEGATION, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED}, 3),
-            after(REPORT, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED}, 6),
+            after(NEGATION, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED_THREAT}, 3),
+            after(REPORT, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED_THREAT}, 6),
             after(TARGET, {INSULT: DIRECTED, WEAK: INSULT, THREAT: DIRECT_THREAT}, 4),
-            weigh({INSULT: 1.2, WEAK: 0.5, DIRECTED: 1.8, SOFTENED: 0.3, THREAT: 0.1, DIRECT_THREAT: 1.0}),
+            weigh(weights),
         ]
     )
 
@@ -197,7 +204,9 @@ def member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 class Scorer:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.follow, self.weight = (t.tolist() for t in grammar())
+        # the same states: weights are given by the last machine, which has only one
+        self.follow, self.weight = (t.tolist() for t in grammar(WEIGHTS))
+        self.faint = grammar(FAINT)[1].tolist()
         self.fixed = [(s, word_hashes(w).view(np.int64)) for s, w in ((TARGET, TARGET_WORDS), (NEGATION, NEGATION_WORDS), (REPORT, REPORT_WORDS), (THREAT, THREAT_WORDS))]
         for _, table in self.fixed:
             table.sort()
@@ -211,7 +220,7 @@ class Scorer:
         for stem in u.stems.values():
             symbols[member(self.lexicon.weak, stem.view(np.int64)) & (stem != 0)] = WEAK
         symbols[member(self.lexicon.strong, word)] = INSULT
-        total = np.zeros(len(texts))
+        total, faint = np.zeros(len(texts)), np.zeros(len(texts))
         hits = np.flatnonzero((symbols == INSULT) | (symbols == WEAK) | (symbols == THREAT))
         # a clause's words stand together; a document's start always begins a clause
         begins = np.ones(len(word), dtype=bool)
@@ -219,12 +228,14 @@ class Scorer:
         clause = np.cumsum(begins) - 1
         firsts = np.append(np.flatnonzero(begins), len(word))
         for c in np.unique(clause[hits]).tolist():
-            state, sum_ = 0, 0.0
+            state, sum_, faint_sum = 0, 0.0, 0.0
             for symbol in symbols[firsts[c] : firsts[c + 1]].tolist():
                 sum_ += self.weight[state][symbol]
+                faint_sum += self.faint[state][symbol]
                 state = self.follow[state][symbol]
             total[u.doc[firsts[c]]] += sum_
-        return 1.0 - np.exp(-total)
+            faint[u.doc[firsts[c]]] += faint_sum
+        return 1.0 - np.exp(-total - np.minimum(faint, FAINT_MOST))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:

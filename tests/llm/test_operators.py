@@ -231,6 +231,20 @@ def test_toxicity_learns_words_not_copies(spark, edge, none):
     assert len(empty.strong) == 0 and toxicity.score(docs, empty).where("predicted = 1").count() == 0
 
 
+def test_threat_words_alone_reject_no_long_text(spark):
+    scorer = toxicity.Scorer(toxicity.Lexicon(np.sort(toxicity.word_hashes(["schuft"]).view(np.int64)), np.array([], dtype=np.int64)))
+    plain = "the river was calm and the harvest good . "
+    bare, softened = "fires burn and storms destroy barns . ", "it did not hurt . police said a hunter may shoot . "
+    long = plain * 3000
+    texts = [bare * 2, softened * 2, long + (bare + softened + plain) * 2000, (bare + softened) * 500 + " he is not a schuft", bare * 2000 + " he is a schuft", long + " you will burn . "]
+    assert (scorer.scores(texts) >= toxicity.THRESHOLD).tolist() == [False] * 4 + [True] * 2
+    one, negated, said = scorer.scores(["storms destroy", "no storms destroy", "police said storms destroy"])
+    assert one > negated > 0 and one > said > 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rejected = toxicity.score(df, scorer.lexicon).where("predicted = 1").select("doc_id").collect()
+    assert {r["doc_id"] for r in rejected} == {4, 5}
+
+
 def test_grammar_composes():
     follow, weight = toxicity.grammar()
     run = lambda s: sum(w for w, _ in _walk(follow, weight, s))
