@@ -190,3 +190,9 @@ def test_every_query_is_registered():
 
     names = set(__spark_entry__.queries())
     assert set(catalog.QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_bridges_that_do_not_settle_are_an_error(spark):
+    islands = spark.createDataFrame([(i, 0.45 * i, 0.0) for i in range(4)], "id long, lon double, lat double")
+    with pytest.raises(RuntimeError):
+        graph.bridge(islands, spark.createDataFrame([(0, 1, 50.0)], "a long, b long, km double"), max_rounds=1)
