@@ -30,6 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read from there: later readers take the columns they need."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

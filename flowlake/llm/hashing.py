@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
-_BYTES = np.random.default_rng(20240501).integers(1, 2**63, size=256, dtype=np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST = np.array([256**k - 1 for k in range(9)], dtype=np.uint64)
+#: Longer ranges (words without any white space for so many bytes) are hashed one by one.
+LONG = 64
 
 #: Byte classes: 0 white space (0x20, 0x09-0x0D), 1 letters, digits and all of other alphabets, 2 other marks.
 CLASSES = np.full(256, 2, dtype=np.uint8)
@@ -27,16 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def runs(classes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs of one non-zero class; a document's start always begins a run."""
     n = len(classes)
@@ -51,12 +43,34 @@ def runs(classes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return cuts[:-1][keep], cuts[1:][keep]
 
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte of ``data`` on, as little-endian integers; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def block(blocks: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes at each start, of which only the first ``left`` (1 or more) count."""
+    return blocks[starts] & _FIRST[np.minimum(left, 8)]
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range, the same wherever the range stands."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """A hash of the bytes of each range, the same wherever the range stands. Every block of eight bytes is mixed into the
+    hash of those before it, so no pattern of bytes cancels out; ranges beyond LONG bytes take a cryptographic hash."""
+    sizes = ends - starts
+    h = mix(sizes.astype(np.uint64) * _ODD + _MIX2)
+    if len(sizes) == 0:
+        return h
+    blocks = blocks_of(data)
+    rows = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    at, left = starts[rows], sizes[rows]
+    while len(rows):
+        h[rows] = mix(mix(h[rows] ^ block(blocks, at, left)) + _ODD)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 @dataclass

@@ -2,17 +2,21 @@
 
 A document is the set of its shingles: three words in the numbered query, as many as ``width`` says elsewhere. Documents
 with equal sets are one class. Of a set of n shingles in a global order, only the first n - ceil(similarity x n) + 1 (its
-prefix) need a partner's prefix in common. Classes with the same
-prefix and size are one group; groups are looked up by prefix shingles, group pairs that differ too much in size are
-dropped, and the groups left are expanded to their members, which are filtered and verified.
+prefix) need a partner's prefix in common. Classes with the same prefix and size are one group. Groups alone are listed by
+their prefix shingles; pairs of groups in a list are dropped by size and by the bitmaps of their leaders (a group's radius
+is what its members lie apart from the leader at most). Only groups left in pairs are expanded to their members, whose
+pairs are filtered in the same way and verified over whole texts.
 
 - The order puts frequent shingles last, so a passage that many documents share makes no long list. Which ones those
   are is counted over all documents; the order itself never changes the result.
-- Members carry a parity bitmap of their set. Two bitmaps differ in at most as many bits as the sets differ in
-  shingles, so a pair is dropped early only if it cannot link.
-- A list of any length is cut into blocks, and each pair of blocks is a task of its own (the exact way for long lists).
-- Within a list, members that a chain of likely links joins are handed on by a spanning chain instead of all pairs. All
-  of these are verified over whole texts. Where one fails, every pair between different components is verified instead.
+- Parity bitmaps of two sets differ in at most as many bits as the sets differ in shingles, so a pair is dropped early
+  only if it cannot link. Long sets have a wide bitmap besides.
+- Lists with few pairs hand on all of them. In lists with many (dense: clusters of near copies) each row proposes only the
+  partner that comes first in an order common to all lists, so a cluster of m rows costs about m pairs. What these link
+  become components, and dense lists are listed again for pairs of different components only, in turn, until the last
+  turn hands on all pairs that are left: no link is lost, and a list of one component is dropped whole.
+- A list of any length is cut into blocks, each a task's work of its own. In the first turn its first row in that order meets
+  all blocks; later, all rows outside the list's largest component do.
 
 Cases: null and wordless texts have no shingles and stand alone; fewer words than a shingle has are one shingle; repeated rows
 and equal texts are one class; rows of one doc_id, or without one, are linked by their own texts only, as classes and not
@@ -22,17 +26,18 @@ another; other columns are left behind; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
-from pyspark.sql.window import Window
+from pyspark.sql.types import BooleanType, IntegerType
 
-from flowlake.llm.common import checkpointed
+from flowlake.llm.common import kept
 from flowlake.llm.hashing import chunks, mix, words_of
 from flowlake.plans.components import component_labels
 
@@ -45,7 +50,14 @@ COUNTED = 1.6
 BITMAP_BITS = 1024
 #: Bits of the filter of ids whose texts are wanted: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
-BLOCK = 1024
+#: Rows of a list that one task compares with each other.
+BLOCK = 4096
+#: A list with more pairs than rows, and than this, is dense.
+SPARSE = 10
+#: Turns over dense lists by proposals, before the turn that hands on all pairs left.
+TURNS = 3
+#: Partners of one text that are verified by one task.
+HUB_ROWS = 256
 
 
 def percent_of(similarity: float) -> int:
@@ -95,15 +107,6 @@ def wide_bitmap(s: np.ndarray) -> bytes:
     return bitmap(s, max(BITMAP_BITS, 1 << (2 * len(s) - 1).bit_length()))
 
 
-def bits_apart(a: bytes, b: bytes) -> int:
-    """Bits in which two bitmaps differ once the wider is folded to the other's size."""
-    x, y = (np.frombuffer(m, dtype=np.uint8) for m in (a, b))
-    while len(x) != len(y):
-        x, y = (x, y) if len(x) > len(y) else (y, x)
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
-
-
 def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     if len(table) == 0:
         return np.zeros(len(values), dtype=bool)
@@ -130,7 +133,7 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, row, n, d1, d2 of every document; prefix and bitmap too of the first document of a class in each partition."""
+    """doc_id, row, n, d1, d2 of every document; prefix and bitmaps too of the first document of a class in each partition."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +149,9 @@ def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
                 seen.add(d)
                 late = _member(last, s)
                 order = np.concatenate([s[~late], s[late]])[: prefix_size(len(s), percent)]
-                rows.append((len(s), *d, order.view(np.int64), bitmap(s), wide_bitmap(s)))
+                wide = wide_bitmap(s)
+                # a set that needs no wider bitmap has it once only
+                rows.append((len(s), *d, order.view(np.int64), bitmap(s), wide if len(wide) * 8 > BITMAP_BITS else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "row", "n", "d1", "d2", "prefix", "bitmap", "wide"])
@@ -155,146 +160,245 @@ def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
 
 
 def grouped_classes(sketched: DataFrame) -> DataFrame:
-    """One row a class: group, members of the group, whether it leads the group, size, prefix, bitmaps, the key of one of
-    its rows and vertex v. The vertex is a number of its own, so these rows must be kept before they are read twice."""
-    rows = sketched.where("prefix is not null").withColumn("group", F.xxhash64("n", "prefix"))
-    rows = rows.repartition("group").groupBy("group", "d1", "d2").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
-    w = Window.partitionBy("group")
-    return rows.withColumn("members", F.count("*").over(w)).withColumn("leads", F.row_number().over(w.orderBy("d1", "d2")) == 1).withColumn("v", F.monotonically_increasing_id())
-
-
-def shared_lists(classes: DataFrame) -> DataFrame:
-    """token, block pair (i, j), own block, n, v, bitmap of all members of lists that can hold a link."""
-    leaders = classes.where("leads")
-    # a group of several members has a list of its own besides those of its prefix
-    own = F.when(F.col("members") > 1, F.array(F.xxhash64("group", F.lit("own")))).otherwise(F.array().cast("array<bigint>"))
-    posted = leaders.select("group", "members", F.posexplode(F.concat(own, "prefix")).alias("place", "token"))
-    # how many groups and members a list has; counted in part before any list is dealt
-    alone = (F.col("place") == 0) & (F.col("members") > 1)
-    counts = posted.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("all_members"), F.max(alone).alias("own"))
-    counts = counts.where("groups > 1 or own").select("token", F.ceil(F.col("all_members") / BLOCK).cast("int").alias("blocks"))
-    kept = posted.select("token", "group").join(counts, "token").select("token", "group", "blocks")
-    members = classes.select("group", "n", "v", "d1", "bitmap")
-    rows = kept.join(members, "group").withColumn("own", F.pmod("d1", "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "v", "bitmap")
-
-
-class _Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for p in path:
-            self.up[p] = x
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _list_pairs(key, own, n, bits, percent) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of the same list that sizes and bitmaps leave; rows are sorted by key, then n."""
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-    sizes = np.diff(np.append(starts, len(key)))
-    bucket = np.repeat(np.arange(len(starts)), sizes)
-    within = key[:, 1] != key[:, 2]  # a pair of different blocks: only pairs across them
-
-    def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ok = (percent * n[y] <= 100 * n[x]) & ((own[x] != own[y]) | ~within[x])
-        x, y = x[ok], y[ok]
-        limit = most_different(n[x], n[y], percent)
-        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        ok = apart <= limit
-        return x[ok], y[ok], apart[ok], limit[ok]
-
-    small = sizes <= 32
-    rows = np.flatnonzero(small[bucket])
-    for shift in range(1, 32):
-        x = rows[rows + shift < len(key)]
-        x = x[bucket[x] == bucket[x + shift]]
-        if len(x) == 0:
-            break
-        for at in range(0, len(x), 100_000):
-            yield keep(x[at : at + 100_000], x[at : at + 100_000] + shift)
-    for k in np.flatnonzero(~small).tolist():
-        first, last = starts[k], starts[k] + sizes[k]
-        for x in range(first, last - 1):
-            reach = first + np.searchsorted(n[first:last], n[x] * 100 // percent, side="right")
-            if reach > x + 1:
-                y = np.arange(x + 1, reach)
-                yield keep(np.full(len(y), x), y)
-
-
-def likely_links(lists: DataFrame, known: bool, percent: int) -> DataFrame:
-    """a, b, sure: pairs of vertices to verify. Without ``known`` components: a spanning chain over likely links (sure) and
-    all other pairs the filters leave between different chains. With them: all pairs left between components."""
-    columns = ["token", "i", "j", "own", "n", "v", "bitmap"] + (["component"] if known else [])
+    """One row a class: g1, g2 (name its group), size, prefix, bitmaps, the key of one of its rows and vertex v. The vertex
+    is a number of its own, so these rows must be kept before they are read twice."""
+    rows = sketched.where("prefix is not null")
+    rows = rows.groupBy("d1", "d2").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "bitmap", "wide")))
+    rows = rows.withColumn("g1", F.xxhash64("n", "prefix")).withColumn("g2", F.xxhash64(F.lit("second"), "n", "prefix"))
+    return rows.withColumn("v", F.monotonically_increasing_id())
+
+
+def groups_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups: v (of the leader), n, prefix, bitmap, members, radius; and the members of those with several: leader, v."""
+    several = classes.groupBy("g1", "g2").agg(F.count("*").alias("members"), F.min("v").alias("leader")).where("members > 1")
+    several = kept(several, "groups")
+    members = classes.select("v", "g1", "g2", "bitmap").join(several, ["g1", "g2"])
+    leaders = members.where("v = leader").select("leader", F.col("bitmap").alias("first"))
+
+    @F.pandas_udf(IntegerType())
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.bitwise_count(_words(a.tolist()) ^ _words(b.tolist())).sum(axis=1, dtype=np.int32))
+
+    radius = members.join(leaders, "leader").select("leader", apart("bitmap", "first").alias("apart")).groupBy("leader").agg(F.max("apart").alias("radius"))
+    marks = kept(several.join(radius, "leader").select("g1", "g2", "leader", "members", "radius"), "groups")
+    rows = classes.select("v", "g1", "g2", "n", "prefix", "bitmap").join(marks, ["g1", "g2"], "left").where("leader is null or leader = v")
+    groups = rows.select("v", "n", "prefix", "bitmap", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("radius", F.lit(0)).alias("radius"))
+    return groups, kept(members.select("leader", "v"), "members")
+
+
+def turn_order(v: Column, turn: int) -> Column:
+    """A number that orders vertices differently in each turn; ties are broken by v."""
+    return F.xxhash64(v, F.lit(turn))
+
+
+def group_lists(groups: DataFrame) -> DataFrame:
+    """token, block, blocks, p (order), v, n, bitmap, slack, several: the groups of each list with more than one."""
+    posted = groups.select("v", F.explode("prefix").alias("token"))
+    counts = posted.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct(turn_order(F.col("v"), 0), "v")).alias("_first"))
+    counts = counts.where("groups > 1").select("token", F.ceil(F.col("groups") / BLOCK).cast("int").alias("blocks"), F.col("_first.v").alias("first"))
+    own = F.pmod(F.xxhash64("v"), "blocks").cast("int")
+    rows = posted.join(counts, "token").withColumn("block", F.explode(F.when(F.col("v") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    facts = groups.select("v", "n", "bitmap", F.col("radius").alias("slack"), (F.col("members") > 1).alias("several"))
+    return rows.select("token", "block", "blocks", turn_order(F.col("v"), 0).alias("p"), "v").join(facts, "v")
+
+
+def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """The same columns (and wide, component) for lists(token, v) that hold several components. The rows outside a list's
+    largest component are sent to all its blocks, all others to their own."""
+    rows = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("token").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
+    several = several.where("parts > 1").select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.col("main.component").alias("main"))
+    own = F.array(F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    rows = rows.join(several, "token").withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    facts = classes.select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide")
+    return rows.select("token", "block", "blocks", turn_order(F.col("v"), turn).alias("p"), "v", "component").join(facts, "v")
+
+
+def _words(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype="<u8").reshape(len(blobs), -1) if blobs else np.empty((0, 1), dtype=np.uint64)
+
+
+class WideBitmaps:
+    """Bitmaps of several widths; two are compared at the narrower one's width, to which the wider is folded."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([len(b) for b in blobs], dtype=np.int64)
+        self.blobs = blobs
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each row in the table of bitmaps folded to ``width``, and that table."""
+        if width not in self.tables:
+            rows = np.flatnonzero(self.width >= width)
+            place = np.full(len(self.width), -1)
+            place[rows] = np.arange(len(rows))
+            table = np.empty((len(rows), width // 8), dtype=np.uint64)
+            for own in np.unique(self.width[rows]).tolist():
+                these = np.flatnonzero(self.width[rows] == own)
+                bits = _words([self.blobs[i] for i in rows[these].tolist()])
+                while bits.shape[1] > width // 8:
+                    half = bits.shape[1] // 2
+                    bits = bits[:, :half] ^ bits[:, half:]
+                table[these] = bits
+            self.tables[width] = place, table
+        return self.tables[width]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits rows x and y differ."""
+        out = np.zeros(len(x), dtype=np.int64)
+        widths = np.minimum(self.width[x], self.width[y])
+        for width in np.unique(widths).tolist():
+            place, table = self.at(width)
+            these = np.flatnonzero(widths == width)
+            step = max(1, (4 << 20) // width)
+            for k in range(0, len(these), step):
+                part = these[k : k + step]
+                out[part] = np.bitwise_count(table[place[x[part]]] ^ table[place[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+class ListRows:
+    """Rows of whole blocks of lists, sorted by list, block and size: the pairs that can link, and what to hand on."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.percent = percent
+        column = lambda c: t[c].to_numpy().astype(np.int64)
+        self.token, block, self.v, self.n, self.slack, self.p = (column(c) for c in ("token", "block", "v", "n", "slack", "p"))
+        self.blocks, self.several = column("blocks"), t["several"].to_numpy()
+        self.component = column("component") if "component" in t.column_names else None
+        self.bits = _words(t["bitmap"].to_pylist())
+        self.wide = WideBitmaps([w or b for w, b in zip(t["wide"].to_pylist(), t["bitmap"].to_pylist())]) if "wide" in t.column_names else None
+        new = np.concatenate([[True], (self.token[1:] != self.token[:-1]) | (block[1:] != block[:-1])])
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(new)))
+        self.bucket = np.repeat(np.arange(len(self.starts)), self.sizes)
+        # place of each row in the order common to all lists
+        self.rank = np.empty(len(self.p), dtype=np.int64)
+        self.rank[np.lexsort((self.v, self.p))] = np.arange(len(self.p))
+
+    def left(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Which pairs of rows, x not larger than y, sizes, bitmaps and components leave."""
+        limit = most_different(self.n[x], self.n[y], self.percent) + self.slack[x] + self.slack[y]
+        ok = (self.percent * self.n[y] <= 100 * self.n[x]) & (apart <= limit) & (self.v[x] != self.v[y])
+        if self.component is not None:
+            ok &= self.component[x] != self.component[y]
+        if self.wide is not None:
+            long = np.flatnonzero(ok & (self.wide.width[x] * 8 > BITMAP_BITS))
+            ok[long] = self.wide.apart(x[long], y[long]) <= limit[long]
+        return ok
+
+    def short_pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs left in blocks of at most ``most`` rows."""
+        rows = np.flatnonzero((self.sizes <= most)[self.bucket])
+        found = []
+        for shift in range(1, most):
+            x = rows[rows + shift < len(self.v)]
+            x = x[self.bucket[x] == self.bucket[x + shift]]
+            for k in range(0, len(x), 100_000):
+                a = x[k : k + 100_000]
+                ok = self.left(a, a + shift, np.bitwise_count(self.bits[a] ^ self.bits[a + shift]).sum(axis=1, dtype=np.int64))
+                found.append((a[ok], a[ok] + shift))
+        none = np.empty(0, dtype=np.int64)
+        return tuple(np.concatenate([none, *c]) for c in zip(*found)) if found else (none, none)
+
+    def block_pairs(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs left in block k, some rows against all larger ones at a time."""
+        first, last = self.starts[k], self.starts[k] + self.sizes[k]
+        step = max(1, (1 << 20) // (last - first))
+        for s in range(first, last, step):
+            e = min(s + step, last)
+            reach = first + int(np.searchsorted(self.n[first:last], self.n[e - 1] * 100 // self.percent, side="right"))
+            apart = np.zeros((e - s, reach - s), dtype=np.int16)
+            for w in range(self.bits.shape[1]):
+                apart += np.bitwise_count(self.bits[s:e, w][:, None] ^ self.bits[s:reach, w][None, :])
+            x, y = np.nonzero((apart <= most_different(self.n[e - 1], self.n[reach - 1], self.percent) + 2 + 2 * self.slack[first:last].max()) & (np.arange(s, reach)[None, :] > np.arange(s, e)[:, None]))
+            ok = self.left(x + s, y + s, apart[x, y].astype(np.int64))
+            yield x[ok] + s, y[ok] + s
+
+    def proposals(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, for each block and lower row the pair with the highest row."""
+        low, high = self.ordered(x, y)
+        pick = np.lexsort((-self.rank[high], low))
+        low, high = low[pick], high[pick]
+        one = np.concatenate([[True], low[1:] != low[:-1]]) if len(low) else np.empty(0, dtype=bool)
+        return low[one], high[one]
+
+    def ordered(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        swap = self.rank[x] > self.rank[y]
+        return np.where(swap, y, x), np.where(swap, x, y)
+
+    def handed_on(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(x, y, kind) of pairs to verify (0) or proposed (1), y the higher row; (a row of it, same, 2) for each dense list.
+        With ``every``, no list is dense."""
+        x, y = self.short_pairs(32)
+        many = np.bincount(self.bucket[x], minlength=len(self.starts))
+        dense = (many > np.maximum(self.sizes, SPARSE)) & (not every)
+        heavy = dense[self.bucket[x]]
+        yield (*self.ordered(x[~heavy], y[~heavy]), 0)
+        yield (*self.proposals(x[heavy], y[heavy]), 1)
+        for k in np.flatnonzero(self.sizes > 32).tolist():
+            held, n, most = [], 0, max(self.sizes[k], SPARSE)
+            for x, y in self.block_pairs(k):
+                n += len(x)
+                if every:
+                    yield (*self.ordered(x, y), 0)
+                    continue
+                held.append((x, y) if n <= most else self.proposals(x, y))
+            if every or not held:
+                continue
+            x, y = (np.concatenate(c) for c in zip(*held))
+            dense[k] = n > most
+            yield (*(self.proposals(x, y) if dense[k] else self.ordered(x, y)), 1 if dense[k] else 0)
+        if not every:
+            # blocks of a longer list were not compared with each other
+            if self.component is None:
+                dense |= self.blocks[self.starts] > 1
+            rows = self.starts[dense]
+            yield rows, rows, 2
+
+
+def list_pairs(lists: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """a, b, p, kind: pairs to verify (0), a's proposed partner b with its order p (1), dense list a (2). 3 is a pair to
+    verify of groups, of which one has several members."""
+    columns = [c for c in ("token", "block", "blocks", "p", "v", "n", "bitmap", "slack", "several", "component", "wide") if c in lists.columns]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, told = _Forest(), set()
         held: list[pa.RecordBatch] = []
 
-        def work(t: pa.Table) -> pa.RecordBatch | None:
-            key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
-            own, n, v = (t[c].to_numpy().astype(np.int64) for c in ("own", "n", "v"))
-            bits = np.frombuffer(b"".join(t["bitmap"].to_pylist()), dtype=np.uint64).reshape(len(v), -1)
-            group = t["component"].to_numpy().astype(np.int64) if known else None
-            out = []
-            for x, y, apart, limit in _list_pairs(key, own, n, bits, percent):
-                ok = v[x] != v[y]
-                if known:
-                    ok &= group[x] != group[y]
-                x, y, apart, limit = x[ok], y[ok], apart[ok], limit[ok]
-                swap = v[x] > v[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                # bitmaps differ in a little less than the sets do, so a link is likely only with a margin
-                likely = (limit <= 400) & (apart <= limit - 2 - limit // 16)
-                order = np.argsort(~likely, kind="stable")
-                for p, q, sure in zip(x[order].tolist(), y[order].tolist(), likely[order].tolist()):
-                    a, b = int(v[p]), int(v[q])
-                    if (a, b) in told or (not known and forest.top(a) == forest.top(b)):
-                        continue
-                    told.add((a, b))
-                    if sure and not known:
-                        forest.join(a, b)
-                    out.append((a, b, sure))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.bool_())
-                return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["a", "b", "sure"])
-            return None
-
-        def whole_lists(last: bool) -> pa.Table | None:
-            nonlocal held
-            if not held:
-                return None
-            t = pa.Table.from_batches(held)
-            if last:
-                held = []
-                return t
-            key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
-            cut = np.flatnonzero((key != key[-1]).any(axis=1))
-            if len(cut) == 0:
-                return None
-            held = t.slice(int(cut[-1]) + 1).combine_chunks().to_batches()
-            return t.slice(0, int(cut[-1]) + 1)
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = ListRows(t, percent)
+            for x, y, kind in rows.handed_on(every):
+                if len(x) == 0:
+                    continue
+                kinds = np.full(len(x), kind, dtype=np.int32)
+                if kind == 0:
+                    kinds[rows.several[x] | rows.several[y]] = 3
+                a = rows.token[x] if kind == 2 else rows.v[x]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(rows.v[y]), pa.array(rows.p[y]), pa.array(kinds)], names=["a", "b", "p", "kind"])
 
         for b in batches:
+            if b.num_rows == 0:
+                continue
             held.append(b)
-            if (t := whole_lists(False)) is not None and (found := work(t)) is not None:
-                yield found
-        if (t := whole_lists(True)) is not None and t.num_rows and (found := work(t)) is not None:
-            yield found
+            t = pa.Table.from_batches(held)
+            key = [t[c].to_numpy() for c in ("token", "block")]
+            cut = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]))
+            if len(cut):
+                end = int(cut[-1]) + 1
+                held = t.slice(end).combine_chunks().to_batches()
+                yield from work(t.slice(0, end).combine_chunks())
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = lists.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
-    found = dealt.mapInArrow(find, "a long, b long, sure boolean")
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    dealt = lists.select(*columns).repartition("token", "block").sortWithinPartitions("token", "block", "n")
+    return dealt.mapInArrow(find, "a long, b long, p long, kind int")
+
+
+def chosen_pairs(found: DataFrame) -> DataFrame:
+    """a, b: the pairs to verify, each once; of what a row was proposed in many lists, the highest."""
+    proposed = found.where("kind = 1").groupBy("a").agg(F.max(F.struct("p", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return found.where("kind = 0").select("a", "b").unionByName(proposed).distinct()
 
 
 def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -325,42 +429,105 @@ def asked_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs plus key and digest of a row of both classes, and possible: whether the wide bitmaps leave a link open."""
-    kept = ["a", "b", "sure", "ra", "rb", "da", "ea", "db", "eb"]
+    """a, b plus the key and digest of a row of both classes, where the wide bitmaps leave a link open."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (9, 10))
-            apart = np.array([bits_apart(x, y) for x, y in zip(b.column(11).to_pylist(), b.column(12).to_pylist())], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(9)), pa.array(apart <= most_different(na, nb, percent))], names=[*kept, "possible"])
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (8, 9))
+            apart = np.zeros(b.num_rows, dtype=np.int64)
+            wa, wb = (b.column(i).to_pylist() for i in (10, 11))
+            long = [i for i in range(b.num_rows) if wa[i] is not None and wb[i] is not None]
+            if long:
+                at = np.arange(len(long))
+                apart[long] = WideBitmaps([wa[i] for i in long] + [wb[i] for i in long]).apart(at, at + len(long))
+            ok = pa.array((apart <= most_different(na, nb, percent)) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(8)], names=b.schema.names[:8])
 
     side = lambda p: classes.select(F.col("v").alias(p), F.col("row").alias(f"r{p}"), F.col("d1").alias(f"d{p}"), F.col("d2").alias(f"e{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(*kept, "na", "nb", "wa", "wb")
-    return rows.mapInArrow(check, "a long, b long, sure boolean, ra long, rb long, da long, ea long, db long, eb long, possible boolean")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "da", "ea", "db", "eb", "na", "nb", "wa", "wb")
+    return rows.mapInArrow(check, "a long, b long, ra long, rb long, da long, ea long, db long, eb long")
+
+
+_UPPER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def word_shingles(text: str | None, width: int) -> set[tuple[str, ...]]:
+    """The set of a text's shingles as words, without any hash."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_UPPER))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, sure of pairs plus linked: whether the whole texts of both classes link."""
+    """a, b of the pairs whose whole texts link. Sets are compared by hashes, and those that agree once more by words.
+
+    The text of b is sent once for HUB_ROWS partners, not with each pair; that of a once a pair."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by b and salt, the text of b before those of its partners
+        hub, hub_text, hub_set = None, None, None
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                b = batch.slice(k, 200)
-                rows = []
-                digests = zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)))
-                for x, y, (da, ea, db, eb) in zip(shingle_sets(b.column(7).to_pylist(), width), shingle_sets(b.column(8).to_pylist(), width), digests):
-                    # keys of rows may be equal by chance: only the text that was looked up counts
-                    right = digest(x) == (da, ea) and digest(y) == (db, eb)
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if right else 0
-                    rows.append(None if not right else (100 + percent) * both >= percent * (len(x) + len(y)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(rows, pa.bool_())], names=["a", "b", "sure", "linked"])
+                part = batch.slice(k, 200)
+                b, salt, a, ea, eb, da, db, texts = (c.to_pylist() for c in part.columns)
+                linked = []
+                for i, s in enumerate(shingle_sets(texts, width)):
+                    if a[i] is None:
+                        # keys of rows may be equal by chance: only the text that was looked up counts
+                        if digest(s) == (db[i], eb[i]):
+                            hub, hub_text, hub_set = (b[i], salt[i]), texts[i], s
+                        continue
+                    if hub != (b[i], salt[i]) or digest(s) != (da[i], ea[i]):
+                        continue
+                    both = len(np.intersect1d(s, hub_set, assume_unique=True))
+                    if (100 + percent) * both >= percent * (len(s) + len(hub_set)):
+                        x, y = word_shingles(texts[i], width), word_shingles(hub_text, width)
+                        if 100 * len(x & y) >= percent * len(x | y):
+                            linked.append((a[i], b[i]))
+                if linked:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*linked)], names=["a", "b"])
 
     # a row that stands many times is looked up once
     docs = asked_for(docs.select("row", "text"), pairs).repartition("row").dropDuplicates(["row", "text"])
-    left = docs.select(F.col("row").alias("ra"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("row").alias("rb"), F.col("text").alias("text_b"))
-    texts = pairs.join(left, "ra").join(right, "rb").select("a", "b", "sure", "da", "ea", "db", "eb", "text_a", "text_b")
-    return texts.mapInArrow(check, "a long, b long, sure boolean, linked boolean").where("linked is not null").dropDuplicates(["a", "b"])
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    none = F.lit(None).cast("long")
+    partners = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a", "ea", none.alias("eb"), "da", none.alias("db"), F.col("ra").alias("row"))
+    hubs = pairs.groupBy("b").agg(F.first("rb").alias("row"), F.first("db").alias("db"), F.first("eb").alias("eb")).join(salts, "b")
+    hubs = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), none.alias("a"), none.alias("ea"), "eb", none.alias("da"), "db", "row")
+    rows = partners.unionByName(hubs).join(docs, "row").select("b", "salt", "a", "ea", "eb", "da", "db", "text")
+    dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, component of every class that links to another."""
+
+    def checked(found: DataFrame) -> DataFrame:
+        pairs = kept(possible_pairs(chosen_pairs(found), classes, percent), "pairs")
+        return kept(verify(docs, pairs, width, percent), "links")
+
+    def single(columns: str) -> DataFrame:
+        return found.where(columns).select(F.col("a").alias("token")).distinct()
+
+    groups, members = groups_of(classes)
+    found = kept(list_pairs(group_lists(groups), percent), "found")
+    labels = component_labels(checked(found))
+    # groups left in pairs, and lists that are not done, are expanded to their members
+    led = members.select("v", F.col("leader").alias("g"))
+    wider = lambda rows: rows.join(led, "g", "left").select("token", F.coalesce(led["v"], "g").alias("v"))
+    listed = groups.select(F.col("v").alias("g"), F.explode("prefix").alias("token")).join(single("kind = 2"), "token")
+    mixed = found.where("kind = 3").select("a", "b").distinct()
+    mixed = mixed.select(F.xxhash64(F.lit("pair"), "a", "b").alias("token"), F.explode(F.array("a", "b")).alias("g"))
+    alone = members.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "v")
+    lists = kept(wider(listed).unionByName(wider(mixed)).unionByName(alone), "lists")
+    for turn in range(1, TURNS + 2):
+        if lists.isEmpty():
+            break
+        found = kept(list_pairs(member_lists(lists, labels, classes, turn), percent, turn > TURNS), "found")
+        # labels name the links found so far as stars
+        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(checked(found))
+        labels = component_labels(links)
+        lists = kept(lists.join(single("kind = 2"), "token", "left_semi"), "lists")
+    return labels
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -369,23 +536,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     percent = percent_of(similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    sketched = checkpointed(sketches(docs, frequent_shingles(docs, width, percent), width, percent))
-    classes = checkpointed(grouped_classes(sketched))
-    lists = shared_lists(classes)
-    found = checkpointed(possible_pairs(likely_links(lists, False, percent), classes, percent))
-    checked = checkpointed(verify(docs, found.where("possible").drop("possible"), width, percent))
-    links = checked.where("linked")
-    labels = component_labels(links)
-    failed = found.where("sure and not possible").select("a").unionByName(checked.where("sure and not linked").select("a"))
-    if failed.limit(1).count():
-        # a chain that broke: every pair that it stood for is looked at again, and no others
-        chains = component_labels(found.where("sure"))
-        broken = chains.join(failed.distinct(), chains["id"] == failed["a"], "left_semi").select("component").distinct()
-        again = chains.join(broken, "component", "left_semi").select(F.col("id").alias("v"))
-        lists = shared_lists(checkpointed(classes.join(again, "v", "left_semi").withColumn("leads", F.lit(True)).withColumn("members", F.lit(1))))
-        named = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-        more = checkpointed(possible_pairs(likely_links(named, True, percent), classes, percent)).where("possible").drop("possible")
-        labels = component_labels(links.unionByName(checkpointed(verify(docs, more, width, percent)).where("linked")))
+    sketched = kept(sketches(docs, frequent_shingles(docs, width, percent), width, percent), "sketches")
+    classes = kept(grouped_classes(sketched), "classes")
+    labels = link_classes(docs, classes, width, percent)
     vertices = classes.select("d1", "d2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("label"))
     lowest = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("low")).join(vertices, ["d1", "d2"])
     named = lowest.join(lowest.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("d1", "d2", "component_id")

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from flowlake.llm import ngram_join, packing
-from test_operators import brute_components, brute_hits, check_packing, labelled, near_docs, shingles
+from test_numbered import brute_components, brute_hits, check_packing, labelled, near_docs, shingles
 
 
 @pytest.fixture(scope="module")
