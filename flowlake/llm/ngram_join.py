@@ -47,7 +47,7 @@ WIDTH, SIMILARITY = 3, 0.9
 RARE, FREQUENT = 4, 1 << 20
 #: How many prefixes long the part of a set is in which frequent shingles are counted, as prefixes then reach further.
 COUNTED = 1.6
-BITMAP_BITS = 1024
+BITMAP_BITS = 512
 #: Bits of the filter of ids whose texts are wanted: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 #: Rows of a list that one task compares with each other.
@@ -186,23 +186,26 @@ def groups_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, kept(members.select("leader", "v"), "members")
 
 
-def turn_order(v: Column, turn: int) -> Column:
-    """A number that orders vertices differently in each turn; ties are broken by v."""
-    return F.xxhash64(v, F.lit(turn))
+def turn_order(v: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers that order vertices, differently in each turn; in the first, lower vertices come first."""
+    return (1 << 62) - v if turn == 0 else (mix((v + (turn << 48)).view(np.uint64)) >> np.uint64(2)).astype(np.int64)
 
 
 def group_lists(groups: DataFrame) -> DataFrame:
-    """token, block, blocks, p (order), v, n, bitmap, slack, several: the groups of each list with more than one."""
+    """token, block, blocks, v, n, bitmap, slack, several: the groups of each list with more than one."""
     posted = groups.select("v", F.explode("prefix").alias("token"))
-    counts = posted.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct(turn_order(F.col("v"), 0), "v")).alias("_first"))
-    counts = counts.where("groups > 1").select("token", F.ceil(F.col("groups") / BLOCK).cast("int").alias("blocks"), F.col("_first.v").alias("first"))
-    own = F.pmod(F.xxhash64("v"), "blocks").cast("int")
-    rows = posted.join(counts, "token").withColumn("block", F.explode(F.when(F.col("v") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    counts = posted.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    counts = counts.select("token", F.ceil(F.col("groups") / BLOCK).cast("int").alias("blocks"))
+    rows = posted.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    # the first group of a list of several blocks meets all others
+    firsts = rows.where("blocks > 1").groupBy("token", "blocks").agg(F.min("v").alias("v"))
+    firsts = firsts.select("v", "token", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.unionByName(firsts.where(F.pmod(F.xxhash64("v"), "blocks").cast("int") != F.col("block")))
     facts = groups.select("v", "n", "bitmap", F.col("radius").alias("slack"), (F.col("members") > 1).alias("several"))
-    return rows.select("token", "block", "blocks", turn_order(F.col("v"), 0).alias("p"), "v").join(facts, "v")
+    return rows.select("token", "block", "blocks", "v").join(facts, "v")
 
 
-def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """The same columns (and wide, component) for lists(token, v) that hold several components. The rows outside a list's
     largest component are sent to all its blocks, all others to their own."""
     rows = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
@@ -211,8 +214,14 @@ def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame, turn:
     several = several.where("parts > 1").select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.col("main.component").alias("main"))
     own = F.array(F.pmod(F.xxhash64("v"), "blocks").cast("int"))
     rows = rows.join(several, "token").withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    facts = classes.select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide")
-    return rows.select("token", "block", "blocks", turn_order(F.col("v"), turn).alias("p"), "v", "component").join(facts, "v")
+    rows = kept(rows.select("token", "block", "blocks", "v", "component"), "rows")
+    return rows.join(facts_of(classes, rows.select("v")).select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide"), "v")
+
+
+def facts_of(classes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The rows of classes that are named, kept: where these are few, Spark sends them to the classes and not the reverse."""
+    named = kept(vertices.distinct(), "named")
+    return kept(classes.select("v", "row", "d1", "d2", "n", "bitmap", "wide").join(named, "v", "left_semi"), "facts")
 
 
 def _words(blobs: list[bytes]) -> np.ndarray:
@@ -261,10 +270,11 @@ class WideBitmaps:
 class ListRows:
     """Rows of whole blocks of lists, sorted by list, block and size: the pairs that can link, and what to hand on."""
 
-    def __init__(self, t: pa.Table, percent: int):
+    def __init__(self, t: pa.Table, percent: int, turn: int):
         self.percent = percent
         column = lambda c: t[c].to_numpy().astype(np.int64)
-        self.token, block, self.v, self.n, self.slack, self.p = (column(c) for c in ("token", "block", "v", "n", "slack", "p"))
+        self.token, block, self.v, self.n, self.slack = (column(c) for c in ("token", "block", "v", "n", "slack"))
+        self.p = turn_order(self.v, turn)
         self.blocks, self.several = column("blocks"), t["several"].to_numpy()
         self.component = column("component") if "component" in t.column_names else None
         self.bits = _words(t["bitmap"].to_pylist())
@@ -358,16 +368,16 @@ class ListRows:
             yield rows, rows, 2
 
 
-def list_pairs(lists: DataFrame, percent: int, every: bool = False) -> DataFrame:
+def list_pairs(lists: DataFrame, percent: int, turn: int = 0, every: bool = False) -> DataFrame:
     """a, b, p, kind: pairs to verify (0), a's proposed partner b with its order p (1), dense list a (2). 3 is a pair to
     verify of groups, of which one has several members."""
-    columns = [c for c in ("token", "block", "blocks", "p", "v", "n", "bitmap", "slack", "several", "component", "wide") if c in lists.columns]
+    columns = [c for c in ("token", "block", "blocks", "v", "n", "bitmap", "slack", "several", "component", "wide") if c in lists.columns]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = ListRows(t, percent)
+            rows = ListRows(t, percent, turn)
             for x, y, kind in rows.handed_on(every):
                 if len(x) == 0:
                     continue
@@ -443,7 +453,9 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             ok = pa.array((apart <= most_different(na, nb, percent)) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(8)], names=b.schema.names[:8])
 
-    side = lambda p: classes.select(F.col("v").alias(p), F.col("row").alias(f"r{p}"), F.col("d1").alias(f"d{p}"), F.col("d2").alias(f"e{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
+    pairs = kept(pairs, "candidates")
+    facts = facts_of(classes, pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))))
+    side = lambda p: facts.select(F.col("v").alias(p), F.col("row").alias(f"r{p}"), F.col("d1").alias(f"d{p}"), F.col("d2").alias(f"e{p}"), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "da", "ea", "db", "eb", "na", "nb", "wa", "wb")
     return rows.mapInArrow(check, "a long, b long, ra long, rb long, da long, ea long, db long, eb long")
 
@@ -522,7 +534,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     for turn in range(1, TURNS + 2):
         if lists.isEmpty():
             break
-        found = kept(list_pairs(member_lists(lists, labels, classes, turn), percent, turn > TURNS), "found")
+        found = kept(list_pairs(member_lists(lists, labels, classes), percent, turn, turn > TURNS), "found")
         # labels name the links found so far as stars
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(checked(found))
         labels = component_labels(links)

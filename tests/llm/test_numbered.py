@@ -113,6 +113,99 @@ def test_ngram_join_of_rows_without_or_with_repeated_ids(spark, parts):
     assert order(got) == order(want)
 
 
+def cluster(n, words, changed, seed):
+    """Near copies of one text, each with some words changed: most link to some other, none to all."""
+    rng = random.Random(seed)
+    base = [f"c{seed}_{k}" for k in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(changed)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_ngram_join_of_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    texts = cluster(90, 150, 6, 1) + cluster(40, 200, 40, 2) + ["exact copy of a text " * 9] * 50 + [f"{t} tail" for t in cluster(6, 60, 3, 3) for _ in range(2)]
+    # a passage that all share, but not enough of it to link
+    texts += [" ".join(["shared", "words", "of", "many"] * 5 + [f"own{i}_{k}" for k in range(40)]) for i in range(60)]
+    docs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df).collect()}
+    assert got == brute_components(docs)
+
+
+def test_ngram_join_sends_few_pairs_of_long_near_copies(spark, monkeypatch):
+    sent = []
+    verify = ngram_join.verify
+
+    def counted(docs, pairs, width, percent):
+        sent.append(pairs.count())
+        return verify(docs, pairs, width, percent)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    docs = list(enumerate(cluster(40, 5_200, 60, 4)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df).collect()}
+    assert got == brute_components(docs)
+    assert sum(sent) < 200  # of 780
+
+
+def groups_with_the_same_prefix():
+    """Sets of one size whose first shingles are the same: many groups of several members."""
+    rng = random.Random(7)
+    base = [f"g{k}" for k in range(60)]
+    out = []
+    for _ in range(40):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2])):
+            own[at] = f"g{rng.randrange(60)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_ngram_join_expands_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = list(enumerate(groups_with_the_same_prefix(), 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for width, percent in ((3, 90), (1, 80)):
+        sets = {i: shingles(t, width) for i, t in docs}
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(df, width, percent / 100).collect()}
+        up = {i: i for i in sets}
+        for _ in sets:
+            for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
+                if 100 * len(a & b) >= percent * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+        assert got == up
+
+
+def twins(n=2048):
+    """Two words that hashes by powers of one number cannot tell apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = twins()
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+    encoder = tokens.RunEncoder(tokens.vocabulary_path())
+    texts = [a, b, f"{a} end", *(w[:64] for w in (a, b)), *(w[:24] for w in (a, b))]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode_many(texts)] == [expected_ids(t, 0)[:-1] for t in texts]
+
+
+def test_runs_are_compared_byte_by_byte(monkeypatch):
+    monkeypatch.setattr(tokens, "range_hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    encoder = tokens.RunEncoder(tokens.vocabulary_path())
+    texts = ["one", "two", "one two", "onee", "a longer run of words", "internationalisation", "internationalisations"]
+    assert [x.tolist() for x in encoder.encode_many(texts)] == [expected_ids(t, 0)[:-1] for t in texts]
+
+
 def test_ngram_hashes_follow_words():
     grams = words_of([b"a b c d", b"", b"a b", b"x a b c"]).ngrams(3)
     assert np.diff(grams.bounds).tolist() == [2, 0, 1, 2]
@@ -168,6 +261,48 @@ def test_sharding_is_even_and_gapless(spark, edge, none):
     assert sharding.shard(none, 40).count() == 0
 
 
+def test_sharding_cuts_equal_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(7, "same text", "x")] * 400, "doc_id long, text string, _lo string").repartition(5)
+    rows = sharding.shard(df, 10).collect()
+    for s in range(10):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(40))
+    # hot keys that no border cuts, numbered in parts
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    docs = [(7, "same text")] * 400 + [(None, "b c d")] * 37 + [(None, None)] * 5 + [(i, f"t {i} " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = sharding.shard(df, 9).collect()
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in rows) == sorted((repr(i), repr(t)) for i, t in docs)
+    size = lambda t: len((t or "").encode()) + 16
+    total = sum(size(t) for _, t in docs)
+    for s in range(9):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(size(r["text"]) for r in own) - total / 9) <= max(size(t) for _, t in docs)
+
+
+def test_splitters_are_those_of_a_sort(spark):
+    rng = random.Random(4)
+    keys = [(rng.randrange(10**30), rng.randrange(20, 4000)) for _ in range(2000)] + [(10**29, 50)] * 300
+    df = spark.createDataFrame([(str(k), s) for k, s in keys], "key string, size long").select(F.col("key").cast("decimal(38,0)").alias("key"), "size")
+    order, total = sorted(keys), sum(s for _, s in keys)
+    found = sharding.find_splitters(df, 12, tolerance=0.0)
+    assert len(found) == 11
+    for i, (key, place) in enumerate(found, 1):
+        before = sum(s for k, s in keys if k < key) + place * 50
+        near = min(abs(sum(s for _, s in order[:n]) - total * i // 12) for n in range(len(order) + 1))
+        assert abs(before - total * i // 12) == near
+
+
+def test_op4_columns(spark, tmp_path):
+    from flowlake.llm import queries
+
+    docs = [(1, "abc é"), (2, None), (3, ""), (None, "x" * 50)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_sharding(spark, str(tmp_path)).collect()
+    raw = {i: (t or "").encode() for i, t in docs}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows} == {i: (len(b) + 16, zlib.crc32(b), "bytes", None) for i, b in raw.items()}
+
+
 URLS = ["http://M.Example.org/es/1", "https://example.org/en/12?x", "https://example.org/en/2", "http://a.example.com/de/5#t", "ftp://b.com/fr/", "http://c.net/x", "nothing", None, "http://example.org", "://org/", "http://notexample.org/es/1", "x://y.org/a://b/c", ""]
 
 
@@ -182,16 +317,34 @@ def brute_rule(url):
     return (host, path, *max(fit)[1:]) if fit else (host, path, None, "allow")
 
 
-@pytest.mark.parametrize("limit", [url_filter.BROADCAST_BYTES, 0])
-def test_url_rules(spark, limit):
-    pages = [(i, u, "h") for i, u in enumerate(URLS * 2)]
-    df = spark.createDataFrame(pages, "page_id long, url string, h1 string")
-    rows = url_filter.judge(df, broadcast_bytes=limit).collect()
+@pytest.mark.parametrize("part_rows, shard_keys", [(url_filter.PART_ROWS, url_filter.SHARD_KEYS), (2, 3)])
+def test_url_rules(spark, monkeypatch, part_rows, shard_keys):
+    monkeypatch.setattr(url_filter, "PART_ROWS", part_rows)
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", shard_keys)
+    pages = [(i, u, "h") for i, u in enumerate([*URLS * 2, *["http://hot.com/de/"] * 40, "http://x.com/" + "de/" * 50_000])]
+    df = spark.createDataFrame(pages, "page_id long, url string, h1 string").withColumns({n: F.lit(n) for n in ("h2", "listed", "host", "Path", "rule", "verdict", "shard", "part", "_parts", "page", "level", "bits")})
+    rows = url_filter.judge(df).collect()
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {i: brute_rule(u) for i, u, _ in pages}
-    assert all(r["listed"] == (r["verdict"] == "block") for r in rows)
+    assert all(r["listed_"] == (r["verdict"] == "block") and r["listed"] == "listed" for r in rows)  # an input column keeps its name
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_verdicts_come_from_the_cascade(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a.com/de/"), (2, "http://a.com/fr/")], "page_id long, url string")
+    verdicts = lambda: {r["page_id"]: r["verdict"] for r in url_filter.judge(df).collect()}
+    assert verdicts() == {1: "block", 2: "allow"}
+    monkeypatch.setattr(url_filter, "build_cascade", lambda h1, h2, listed: [])
+    assert verdicts() == {1: "allow", 2: "allow"}
+
+
+def test_many_rules(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.net", f"/{'p' * (i % 5)}") for i in range(100_000)]
+    pages = [(i, f"https://www.h{i}.net/pppp{i}") for i in range(0, 100_000, 997)] + [(-1, "https://h7.net.org/pp"), (-2, "https://h99999.net/")]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
+    want = {i: (f"h{i}.net/{'p' * (i % 5)}", "block" if i % 2 else "allow") for i, _ in pages if i >= 0} | {-1: (None, "allow"), -2: (None, "allow")}
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows} == want
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(4)
     h1, h2 = rng.integers(0, 2**63, 20_000, dtype=np.uint64), rng.integers(0, 2**63, 20_000, dtype=np.uint64)
@@ -245,6 +398,64 @@ def test_threat_words_alone_reject_no_long_text(spark):
     assert {r["doc_id"] for r in rejected} == {4, 5}
 
 
+def test_signs_of_any_alphabet_stand_apart_from_words():
+    scorer = toxicity.Scorer(toxicity.Lexicon(toxicity.word_hashes(["idiota"]).view(np.int64), np.array([], dtype=np.int64)))
+    plain, *others = scorer.scores(["eres idiota", "¡idiota!", "“idiota”", "eres —idiota—", "idiota… siempre", "idiota。then"])
+    assert plain > toxicity.THRESHOLD and all(x == plain for x in others)
+    behind, before, far, denied = scorer.scores(["idiota tú", "tú idiota", "idiota, and then tú", "no idiota tú"])
+    assert behind == before > plain and far == plain and denied < toxicity.THRESHOLD
+
+
+def plain_score(text, insults):
+    """The grammar, word by word, without tables or hashes."""
+    import regex
+
+    total = faint = 0.0
+    for clause in regex.split(r"[.!?;\n…。！？]", (text or "").lower()):
+        words = regex.findall(r"[\p{L}\p{M}\p{N}]+", clause)
+        kinds = [next((k for k, w in (("insult", insults), ("threat", toxicity.THREAT_WORDS), ("report", toxicity.REPORT_WORDS), ("negation", toxicity.NEGATION_WORDS), ("target", toxicity.TARGET_WORDS)) if word in w), "") for word in words]
+        if "insult" not in kinds and "threat" not in kinds:
+            continue
+        for i, kind in enumerate(kinds):
+            if kind not in ("insult", "threat"):
+                continue
+            soft = "negation" in kinds[max(0, i - 3) : i] or "report" in kinds[max(0, i - 6) : i]
+            near = "target" in kinds[max(0, i - 4) : i] + kinds[i + 1 : i + 3]
+            if kind == "insult":
+                total += 0.3 if soft else 1.8 if near else 1.2
+            elif soft or not near:
+                faint += 0.03 if soft else 0.1
+            else:
+                total += 1.0
+    return 1 - np.exp(-total - min(faint, toxicity.FAINT_MOST))
+
+
+def test_scores_equal_a_plain_reading_of_the_grammar():
+    rng = random.Random(12)
+    insults = ["schuft", "idiota"]
+    vocabulary = insults * 2 + ["you", "tú", "not", "said", "kill", "hurt", "river", "house", "día", ".", "…", ",", "¡", "\n"] + ["calm"] * 4
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(400)] + [None, ""]
+    scorer = toxicity.Scorer(toxicity.Lexicon(np.sort(toxicity.word_hashes(insults).view(np.int64)), np.array([], dtype=np.int64)))
+    assert scorer.scores(texts).tolist() == pytest.approx([plain_score(t, insults) for t in texts])
+
+
+def test_samples_are_bounded(spark):
+    from flowlake.llm.training import labelled_sample
+
+    docs = [(i % 50, f"text {i % 50} {i % 3}") for i in range(3000)] + [(None, "null")] * 9
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(df, labels, "toxic", F.lit(True), 1000).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in rows) == [(i, i % 2) for i in range(50)]
+    few = labelled_sample(df, labels, "toxic", F.lit(True), 10).count()
+    assert 0 < few < 30
+    # a share far below one in a million still draws by hash
+    from flowlake.llm.training import drawn
+
+    hashes = spark.range(0, 1_000_000).select((F.col("id") - 500_000).alias("h"))
+    assert 0 < hashes.where(drawn(F.col("h"), F.lit(1e-14))).count() < 100_000
+
+
 def test_grammar_composes():
     follow, weight = toxicity.grammar()
     run = lambda s: sum(w for w, _ in _walk(follow, weight, s))
@@ -291,6 +502,46 @@ def test_language_ranking_equals_plain_counting():
     assert langid.ranking(codes, counts, 5).tolist() == sorted(plain, key=lambda k: (-plain[k], k))[:5]
 
 
+def test_language_is_the_nearest_profile(spark):
+    rng = random.Random(5)
+    words = {"en": "the and of that with from this".split(), "de": "der die und ist nicht mit".split(), "es": "el que los una con por".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for i, lang in enumerate(["en", "de", "es"] * 30)] + [(None, "der und", "de"), (None, "el que", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def ranked(text):
+        text = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                if text[i : i + n].strip():
+                    counts[text[i : i + n]] = counts.get(text[i : i + n], 0) + 1
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))][: langid.PROFILE]
+
+    profiles = langid.train(docs)
+    for r in langid.identify(docs, profiles).collect():
+        own = ranked(r["text"])
+        away = {lang: sum(abs(p.index(g) - k) if g in p else langid.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        assert r["lang_pred"] == min(sorted(away), key=away.get)
+    tied = langid.Classifier({"b": profiles["en"], "a": profiles["en"]})
+    assert tied.judge("the and of") == ("a", 0.5)
+
+
+def test_quality_scores_are_sparse_dot_products(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=2**quality.BITS).astype(np.float32)
+    texts = ["a b a c", "", None, "Don't!! stop", "word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(df, weights).collect():
+        words = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", r["text"] or "")
+        places = quality.features([r["text"]])[0]
+        grams = {(w,) for w in words} | ({tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set())
+        assert places[0] == 0 and len(places) <= len(grams) + 1
+        x = np.full(len(places), 1 / np.sqrt(max(1, len(places) - 1)))
+        x[0] = 1.0
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-float((weights[places] * x).sum()))), abs=1e-5)
+
+
 def test_quality(spark, edge, none):
     docs, labels = labelled(spark)
     rows = quality.score_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -332,6 +583,12 @@ def test_records_round_trip(spark, edge, none, tmp_path, monkeypatch):
     assert records.encode_and_read(spark, none).count() == 0
 
 
+def test_folders_of_object_stores():
+    where, path = records.file_system("s3a://bucket/folder")
+    assert where.type_name == "s3" and path == "bucket/folder"
+    assert records.file_system("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_damaged_records_are_noticed():
     import io
 
@@ -379,6 +636,23 @@ def test_decontamination(spark, edge, none):
     assert decontam.contaminated(a, b.limit(0)).count() == 0
 
 
+def test_documents_probe_only_partitions_within_reach(spark):
+    items = [(1, " ".join(f"s{k}" for k in range(8)))] + [(100 + i, " ".join(f"l{i}_{k}" for k in range(120))) for i in range(20)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    shingled = decontam.item_shingles(decontam.keyed(b, *decontam.ITEM))
+    _, limits, _ = decontam.partitions(shingled)
+    (small, own), (large, most) = sorted(limits[5])
+    assert (small, large) == (2, 6)
+    docs = spark.createDataFrame([(1, " ".join(f"d{k}" for k in range(40))), (2, " ".join(f"e{k}" for k in range(4000)))], "doc_id long, text string")
+    keyed = decontam.keyed(docs, *decontam.DOC)
+    probed = {i: (decontam.document_hashes(keyed, [5], {5: [(small, -(2**62)), (large, 2**62)]}).where(F.col("doc_id") == i).agg(F.count("*"), F.max("h"), F.max("reach")).first()) for i in (1, 2)}
+    # 36 shingles can hold no item of 64 or more: only the first limit counts
+    assert probed[1][0] < 25 and probed[1][1] <= -(2**62) and probed[1][2] == small
+    assert probed[2][0] > 2500 and probed[2][2] == large
+    found = decontam.contaminated(docs.union(spark.createDataFrame([(3, "x y " + items[0][1])], "doc_id long, text string")), b).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(3, 1)]
+
+
 def test_decontamination_of_rows_without_ids(spark):
     items = [(1, "p1 p2 p3 p4 p5 p6 p7"), (None, "q1 q2 q3 q4 q5 q6"), (None, "r1 r2 r3 r4 r5 r6 r7 r8")]
     docs = [(None, "x " + items[0][1]), (None, "clean words only here now"), (None, items[1][1] + " y"), (7, items[2][1]), (8, "p1 p2 p3 p4 p5"), (None, "r1 r2 r3 r4 r5 r6"), (None, "r5 r6 r7 r8 z")]
