@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlake.plans.lineage import cut
 
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, from which the number of tasks is taken where each deals with whole texts."""
+    return docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column has it (names clash whatever their case)."""
     taken = {c.lower() for c in df.columns}

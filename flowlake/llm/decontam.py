@@ -3,9 +3,11 @@
 Short test items are searched inside long documents. An item is found where a document holds at least ``share`` of its
 distinct five-word shingles. Items are partitioned by size (powers of two of their shingle count). Of m shingles, at
 most m - ceil(share x m) may be missing, so an item's sketch is its m - ceil(share x m) + 1 smallest hashes: a document
-that contains the item must hold one of them. Each partition has a largest sketch hash; of a document only hashes up to
-it can match, so documents of any length give up most of their shingles before the lookup. Candidates are verified by
-exact shingle containment, so no containing pair is missed and none is wrong.
+that contains the item must hold one of them. Each partition has a limit, its largest sketch hash. A document probes only
+the partitions whose smallest item it has shingles enough to contain, and with no hash beyond the limits of these, so
+short documents leave the partitions of long items alone and long ones give up most shingles before the lookup. All
+widths and partitions are probed in one reading of the documents. Candidates are verified by exact shingle containment,
+so no containing pair is missed and none is wrong.
 
 Cases: null and empty texts match nothing; items without words match nothing; items of fewer than five words are one
 shingle of their own width; rows of one item_id are one item and rows of one doc_id one document, as in the SQL; rows
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowlake.llm.common import checkpointed
-from flowlake.llm.shingles import letter_words, shingle_hashes
+from flowlake.llm.shingles import let, letter_words, shingle_hashes
 
 WIDTH = 5
 SHARE = 0.8
@@ -66,12 +68,32 @@ def needed(n: Column) -> Column:
     return F.floor((n * int(SHARE * 100) + 99) / 100)
 
 
-def document_hashes(docs: DataFrame, width: int, limit: int | None = None) -> DataFrame:
-    h = shingle_hashes(F.col("w"), width)
-    if limit is not None:
-        h = F.filter(h, lambda x: x <= F.lit(limit))
+def reached(n: Column, parts: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """For a document of n shingles and (part, limit) of the partitions: the last partition it can probe (-1: none) and
+    the largest limit up to there."""
+    part, limit, most = F.lit(-1), F.lit(-(2**63)).cast("long"), -(2**63)
+    for p, own in sorted(parts):
+        most = max(most, own)
+        able = n >= needed(F.lit(1 << p))
+        part, limit = F.when(able, F.lit(p)).otherwise(part), F.when(able, F.lit(most)).otherwise(limit)
+    return part, limit
+
+
+def document_hashes(docs: DataFrame, widths: list[int], limits: dict[int, list[tuple[int, int]]] | None = None) -> DataFrame:
+    """DOC, width, h, reach of the documents' distinct shingles, all widths in one reading; with ``limits``, (part, limit)
+    for each width, only of hashes that a partition within reach may hold."""
+
+    def of(width: int):
+        def hashes(h: Column) -> Column:
+            reach, limit = reached(F.size(h), limits[width]) if limits else (F.lit(None).cast("int"), None)
+            few = F.filter(h, lambda x: x <= limit) if limits else h
+            return F.transform(few, lambda x: F.struct(F.lit(width).alias("width"), reach.alias("reach"), x.alias("h")))
+
+        return hashes
+
     words = docs.select(*DOC, letter_words(F.col("text")).alias("w"))
-    return words.select(*DOC, F.explode(h).alias("h"))
+    each = [let(shingle_hashes(F.col("w"), width), of(width)) for width in widths]
+    return words.select(*DOC, F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("s")).select(*DOC, "s.width", "s.h", "s.reach")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,36 +114,35 @@ def containing(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """What contaminated() gives, by the keys DOC and ITEM."""
     docs = keyed(docs, *DOC)
     items = checkpointed(item_shingles(keyed(benchmark, *ITEM)))
-    sketches = items.where(F.col("rank") <= F.col("n") - needed(F.col("n")) + 1).withColumn("part", F.floor(F.log2("n")))
-    limits = sketches.groupBy("width", "part").agg(F.max("h").alias("limit"), F.count("*").alias("rows")).collect()  # a row for each power of two
-    found = None
-    widths = sorted({r["width"] for r in limits})
-    for width in widths:
-        own = [r for r in limits if r["width"] == width]
-        rows = sum(r["rows"] for r in own)
-        hashes = document_hashes(docs, width, max(r["limit"] for r in own))
-        probe = _small(sketches.where(F.col("width") == width).select(*ITEM, "h"), rows, BROADCAST_ROWS)
-        pairs = hashes.join(probe, "h").select(*DOC, *ITEM, F.lit(width).alias("width"))
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        found = items.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("no_doc_id"), *ITEM, "width").limit(0)
-    candidates = checkpointed(found.distinct())
-    return verify(docs, items, candidates, widths)
-
-
-def verify(docs: DataFrame, items: DataFrame, candidates: DataFrame, widths: list[int]) -> DataFrame:
+    sketches, limits, rows = partitions(items)
+    if not limits:
+        return items.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("no_doc_id"), *ITEM, F.lit(0).cast("long").alias("matched"), F.col("n").cast("long").alias("n_shingles"), F.lit(0.0).alias("containment")).limit(0)
+    probe = _small(sketches.select(*ITEM, "width", "part", "h"), rows, BROADCAST_ROWS)
+    found = document_hashes(docs, sorted(limits), limits).join(probe, ["width", "h"]).where("part <= reach")
+    candidates = checkpointed(found.select(*DOC, *ITEM, "width").distinct())
+    return verify(docs, items, candidates)
+
+
+def partitions(items: DataFrame) -> tuple[DataFrame, dict[int, list[tuple[int, int]]], int]:
+    """The items' sketches with their partition, (part, limit) of the partitions of each width, and the sketches' rows."""
+    sketches = items.where(F.col("rank") <= F.col("n") - needed(F.col("n")) + 1).withColumn("part", F.floor(F.log2("n")).cast("int"))
+    limits: dict[int, list[tuple[int, int]]] = {}
+    rows = 0
+    # a row for each width and power of two
+    for r in sketches.groupBy("width", "part").agg(F.max("h").alias("limit"), F.count("*").alias("rows")).collect():
+        limits.setdefault(r["width"], []).append((r["part"], r["limit"]))
+        rows += r["rows"]
+    return sketches, limits, rows
+
+
+def verify(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
     """Exact shingle containment of candidates(DOC, ITEM, width)."""
-    ids = candidates.select(*DOC, "width").distinct()
-    n_ids, n_items = ids.count(), items.count()
-    checked = None
-    for width in widths or [WIDTH]:
-        these = ids.where(F.col("width") == width).select(*DOC)
-        own = docs.join(_small(these, n_ids, CANDIDATE_BROADCAST_ROWS), DOC, "left_semi")
-        hashes = document_hashes(own, width)
-        shingles = _small(items.where(F.col("width") == width).select(*ITEM, "n", "h"), n_items, BROADCAST_ROWS)
-        hits = hashes.join(shingles, "h").distinct()
-        counts = hits.groupBy(*DOC, *ITEM, "n").agg(F.count("*").alias("matched")).withColumn("width", F.lit(width))
-        checked = counts if checked is None else checked.unionByName(counts)
-    whole = checked.join(candidates, [*DOC, *ITEM, "width"], "left_semi")
-    kept = whole.where(F.col("matched") >= needed(F.col("n")))
-    return kept.select(*DOC, *ITEM, F.col("matched").cast("long"), F.col("n").cast("long").alias("n_shingles"), (F.col("matched") / F.col("n")).alias("containment"))
+    ids = candidates.select(*DOC).distinct()
+    wanted = candidates.select(*ITEM, "width").distinct()
+    own = docs.join(_small(ids, ids.count(), CANDIDATE_BROADCAST_ROWS), DOC, "left_semi")
+    shingles = items.join(wanted, [*ITEM, "width"], "left_semi").select(*ITEM, "width", "n", "h")
+    widths = sorted(r["width"] for r in candidates.select("width").distinct().collect()) or [WIDTH]
+    hits = document_hashes(own, widths).select(*DOC, "width", "h").join(_small(shingles, items.count(), BROADCAST_ROWS), ["width", "h"]).distinct()
+    counts = hits.groupBy(*DOC, *ITEM, "width", "n").agg(F.count("*").alias("matched"))
+    whole = counts.where(F.col("matched") >= needed(F.col("n"))).join(candidates, [*DOC, *ITEM, "width"], "left_semi")
+    return whole.select(*DOC, *ITEM, F.col("matched").cast("long"), F.col("n").cast("long").alias("n_shingles"), (F.col("matched") / F.col("n")).alias("containment"))

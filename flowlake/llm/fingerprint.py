@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowlake.llm.common import text_bytes
 from flowlake.llm.shingles import blank_words, let, shingle_hashes
 
 SKETCH_SIZE = 128
+#: Text that a task deals with when documents meet the next ones, about; tasks at most; and ranges of doc_id a task.
+TASK_BYTES, MOST_TASKS, RANGES = 64 << 20, 8_000, 4
 
 
 def bottom_k(hashes: Column, k: int = SKETCH_SIZE) -> Column:
@@ -67,22 +70,33 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def place_among(starts: list[int], value: Column) -> Column:
+    """How many of the ascending starts are at or below the value: first of their blocks, then within one block."""
+    step = max(1, int(len(starts) ** 0.5))
+    blocks = [starts[i : i + step] for i in range(0, len(starts), step)]
+    of = lambda numbers: F.array(*(F.lit(s) for s in numbers))
+    count = lambda numbers: F.size(F.filter(numbers, lambda s: s <= value))
+    inner = F.array(*(of(b) for b in blocks))
+    return let(count(of([b[0] for b in blocks])), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + count(F.element_at(inner, k))))
+
+
 def with_next(docs: DataFrame, partitions: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, text and, from the next document by doc_id (after the last: the first), next_text.
 
     ``extra`` names columns of the document that are wanted of the next one too. Documents are dealt once, by ranges of
-    doc_id between quantiles; the first document of a range is the one whose id is the quantile, so the seams between
-    ranges need only these few rows.
+    doc_id between quantiles, of which there are more the more text there is; the first document of a range is the one
+    whose id is the quantile, so the seams between ranges need only these few rows.
     """
     spark = docs.sparkSession
     extra = extra or {}
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(2**63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.min("_id"), F.percentile_approx("_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()
+    n = partitions or min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(rows) // TASK_BYTES))
+    # several ranges a task, so that tasks that are dealt more of them than others matter little
+    ranges = n * RANGES
+    cuts = rows.agg(F.min("_id"), F.percentile_approx("_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()
     starts = sorted({cuts[0], *(cuts[1] or [])} - {None}) or [0]
-    begins = F.array(*(F.lit(s) for s in starts))
-    rows = rows.withColumn("_range", F.size(F.filter(begins, lambda s: s <= F.col("_id"))))
+    rows = rows.withColumn("_range", place_among(starts, F.col("_id")))
     firsts = (
         rows.where(F.col("_id").isin(starts))
         .groupBy("_range")
@@ -92,7 +106,7 @@ def with_next(docs: DataFrame, partitions: int | None = None, extra: dict[str, C
     )
     w = Window.partitionBy("_range").orderBy("_id", "text")
     rows = rows.select("_range", "_id", "doc_id", "text", *(c.alias(k) for k, c in extra.items()))
-    rows = rows.withColumn("_next", F.lead(F.struct("text", *extra)).over(w)).join(firsts, "_range", "left")
+    rows = rows.repartition(n, "_range").withColumn("_next", F.lead(F.struct("text", *extra)).over(w)).join(firsts, "_range", "left")
     nxt = F.coalesce("_next", "_seam")
     return rows.select("doc_id", "text", *extra, nxt["text"].alias("next_text"), *(nxt[k].alias(f"next_{k}") for k in extra))
 

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowlake.llm.training import fold
+from flowlake.llm.training import drawn, fold
 
 PROFILE = 300
-#: At most about so many training documents of each language make its profile.
+#: At most about so many training documents of each language make its profile, chosen by a hash of doc_id and text.
 TRAINING_ROWS = 500
 UNKNOWN = "und"
 _GAP = 32
@@ -59,7 +59,9 @@ def train(docs: DataFrame, keep=None, bound: int = TRAINING_ROWS) -> dict[str, l
     keep = keep if keep is not None else fold(F.col("doc_id"), 4) != 2
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep)
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("share"))
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = rows.join(F.broadcast(shares), "lang").where(drawn(F.xxhash64("doc_id", "text"), F.col("share")))
+    # repeated rows do not enlarge the sample
+    chosen = chosen.groupBy("lang", "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

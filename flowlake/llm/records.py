@@ -12,6 +12,7 @@ other columns are left behind. A damaged record raises ValueError.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -23,11 +24,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import checkpointed, new_folder
+from flowlake.llm.common import checkpointed, new_folder, text_bytes
 from flowlake.llm.tokens import crc32_ids, encoder, vocabulary_path
 
 #: A data file is closed beyond this size, so the driver's manifest stays small and a lost reader repeats little.
 FILE_BYTES = 256 << 20
+#: Text of a range of doc_ids that one task encodes, about.
+PART_BYTES = 128 << 20
 #: Index mark for a null doc_id.
 NULL_ID = -(2**63)
 _MASK_DELTA = 0xA282EAD8
@@ -35,6 +38,11 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 _MANIFEST = "first_id long, part int, number int, file string, records long, tokens long"
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder as Spark names it: Hadoop's names of S3 are those of one scheme here."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def masked_crc(data: bytes) -> int:
     """crc32 rotated right by 15 bits plus a constant, so a checksum of data that hold checksums stays meaningful."""
     crc = zlib.crc32(data)
@@ -64,7 +72,7 @@ class _Writer:
 
     def __init__(self, folder: str, part: int, number: int, width: int):
         self.width = width
-        self.files, path = fs.FileSystem.from_uri(folder)
+        self.files, path = file_system(folder)
         self.files.create_dir(path, recursive=True)
         self.part, self.number = part, number
         self.file = f"{path}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}"
@@ -110,8 +118,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, pa
         yield pa.RecordBatch.from_pydict({n: pa.array([d[i] for d in done], pa.string() if n == "file" else pa.int32() if n in ("part", "number") else pa.int64()) for i, n in enumerate(names)})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(slim) // PART_BYTES)
+    # rows of one doc_id, or without one, may be cut apart anywhere
+    tie = F.monotonically_increasing_id()
+    ordered = slim.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id").select("doc_id", "text")
     return checkpointed(ordered.mapInArrow(write, _MANIFEST))
 
 
@@ -129,7 +139,7 @@ def read_records(spark: SparkSession, manifest: DataFrame, folder: str) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                where, _ = fs.FileSystem.from_uri(folder)
+                where, _ = file_system(folder)
                 with where.open_input_stream(file + ".idx") as f:
                     index = np.frombuffer(f.read(), dtype=_INDEX)
                 starts = start + np.cumsum(index["n_tokens"].astype(np.int64)) - index["n_tokens"].astype(np.int64)

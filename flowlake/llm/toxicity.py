@@ -1,9 +1,10 @@
 """3. Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, weak insult, threat, target, negation, reported speech, other). Small transducers rewrite
-symbols by what stands before them (a negated or reported insult is weakened, one near a target is directed); they are
-composed into one machine whose arcs carry weights, and it reads each clause that holds an insult or a threat. A
-document's score joins its clauses: 1 - product of exp(-clause weight). Threat words without a target are faint, more so
+Words are runs of letters, digits and their marks in any alphabet, whatever signs stand around them, and become symbols
+(insult, weak insult, threat, target, negation, reported speech, other). Small transducers rewrite symbols by what stands
+before them (a negated or reported insult is weakened, one near a target is directed); they are composed into one
+machine whose arcs carry weights, and it reads each clause that holds an insult or a threat. Where a target stands behind
+(insult, you), a transducer that reads the clause from its end has rewritten the symbols before. A document's score joins its clauses: 1 - product of exp(-clause weight). Threat words without a target are faint, more so
 if negated or reported: however many a document holds, they add at most FAINT_MOST, so they reject no text of any length,
 not even beside one softened insult. The lexicon of insults is learned from labels: a
 word or word beginning counts when it stands in many different contexts of toxic documents and hardly in others, so
@@ -20,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ REPORT_WORDS = "said says say told wrote claimed quoted called sagte schrieb beh
 THREAT_WORDS = "kill hurt destroy murder stab shoot beat burn umbringen töten schlagen tuer frapper détruire matar golpear destruir".split()
 
 
+#: Signs beyond ASCII: those that close a sentence, and all others that belong to no word.
+_SIGN = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7f]")
+_CLOSING = regex.compile(r"[^\P{Sentence_Terminal}\x00-\x7f]|…|；")
+
+
 @dataclass
 class Transducer:
     """A finite-state machine that reads a symbol and writes one, with a weight; without an arc it copies the symbol,
@@ -101,16 +108,31 @@ def compose(machines: list[Transducer], symbols: int = 11) -> tuple[np.ndarray,
 
 
 def grammar(weights: dict[int, float] = WEIGHTS | FAINT) -> tuple[np.ndarray, np.ndarray]:
+    soften = {INSULT: SOFTENED, WEAK: SOFTENED, DIRECTED: SOFTENED, THREAT: SOFTENED_THREAT, DIRECT_THREAT: SOFTENED_THREAT}
     return compose(
         [
-            after(NEGATION, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED_THREAT}, 3),
-            after(REPORT, {INSULT: SOFTENED, WEAK: SOFTENED, THREAT: SOFTENED_THREAT}, 6),
+            after(NEGATION, soften, 3),
+            after(REPORT, soften, 6),
             after(TARGET, {INSULT: DIRECTED, WEAK: INSULT, THREAT: DIRECT_THREAT}, 4),
             weigh(weights),
         ]
     )
 
 
+def backward(symbols: list[int], follow: list[list[tuple[int, int]]]) -> list[int]:
+    """The symbols of a clause, rewritten from its end on by a transducer given as state -> symbol -> (written, next)."""
+    out, state = symbols[:], 0
+    for i in range(len(symbols) - 1, -1, -1):
+        out[i], state = follow[state][symbols[i]]
+    return out
+
+
+def target_behind(reach: int = 2, symbols: int = 11) -> list[list[tuple[int, int]]]:
+    """An insult or a threat with a target at most ``reach`` words behind it is directed."""
+    t = after(TARGET, {INSULT: DIRECTED, THREAT: DIRECT_THREAT}, reach)
+    return [[t.step(state, s)[::2] for s in range(symbols)] for state in range(reach + 1)]
+
+
 @dataclass
 class Units:
     """Lower-cased words of some texts: hash, document, clause; and hashes of their beginnings (0: too short)."""
@@ -121,8 +143,13 @@ class Units:
     stems: dict[int, np.ndarray]
 
 
+def plain_signs(text: str) -> str:
+    """The text with ASCII signs only: every other sign becomes a space, or a full stop where it closes a sentence."""
+    return text if text.isascii() else _SIGN.sub(" ", _CLOSING.sub(".", text))
+
+
 def units(texts: list[str | None]) -> Units:
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    raw = [plain_signs((t or "").lower()).encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
     classes = CLASSES[data]
@@ -207,6 +234,7 @@ class Scorer:
         # the same states: weights are given by the last machine, which has only one
         self.follow, self.weight = (t.tolist() for t in grammar(WEIGHTS))
         self.faint = grammar(FAINT)[1].tolist()
+        self.behind = target_behind()
         self.fixed = [(s, word_hashes(w).view(np.int64)) for s, w in ((TARGET, TARGET_WORDS), (NEGATION, NEGATION_WORDS), (REPORT, REPORT_WORDS), (THREAT, THREAT_WORDS))]
         for _, table in self.fixed:
             table.sort()
@@ -229,7 +257,7 @@ class Scorer:
         firsts = np.append(np.flatnonzero(begins), len(word))
         for c in np.unique(clause[hits]).tolist():
             state, sum_, faint_sum = 0, 0.0, 0.0
-            for symbol in symbols[firsts[c] : firsts[c + 1]].tolist():
+            for symbol in backward(symbols[firsts[c] : firsts[c + 1]].tolist(), self.behind):
                 sum_ += self.weight[state][symbol]
                 faint_sum += self.faint[state][symbol]
                 state = self.follow[state][symbol]

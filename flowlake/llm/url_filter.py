@@ -3,8 +3,12 @@
 A rule fits its host and all subdomains, if the url's path starts with the rule's; the longest rule wins. The key
 universe is every distinct (host, path) of the pages; listed are the keys that a block rule judges. A cascade's even
 levels encode listed keys, its odd levels those unlisted keys that passed all levels before, and so on until no key of
-the universe is mistaken; so membership is exact for every page, and a page is judged without a join with the list.
-Keys are dealt to shards by hash, each with a cascade of bounded size.
+the universe is mistaken; so membership is exact for every page, and the cascade alone gives its verdict: listed is block.
+Keys are dealt to shards by hash, each with a cascade of bounded size. Pages are dealt by shard, those of a shard in parts
+of bounded size, and a part reads its cascade before its pages: no page is joined with a list at any size.
+
+Rules are looked up by host suffix and path beginning, so their number matters little; they name the rule of a page and
+tell once a key, when the cascades are built, what is listed.
 
 Cases: null urls and urls without ``://`` have empty host and path and fit no rule; urls no rule fits are not listed:
 allow; repeated rows are judged each; an empty table gives no rows; other columns are kept, result columns replaced.
@@ -36,8 +40,8 @@ RULES = (
 )
 #: About so many distinct keys share a cascade.
 SHARD_KEYS = 100_000
-#: Cascades up to this size go to all tasks; larger ones meet the distinct keys shard by shard.
-BROADCAST_BYTES = 64 << 20
+#: Pages of a shard that share one reading of its cascade.
+PART_ROWS = 1_000_000
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LEVELS = "shard long, level int, hashes int, size long, bits binary"
 
@@ -50,13 +54,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, else null."""
-    found = F.lit(None).cast("struct<rule: string, verdict: string>")
-    for verdict, own, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
-        fits = ((host == own) | host.endswith("." + own)) & path.startswith(prefix)
-        found = F.when(fits, F.struct(F.lit(own + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
-    return found
+class RuleBook:
+    """Rules by host, and for each host by path; of rules with the same host and path the last counts."""
+
+    def __init__(self, rules):
+        self.paths: dict[str, dict[str, str]] = {}
+        for verdict, host, path in rules:
+            self.paths.setdefault(host, {})[path] = verdict
+        self.lengths = {host: sorted({len(p) for p in paths}, reverse=True) for host, paths in self.paths.items()}
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """(rule, verdict) of the longest rule that fits; of two of one length the last in order."""
+        best = None
+        at = 0
+        while True:
+            own = host[at:]
+            for n in self.lengths.get(own, ()):
+                if n <= len(path) and (verdict := self.paths[own].get(path[:n])) is not None:
+                    best = max(best or (0, "", ""), (len(own) + n, own + path[:n], verdict))
+                    break
+            dot = host.find(".", at)
+            if dot < 0:
+                return best[1:] if best else (None, None)
+            at = dot + 1
+
+
+def rule_of(rules=RULES):
+    """A function of host and path columns: struct(rule, verdict), both null where no rule fits."""
+    book = RuleBook(rules)
+
+    @F.pandas_udf("rule string, verdict string")
+    def look(host: pd.Series, path: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([book.find(h, p) for h, p in zip(host, path)], columns=["rule", "verdict"], dtype=object)
+
+    return look
 
 
 def _places(h1: np.ndarray, h2: np.ndarray, level: int, i: int, size) -> np.ndarray:
@@ -138,38 +169,57 @@ def cascades(keys: DataFrame, shards: int) -> DataFrame:
     return keys.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, _LEVELS)
 
 
-def judge(pages: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """pages plus host, path, rule, verdict."""
+def listed_pages(pages: DataFrame, built: DataFrame, shards: int, h1: str, h2: str, listed: str) -> DataFrame:
+    """pages plus ``listed``: what the cascade of their shard says of (h1, h2)."""
+    names = [*pages.columns, listed]
+    shard = free_name(pages, "shard")
+    rows = pages.withColumn(shard, F.pmod(h1, F.lit(shards)))
+    # shards with pages for several parts: fewer rows than there are parts of PART_ROWS pages, so they fit every task
+    parts = rows.groupBy(shard).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.broadcast(checkpointed(parts.select(F.col(shard).alias("_shard"), "_parts")))
+    many = lambda df, own: df.join(parts, df[own] == F.col("_shard"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = many(rows.select(shard, F.struct(*pages.columns).alias("page")), shard)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_parts").cast("int"))
+    empty = lambda kind: F.lit(None).cast(kind)
+    left = many(built, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "level", "hashes", "size", "bits", empty(dealt.schema["page"].dataType).alias("page"))
+    right = dealt.select(F.col(shard).alias("shard"), "part", empty("int").alias("level"), empty("int").alias("hashes"), empty("long").alias("size"), empty("binary").alias("bits"), "page")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, levels, own = None, [], None
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)], axis=1)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else []
+            for i, j in zip(first, [*first[1:], len(key)]):
+                if (now := tuple(key[i].tolist())) != at:
+                    at, levels, own = now, [], None
+                some = b.slice(i, j - i)
+                cascade = some.filter(some.column(2).is_valid())
+                levels += [r | {"shard": 0} for r in cascade.select(["level", "hashes", "size", "bits"]).to_pylist()]
+                these = some.filter(some.column(2).is_null()).column(6)
+                if len(these) == 0:
+                    continue
+                own = own or Cascades.of(levels, 1)
+                columns = dict(zip(names, these.flatten()))
+                x, y = (columns[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in (h1, h2))
+                yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(own.has(np.zeros(len(x), dtype=np.int64), x, y))], names=names)
+
+    both = left.unionByName(right).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("level").asc_nulls_last())
+    return both.mapInArrow(look, pages.withColumn(listed, F.lit(True)).schema)
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """pages plus host, path, rule, verdict, and listed (with underscores where a column has that name)."""
     pages = pages.drop("host", "path", "rule", "verdict")
     h1, h2, listed = (free_name(pages, n) for n in ("h1", "h2", "listed"))
     url = F.col("url").cast("string")
+    find = rule_of(rules)
     rows = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     hashes = _hashes(F.col("host"), F.col("path"))
     rows = rows.withColumn(h1, hashes[0]).withColumn(h2, hashes[1])
-    blocked = F.coalesce(F.col("rule.verdict") == "block", F.lit(False))
-    keys = checkpointed(rows.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), blocked.alias("listed")).distinct())
+    keys = rows.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), "host", "path").distinct()
+    keys = keys.select("h1", "h2", F.coalesce(find("host", "path")["verdict"] == "block", F.lit(False)).alias("listed"))
+    keys = checkpointed(keys)
     shards = max(1, keys.count() // SHARD_KEYS)
-    built = checkpointed(cascades(keys, shards))
-    size = built.agg(F.sum(F.length("bits"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast(Cascades.of(built.collect(), shards))
-
-        @F.pandas_udf("boolean")
-        def is_listed(a: pd.Series, b: pd.Series) -> pd.Series:
-            x, y = (c.to_numpy(dtype=np.int64) for c in (a, b))
-            return pd.Series(shared.value.has(np.mod(x, shards), x.view(np.uint64), y.view(np.uint64)))
-
-        rows = rows.withColumn(listed, is_listed(h1, h2))
-    else:
-
-        def look(part: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-            own = Cascades.of(levels.assign(shard=0).to_dict("records"), 1)
-            x, y = (part[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("h1", "h2"))
-            return pd.DataFrame({h1: part["h1"], h2: part["h2"], listed: own.has(np.zeros(len(part), dtype=np.int64), x, y)})
-
-        dealt = keys.select("h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard"))
-        looked = dealt.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(look, f"`{h1}` long, `{h2}` long, `{listed}` boolean")
-        rows = rows.join(looked, [h1, h2])
-    method = F.when(F.col(listed), "block").otherwise("allow")
-    return rows.select(*pages.columns, "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", method).alias("verdict"), F.col(listed).alias("listed"))
+    rows = listed_pages(rows, checkpointed(cascades(keys, shards)), shards, h1, h2, listed)
+    verdict = F.when(F.col(listed), "block").otherwise("allow")
+    return rows.select(*pages.columns, "host", "path", find("host", "path")["rule"].alias("rule"), verdict.alias("verdict"), listed)
