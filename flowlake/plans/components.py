@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from flowlake.plans.lineage import cut
 
 
+#: Edges that one task deals with at least: small graphs are dealt with by few tasks, whatever the session's partitions.
+TASK_EDGES = 250_000
+
+
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, component (smallest id reachable) of every endpoint of edges(a, b).
 
@@ -17,16 +21,18 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null")
     stars = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    tasks = stars.count() // TASK_EDGES + 1
     before = None
     for _ in range(max_rounds):
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        stars = stars.coalesce(tasks)
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.where("u = v"))
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        stars = cut(hung.distinct())
+        stars = cut(hung.coalesce(tasks).distinct().coalesce(tasks))
         # sums of bounded hashes: equal when no edge changed
         mark = stars.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
         if mark == before:
@@ -34,4 +40,4 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = mark
     else:
         raise RuntimeError("components did not settle")
-    return stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    return stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).coalesce(tasks)
