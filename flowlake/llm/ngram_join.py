@@ -55,7 +55,7 @@ BLOCK = 4096
 #: A list with more pairs than rows, and than this, is dense.
 SPARSE = 10
 #: Turns over dense lists by proposals, before the turn that hands on all pairs left.
-TURNS = 3
+TURNS = 1
 #: Partners of one text that are verified by one task.
 HUB_ROWS = 256
 
