@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("events", "nation", "pages")
+BASE_TABLES = ("events", "nation", "pages", "customer", "supplier", "part")
 
 FLOWS = r"""
 SELECT k AS flow_id, 1704067200000000 + k*250000 AS recv_us,
@@ -36,8 +36,11 @@ FROM (
 GEO_BLOCKS = r"""
 SELECT CAST(n_nationkey AS BIGINT) AS block_id, 93 AS o1, CAST(n_nationkey AS INT) AS o2,
  CAST(93*16777216 + n_nationkey*65536 AS BIGINT) AS ip_lo, CAST(93*16777216 + n_nationkey*65536 + 65535 AS BIGINT) AS ip_hi,
- CAST(CASE WHEN n_nationkey%5=0 THEN 38.0 ELSE -60+5*n_nationkey END AS DOUBLE) AS lat, CAST(CASE WHEN n_nationkey%5=0 THEN -97.0 ELSE -170+13*n_nationkey END AS DOUBLE) AS lon, n_name AS country FROM nation
-UNION ALL SELECT CAST(1000 AS BIGINT), 203, 0, CAST(3405803776 AS BIGINT), CAST(3405804031 AS BIGINT), CAST(10.0 AS DOUBLE), CAST(20.0 AS DOUBLE), 'ZZ'
+ CAST(CASE WHEN n_nationkey%5=0 THEN 38.0 ELSE -60+5*n_nationkey END AS DOUBLE) AS lat, CAST(CASE WHEN n_nationkey%5=0 THEN -97.0 ELSE -170+13*n_nationkey END AS DOUBLE) AS lon, n_name AS country,
+ CAST(NULL AS STRING) AS hex_lo, CAST(NULL AS STRING) AS hex_hi FROM nation
+UNION ALL SELECT CAST(1000 AS BIGINT), 203, 0, CAST(3405803776 AS BIGINT), CAST(3405804031 AS BIGINT), CAST(10.0 AS DOUBLE), CAST(20.0 AS DOUBLE), 'ZZ', NULL, NULL
+UNION ALL SELECT CAST(1001 AS BIGINT), NULL, NULL, NULL, NULL, CAST(12.0 AS DOUBLE), CAST(34.0 AS DOUBLE), 'YY', '26064700000000000000000000000000', '26064700ffffffffffffffffffffffff'
+UNION ALL SELECT CAST(1002 AS BIGINT), NULL, NULL, NULL, NULL, CAST(-12.0 AS DOUBLE), CAST(56.0 AS DOUBLE), 'XY', '26064700000000000000000000000000', '2606470000000000000000000000003f'
 """
 
 ROUTE_HOPS = r"""
@@ -47,6 +50,25 @@ SELECT concat('93.',CAST(r%25 AS STRING),'.0.',CAST(r AS STRING)) AS dst_ip, 170
  FROM (SELECT DISTINCT event_id*7%97 AS r FROM events) q CROSS JOIN (SELECT 1 AS idx UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) h WHERE r%16 < 14
 """
 
+#: One place for each customer; nations are landmasses.
+PLACES = r"""
+SELECT c_custkey AS id, CAST((c_custkey*7919)%36000 AS DOUBLE)/100 - 180 AS lon, CAST((c_custkey*104729)%15000 AS DOUBLE)/100 - 75 AS lat, CAST(c_nationkey AS BIGINT) AS landmass, concat('c', CAST(c_custkey AS STRING)) AS name FROM customer
+"""
+
+#: One site for each supplier: cable landings and centres of small areas.
+SITES = r"""
+SELECT s_suppkey AS id, CAST((s_suppkey*9973)%36000 AS DOUBLE)/100 - 180 AS lon, CAST((s_suppkey*50021)%15000 AS DOUBLE)/100 - 75 AS lat FROM supplier
+"""
+
+#: Traced routes to one address for each customer, over hops that are places of other customers.
+TRACES = r"""
+SELECT concat('95.', CAST(CAST(floor(k/62500.0) AS BIGINT)%250 AS STRING), '.', CAST(CAST(floor(k/250.0) AS BIGINT)%250 AS STRING), '.', CAST(k%250 AS STRING)) AS dst_ip, 1704067200000000 + k*1000000 AS traced_us, idx, hop,
+ CASE WHEN (k+idx)%6=0 THEN NULL ELSE CAST(idx*(5+k%40) AS DOUBLE) END AS rtt_ms, lon, lat
+FROM (SELECT CAST(q.k AS BIGINT) AS k, h.idx, 1 + ((q.k%46337)*(q.k%46337)*CAST(h.f AS BIGINT) + q.k*7)%2147483647%(SELECT max(c_custkey) FROM customer) AS hop FROM (SELECT c_custkey AS k FROM customer) q
+ CROSS JOIN (SELECT CAST(1 AS INT) AS idx, 48271 AS f UNION ALL SELECT CAST(2 AS INT), 69621 UNION ALL SELECT CAST(3 AS INT), 39373 UNION ALL SELECT CAST(4 AS INT), 39373) h) s
+JOIN (SELECT c_custkey AS id, CAST((c_custkey*7919)%36000 AS DOUBLE)/100 - 180 AS lon, CAST((c_custkey*104729)%15000 AS DOUBLE)/100 - 75 AS lat FROM customer) p ON p.id = s.hop
+"""
+
 SNI_LOG = r"""
 SELECT page_id AS obs_id, 1704067200000000 + page_id*60000000 AS ts_us,
  concat('93.',CAST((page_id*7%97)%25 AS STRING),'.0.',CAST(page_id*7%97 AS STRING)) AS dst_addr,
@@ -61,7 +83,7 @@ SELECT suffix, min(app) AS app, min(category) AS category FROM (
  UNION ALL SELECT 'example.org','ExampleOrg','cloud') u GROUP BY suffix
 """
 
-FIXTURES = {"flows": FLOWS, "geo_blocks": GEO_BLOCKS, "route_hops": ROUTE_HOPS, "sni_log": SNI_LOG, "app_rules": APP_RULES}
+FIXTURES = {"flows": FLOWS, "geo_blocks": GEO_BLOCKS, "places": PLACES, "sites": SITES, "traces": TRACES, "route_hops": ROUTE_HOPS, "sni_log": SNI_LOG, "app_rules": APP_RULES}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.flow import flow_end_us, flow_start_us, protocol_number, recv_us
-from flowlake.functions.ip import bogon_class, ip_number, is_local
+from flowlake.functions.ip import bogon_class, ip6_hex, ip_number, is_local
+from flowlake.plans.lineage import cut
 
-#: A dimension up to this many rows is sent to all tasks; a larger one is joined as Spark sees fit.
-BROADCAST_ROWS = 1_000_000
+#: A dimension of up to this many bytes is sent to all tasks; a larger one is joined as Spark sees fit.
+BROADCAST_BYTES = 32 << 20
 
 
-def dimension(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if a bounded count shows that it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def dimension(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, computed once, and marked for broadcast if its rows measure at most ``most`` bytes."""
+    held = cut(df)
+    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct(*held.columns))) + 16)).first()[0] or 0
+    return F.broadcast(held) if size <= most else held
 
 
 def usable(flows: DataFrame) -> DataFrame:
@@ -56,28 +59,62 @@ def normalise_netflow(items: DataFrame) -> DataFrame:
     )
 
 
-def cidr_join(addresses: DataFrame, ip_col: str, blocks: DataFrame) -> DataFrame:
-    """Each distinct IPv4 address with the narrowest block that holds it (ties: lowest ip_lo), as struct ``block``.
+#: Hexadecimal digits of the cells of IPv6 blocks: a block lies in cells of the longest of these not beyond its prefix.
+CELLS_V6 = (4, 8, 12, 16)
 
-    Blocks are laid out in /16 cells, so the join is on equality of cells with the range as a residual; a block wider
-    than /8 would need more than 256 cells, so such blocks are laid out in /8 cells and joined apart.
-    """
-    named = addresses.select(F.col(ip_col).alias("ip")).distinct().withColumn("n", ip_number(F.col("ip"))).where("n is not null")
+
+def _hits_v4(named: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Addresses with the IPv4 blocks that hold them. Blocks are laid out in /16 cells; a block wider than /8 would need
+    more than 256 of them, so such blocks are laid out in /8 cells and joined apart."""
     found = None
+    rows = named.withColumn("n", ip_number(F.col("ip"))).where("n is not null")
     for shift, wide in ((16, False), (24, True)):
         width = F.col("ip_hi") - F.col("ip_lo")
         part = blocks.where(width >= 1 << 24 if wide else width < 1 << 24)
         cells = part.withColumn("cell", F.explode(F.sequence(F.shiftright("ip_lo", shift), F.shiftright("ip_hi", shift))))
-        hits = named.withColumn("cell", F.shiftright("n", shift)).join(cells, "cell").where("n between ip_lo and ip_hi")
-        hits = hits.select("ip", (F.col("ip_hi") - F.col("ip_lo")).alias("_width"), "ip_lo", F.struct(*blocks.columns).alias("block"))
+        hits = rows.withColumn("cell", F.shiftright("n", shift)).join(cells, "cell").where("n between ip_lo and ip_hi")
+        hits = hits.select("ip", F.lpad(F.hex(F.col("ip_hi") - F.col("ip_lo")), 8, "0").alias("_first"), F.lpad(F.hex("ip_lo"), 8, "0").alias("_then"), F.struct(*blocks.columns).alias("block"))
         found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("ip").agg(F.min_by("block", F.struct("_width", "ip_lo")).alias("block"))
+    return found
+
+
+def _hits_v6(named: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The same for IPv6 blocks, whose bounds hex_lo and hex_hi are 32 hexadecimal digits. A block of a prefix of 16 bits or
+    more lies in one cell; a shorter prefix lies in one 16-bit cell for each of its values."""
+    same = F.length(F.regexp_extract(F.concat_ws(",", "hex_lo", "hex_hi"), r"^([0-9a-f]*)[0-9a-f]*,\1", 1))
+    digits = F.lit(CELLS_V6[0])
+    for n in CELLS_V6[1:]:
+        digits = F.when(same >= n, n).otherwise(digits)
+    first = lambda c: F.conv(F.substring(c, 1, 4), 16, 10).cast("int")
+    wide = F.transform(F.sequence(first("hex_lo"), first("hex_hi")), lambda i: F.lpad(F.lower(F.hex(i)), 4, "0"))
+    cells = blocks.where("hex_lo is not null").withColumn("_digits", digits)
+    cells = cells.withColumn("cell", F.explode(F.when(same < CELLS_V6[0], wide).otherwise(F.array(F.expr("substring(hex_lo, 1, _digits)"))))).drop("_digits")
+    rows = named.where(F.col("ip").contains(":")).withColumn("h", ip6_hex(F.col("ip"))).where("h is not null")
+    rows = rows.withColumn("cell", F.explode(F.array(*(F.substring("h", 1, n) for n in CELLS_V6))))
+    hits = rows.join(cells, "cell").where("h between hex_lo and hex_hi")
+    # of nested blocks the inner one ends first, or else begins last
+    inverse = F.translate("hex_lo", "0123456789abcdef", "fedcba9876543210")
+    return hits.select("ip", F.col("hex_hi").alias("_first"), inverse.alias("_then"), F.struct(*blocks.columns).alias("block"))
+
+
+def cidr_join(addresses: DataFrame, ip_col: str, blocks: DataFrame) -> DataFrame:
+    """Each distinct address with the narrowest block that holds it (ties: lowest bound), as struct ``block``.
+
+    Blocks have ip_lo and ip_hi (IPv4 numbers) or hex_lo and hex_hi (IPv6, 32 hexadecimal digits); the join is on equality
+    of cells with the range as a residual.
+    """
+    named = addresses.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
+    found = _hits_v4(named, blocks)
+    if "hex_lo" in blocks.columns:
+        found = found.unionByName(_hits_v6(named, blocks))
+    return found.groupBy("ip").agg(F.min_by("block", F.struct("_first", "_then")).alias("block"))
 
 
 def places_of(addresses: DataFrame, ip_col: str, blocks: DataFrame, home: tuple[float, float]) -> DataFrame:
     """Ip and struct ``place`` (lat, lon, country, city, is_home) of each distinct address that has one: home for
     local addresses, else the block's place."""
-    blocks = blocks.select("ip_lo", "ip_hi", *(F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("lat", "lon", "country", "city"))).dropna(subset=["lat", "lon"])
+    bounds = [c for c in ("ip_lo", "ip_hi", "hex_lo", "hex_hi") if c in blocks.columns]
+    blocks = blocks.select(*bounds, *(F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("lat", "lon", "country", "city"))).dropna(subset=["lat", "lon"])
     named = addresses.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
     rows = named.join(cidr_join(named, "ip", blocks), "ip", "left")
     point = lambda lat, lon, country, city, home_: F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), country.cast("string").alias("country"), city.cast("string").alias("city"), F.lit(home_).alias("is_home"))

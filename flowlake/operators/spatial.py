@@ -10,23 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowlake.functions.geo import densify, haversine_km, in_ring, wrap_lon
+from flowlake.plans.lineage import cut
 
 KM_PER_DEGREE = 111.19492664455873
 
 
-def _cell(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    return df.withColumn("cx", F.floor(wrap_lon(F.col(lon)))).withColumn("cy", F.least(F.lit(89), F.floor(F.col(lat))))
+def _cell(df: DataFrame, lon: str = "lon", lat: str = "lat", size: int = 1) -> DataFrame:
+    """Cells of ``size`` degrees, which must divide 90; numbered from -180 / size and -90 / size."""
+    return df.withColumn("cx", F.floor(wrap_lon(F.col(lon)) / size)).withColumn("cy", F.least(F.lit(90 // size - 1), F.floor(F.col(lat) / size)))
 
 
-def _spread(df: DataFrame, degrees: int) -> DataFrame:
-    """Rows in their cell and all cells within ``degrees`` of arc."""
-    rows = _cell(df)
-    dy = F.explode(F.sequence(F.col("cy") - degrees, F.col("cy") + degrees))
-    rows = rows.withColumn("_y", dy).where("_y between -90 and 89")
+def _spread(df: DataFrame, degrees: int, size: int = 1) -> DataFrame:
+    """Rows in their cell and all cells of ``size`` degrees within ``degrees`` of arc."""
+    rows = _cell(df, size=size)
+    up, across, half = -(-degrees // size), 360 // size, 180 // size
+    dy = F.explode(F.sequence(F.col("cy") - up, F.col("cy") + up))
+    rows = rows.withColumn("_y", dy).where(f"_y between {-90 // size} and {90 // size - 1}")
     # the widest longitude difference within an angle of a point; a pole within reach means all longitudes
     widest = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(float(degrees)))) / F.cos(F.radians("lat")))))
-    reach = F.when(F.abs("lat") + degrees >= 89.999, F.lit(180)).otherwise(F.least(F.lit(180), F.ceil(widest) + 1)).cast("int")
-    cells = F.when(reach >= 180, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.array_distinct(F.transform(F.sequence(F.col("cx").cast("int") - reach, F.col("cx").cast("int") + reach), lambda x: F.pmod(x + 180, F.lit(360)) - 180)))
+    reach = F.when(F.abs("lat") + degrees >= 89.999, F.lit(half)).otherwise(F.least(F.lit(half), F.ceil(widest / size) + 1)).cast("int")
+    cells = F.when(reach >= half, F.sequence(F.lit(-half), F.lit(half - 1))).otherwise(F.array_distinct(F.transform(F.sequence(F.col("cx").cast("int") - reach, F.col("cx").cast("int") + reach), lambda x: F.pmod(x + half, F.lit(across)) - half)))
     return rows.withColumn("_x", F.explode(cells)).drop("cx", "cy")
 
 
@@ -44,29 +47,37 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(points: DataFrame, targets: DataFrame, k: int, same: str | None = None, radii: tuple[int, ...] = (2, 8, 30)) -> DataFrame:
-    """Id, target, dist, rank of the k nearest targets of each point; with ``same``, only those equal in that column.
+#: Rings of knn and the size of their cells, in degrees: wider rings have coarser cells.
+RINGS = ((2, 1), (10, 3), (30, 10), (90, 30))
 
-    Points search rings of growing width. A point is done once its k-th neighbour is nearer than anything outside the
-    ring can be; the few that the widest ring leaves search all targets, dealt by ``same`` and target.
+
+def knn(points: DataFrame, targets: DataFrame, k: int, same: str | None = None, rings: tuple[tuple[int, int], ...] = RINGS) -> DataFrame:
+    """Id, target, dist, rank of the k nearest targets of each point; with ``same``, only those equal in that column
+    (null equals null).
+
+    Points of a group of at most k targets meet all of these at once. The others search rings of growing width, by cell
+    and group. A point is done once its k-th neighbour is nearer than anything outside the ring can be; the few that the
+    widest ring leaves search their whole group, in slices.
     """
-    own = ["id", "lon", "lat"] + ([same] if same else [])
-    left, done = points.select(*own), None
-    goal = targets.select(F.col("id").alias("target"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), *([F.col(same).alias("_same")] if same else []))
-    keep = F.col("id") != F.col("target")
-    if same:
-        keep = keep & F.col(same).eqNullSafe(F.col("_same"))
+    group = F.struct(F.col(same)) if same else F.lit(1)
+    left, done = points.select("id", "lon", "lat", F.xxhash64(group).alias("_g"), group.alias("_same")), None
+    goal = targets.select(F.col("id").alias("target"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), F.xxhash64(group).alias("_g"), group.alias("_tsame"))
+    keep = (F.col("id") != F.col("target")) & F.col("_same").eqNullSafe(F.col("_tsame"))
     dist = haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
-    for r in radii:
-        cells = _cell(goal, "tlon", "tlat").withColumnsRenamed({"cx": "_x", "cy": "_y"})
-        near = _nearest(_spread(left, r).join(cells, ["_x", "_y"]).where(keep).select("id", "target", dist.alias("dist")), k)
-        sure = near.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= r * KM_PER_DEGREE)).select("id")
-        found = near.join(sure, "id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        left = left.join(sure, "id", "left_anti")
-    # the whole globe: every leftover point with every target, by a key of target slices
+    few = goal.groupBy("_g").count().where(F.col("count") <= k + 1).select("_g")
+    done = _nearest(left.join(few, "_g", "left_semi").join(goal, "_g").where(keep).select("id", "target", dist.alias("dist")), k)
+    left = left.join(few, "_g", "left_anti")
+    for degrees, size in rings:
+        cells = _cell(goal, "tlon", "tlat", size).withColumnsRenamed({"cx": "_x", "cy": "_y"})
+        near = _nearest(_spread(left, degrees, size).join(cells, ["_x", "_y", "_g"]).where(keep).select("id", "target", dist.alias("dist")), k)
+        near = cut(near)
+        sure = near.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= degrees * KM_PER_DEGREE)).select("id")
+        done = done.unionByName(near.join(sure, "id", "left_semi"))
+        left = cut(left.join(sure, "id", "left_anti"))
+        if left.isEmpty():
+            return done
     slices = 16
-    rest = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(goal.withColumn("_s", F.pmod(F.xxhash64("target"), F.lit(slices)).cast("int")), "_s").where(keep)
+    rest = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(goal.withColumn("_s", F.pmod(F.xxhash64("target"), F.lit(slices)).cast("int")), ["_g", "_s"]).where(keep)
     return done.unionByName(_nearest(rest.select("id", "target", dist.alias("dist")), k))
 
 

@@ -147,7 +147,8 @@ def top_k(rollup: DataFrame, k_by_axis: dict[str, int] | None = None) -> DataFra
 
 
 def live_report(flows: DataFrame, now: int, seconds: float = 60) -> DataFrame:
-    """The top of every axis with throughput each way."""
+    """The top of every axis with throughput each way, over the clamped window."""
+    seconds = clamp(seconds, 1, 600)
     top = top_k(axis_rollup(flows, now, seconds))
     return top.select("axis", "rank", "key", "country", "bytes", throughput(F.col("bytes_in"), seconds).alias("bps_in"), throughput(F.col("bytes_out"), seconds).alias("bps_out"))
 

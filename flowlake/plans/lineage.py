@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept by a reliable checkpoint in spark.checkpoint.dir (a folder of our own where unset, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, set for checkpoints too; where it is unset (as in tests), a folder of our own."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="flowlake-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowlake-"))
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowlake.functions.flow import app_confidence, geo_confidence, relocation_confidence
 from flowlake.functions.geo import haversine_km
@@ -50,17 +49,23 @@ def observed_geo_pass(flows: DataFrame, ip_geo: DataFrame) -> tuple[DataFrame, D
 
 
 def relocations(ip_geo: DataFrame, routes: DataFrame, home: tuple[float, float]) -> DataFrame:
-    """C2's anchors: ip, anchor place and index, confidence, for dirty addresses that their round-trip times rule out."""
+    """C2's anchors: ip, anchor place and index, confidence, for dirty addresses that their round-trip times rule out.
+
+    A route's hops lie in one row, so its longest time and W1, the deepest hop that its own time allows, are found within
+    the row; the join with the dirty addresses is the only exchange.
+    """
     lat, lon = F.lit(float(home[0])), F.lit(float(home[1]))
-    cand = ip_geo.where("dirty and source <> 'manual'").join(routes.select(F.col("dst_ip").alias("ip"), "hops", "hop_count"), "ip")
-    hops = cand.select("ip", "hop_count", F.explode("hops").alias("h")).select("ip", "hop_count", F.col("h.idx").alias("idx"), F.col("h.lat").alias("hlat"), F.col("h.lon").alias("hlon"), F.col("h.ip").alias("hip"), F.col("h.rtt_ms").alias("rtt"))
-    hops = hops.where("hlat is not null and rtt is not null").withColumn("hdist", haversine_km(lat, lon, F.col("hlat"), F.col("hlon")))
-    worst = hops.groupBy("ip").agg(F.max("rtt").alias("dst_rtt"))
-    imp = cand.select("ip", "lat", "lon", F.col("country").alias("mm_country")).join(worst, "ip").withColumn("mm_dist", haversine_km(lat, lon, F.col("lat"), F.col("lon")))
-    imp = imp.where(F.col("mm_dist") > F.col("dst_rtt") * 100)
-    deepest = Window.partitionBy("ip").orderBy(F.desc("idx"), "hip")  # W1
-    anchor = hops.where(F.col("hdist") <= F.col("rtt") * 100 + 50).withColumn("_r", F.row_number().over(deepest)).where("_r = 1").drop("_r")
-    return anchor.join(imp.select("ip", "dst_rtt", "mm_country", "mm_dist"), "ip").withColumn("conf", relocation_confidence(F.col("idx"), F.col("hop_count")))
+    usable = F.filter("hops", lambda h: h["lat"].isNotNull() & h["rtt_ms"].isNotNull())
+    far = lambda h: haversine_km(lat, lon, h["lat"], h["lon"])
+    # ascending order puts the deepest hop first, of several with one index the lowest address
+    key = lambda h: F.struct((-h["idx"]).alias("place"), h["ip"].alias("ip"), h["lat"].alias("lat"), h["lon"].alias("lon"), h["rtt_ms"].alias("rtt"))
+    measured = routes.select(F.col("dst_ip").alias("ip"), "hop_count", usable.alias("hops")).select(
+        "ip", "hop_count", F.array_max(F.transform("hops", lambda h: h["rtt_ms"])).alias("dst_rtt"), F.array_min(F.transform(F.filter("hops", lambda h: far(h) <= h["rtt_ms"] * 100 + 50), key)).alias("h")
+    )
+    cand = ip_geo.where("dirty and source <> 'manual'").select("ip", F.col("country").alias("mm_country"), haversine_km(lat, lon, F.col("lat"), F.col("lon")).alias("mm_dist"))
+    rows = cand.join(measured.where("h is not null"), "ip").where(F.col("mm_dist") > F.col("dst_rtt") * 100)
+    found = rows.select("ip", "hop_count", (-F.col("h.place")).alias("idx"), F.col("h.lat").alias("hlat"), F.col("h.lon").alias("hlon"), F.col("h.ip").alias("hip"), F.col("h.rtt").alias("rtt"), "dst_rtt", "mm_country", "mm_dist")
+    return found.withColumn("conf", relocation_confidence(F.col("idx"), F.col("hop_count")))
 
 
 def relocate(ip_geo: DataFrame, routes: DataFrame, home: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +73,7 @@ def relocate(ip_geo: DataFrame, routes: DataFrame, home: tuple[float, float]) ->
     found = relocations(ip_geo, routes, home)
     prev = ip_geo.select("ip", F.col("corr_lat").alias("old_lat"), F.col("corr_lon").alias("old_lon"), F.coalesce("corr_source", F.lit("observed")).alias("old_source"))
     moved = found.join(prev, "ip").where(~(F.col("old_lat").eqNullSafe(F.col("hlat")) & F.col("old_lon").eqNullSafe(F.col("hlon"))))
+    # Fixed value: the format of the audit note.
     notes = F.format_string(
         "mm=%s@%dkm rtt=%sms bound=%dkm -> anchor=%s hop %d/%d",
         F.coalesce("mm_country", F.lit("")), F.round("mm_dist").cast("bigint"), F.format_number("dst_rtt", 1), F.round(F.col("dst_rtt") * 100).cast("bigint"), F.coalesce("hip", F.lit("")), "idx", "hop_count",

@@ -49,9 +49,17 @@ class Table:
     def version(self) -> int | None:
         pointer = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(pointer):
-            return None
+            return self._newest_whole()
         return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
 
+    def _newest_whole(self) -> int | None:
+        """The newest version that was written to its end, where a pointer is lost."""
+        if not self._fs.exists(self._path(self.path)):
+            return None
+        names = [e.getPath().getName() for e in self._fs.listStatus(self._path(self.path))]
+        whole = [int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
+        return max(whole, default=None)
+
     def read(self, version: int | None = None) -> DataFrame:
         """The current (or a given) version; empty before the first."""
         version = self.version() if version is None else version
@@ -67,8 +75,12 @@ class Table:
         out = self._fs.create(draft, True)
         out.write(bytearray(str(version).encode()))
         out.close()
-        self._fs.delete(pointer, False)
-        self._fs.rename(draft, pointer)
+        # one step that overwrites: readers see the old pointer or the new one, never none
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        where = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        where.rename(where.makeQualified(draft), where.makeQualified(pointer), options)
         old = self._path(f"{self.path}/v={version - self.keep}")
         if version > self.keep and self._fs.exists(old):
             self._fs.delete(old, True)
@@ -77,11 +89,14 @@ class Table:
     def upsert(self, updates: DataFrame, key: str = "ip", keep: tuple[str, ...] = (), protect: str | None = "manual") -> int:
         return self.publish(merge(self.read(), updates, key, keep, protect))
 
-    def append(self, rows: DataFrame) -> None:
-        """Audit rows, next to the versions."""
-        rows.write.mode("append").parquet(f"{self.path}/log")
+    def append(self, rows: DataFrame, run: int = 0) -> None:
+        """Audit rows, next to the versions. The rows of a pass with an id (``run`` above 0) take the place of those
+        that an earlier attempt at the same pass left; without one they are added."""
+        rows.write.mode("overwrite" if run else "append").parquet(f"{self.path}/log/run={run}")
 
-    def log(self) -> DataFrame:
+    def log(self, upto: int | None = None) -> DataFrame:
+        """Audit rows; with ``upto``, of passes up to that id only."""
         if not self._fs.exists(self._path(f"{self.path}/log")):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/log")
+        rows = self.spark.read.schema(f"{self.schema}, run int").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log")
+        return (rows if upto is None else rows.where(F.col("run") <= upto)).drop("run")

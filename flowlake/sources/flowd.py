@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlake.schemas import FLOW_RECORD
 
@@ -80,17 +81,26 @@ def records(data: bytes) -> Iterator[dict]:
         at += 8 + 4 * words
 
 
-def read_flowd(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """Flow records plus file and error; one task a file (rotate logs to bound a task)."""
+#: Larger files are an error: a file is one task, and its bytes lie in memory whole.
+MOST_BYTES = 512 << 20
+
+
+def decode_files(files: DataFrame, mode: str = "PERMISSIVE", most: int = MOST_BYTES) -> DataFrame:
+    """Flow records plus file and error of files(path, length, content); a file of more than ``most`` bytes gives an error
+    and none of its bytes is read (rotate logs to stay below)."""
     schema = f"{FLOW_RECORD}, file string, error string"
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    kinds = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in spark.createDataFrame([], schema).schema])
+    # the content of too large a file is never asked for
+    fits = F.when(F.col("length") <= most, F.col("content"))
+    kinds = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in files.sparkSession.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, file in enumerate(b.column(0).to_pylist()):
                 rows = []
+                content = b.column(1)[i].as_py()
                 try:
+                    if content is None:
+                        raise FlowdError(f"file too large: more than {most} bytes")
                     for row in records(content):
                         rows.append({**row, "file": file})
                         if len(rows) == 10_000:
@@ -102,7 +112,14 @@ def read_flowd(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
                     rows.append({"file": file, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.mapInArrow(run, schema)
+    return files.select("path", fits.alias("content")).mapInArrow(run, schema)
+
+
+def read_flowd(spark: SparkSession, path: str, mode: str = "PERMISSIVE", most: int = MOST_BYTES) -> DataFrame:
+    """decode_files over the files of a path."""
+    small = spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "length", "content")
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return decode_files(small.unionByName(large), mode, most)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "ts_us long, src_addr string, src_port int, dst_addr string, dst_port int, sni string"
 # Fixed values of the formats: magic -> (byte order, fractions of a second); link types; ethertypes; TLS codes.
@@ -127,5 +128,14 @@ def packets_to_sni(captures: DataFrame) -> DataFrame:
     return captures.select("content").mapInArrow(run, SCHEMA)
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    return packets_to_sni(spark.read.format("binaryFile").load(path))
+#: Larger captures are an error: a capture is one task, and its bytes lie in memory whole.
+MOST_BYTES = 512 << 20
+
+
+def read_pcap(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """Server names of the captures of a path; ValueError where one has more than ``most`` bytes (rotate to stay below)."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > most).select("path").limit(1).collect()
+    if large:
+        raise ValueError(f"capture too large: {large[0]['path']} has more than {most} bytes")
+    return packets_to_sni(files)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.functions.ip import canonical_ip
+from flowlake.functions.ip import canonical_ip, ip6_hex, ip_number
 from flowlake.operators.enrich import normalise_netflow, places_of
 from flowlake.schemas import HOPS
 
@@ -79,8 +79,7 @@ def check_services(services: DataFrame, expected: int | None = None) -> DataFram
 
 
 def _network_bounds(network: Column) -> tuple[Column, Column, Column]:
-    from flowlake.functions.ip import ip_number
-
+    """ip_lo, ip_hi of an IPv4 network, and its prefix length."""
     bits = F.split_part(network, F.lit("/"), F.lit(2)).try_cast("int")
     size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("bigint")
     first = ip_number(F.split_part(network, F.lit("/"), F.lit(1)))
@@ -88,10 +87,30 @@ def _network_bounds(network: Column) -> tuple[Column, Column, Column]:
     return low, low + size - 1, bits
 
 
-def read_geo_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """ip_lo, ip_hi, prefix_len, lat, lon, country, city of IPv4 networks in CSV (network, latitude, longitude,
-    country, city_en, city_any); rows without both coordinates are dropped, English city names preferred."""
-    rows = spark.read.schema("network string, latitude double, longitude double, country string, city_en string, city_any string").csv(path, header=True)
+def _network_bounds_v6(network: Column) -> tuple[Column, Column]:
+    """hex_lo, hex_hi of an IPv6 network in canonical text: digits within the prefix, then zeros or f's."""
+    bits = F.split_part(network, F.lit("/"), F.lit(2)).try_cast("int")
+    digits = ip6_hex(F.split_part(network, F.lit("/"), F.lit(1)))
+    whole, rest = F.floor(bits / 4).cast("int"), bits % 4
+    free = F.lit(16) / F.pow(F.lit(2.0), rest)  # values of the digit that the prefix cuts
+    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    low = digit - F.pmod(digit, free.cast("int"))
+    one = lambda d: F.when(rest > 0, F.lower(F.hex(d))).otherwise(F.lit(""))
+    end = lambda d, fill: F.rpad(F.concat(F.substr(digits, F.lit(1), whole), one(d)), 32, fill)
+    ok = digits.isNotNull() & bits.between(0, 128)
+    return F.when(ok, end(low.cast("bigint"), "0")), F.when(ok, end((low + free - 1).cast("bigint"), "f"))
+
+
+def geo_blocks(rows: DataFrame) -> DataFrame:
+    """ip_lo, ip_hi (IPv4) or hex_lo, hex_hi (IPv6), prefix_len, lat, lon, country, city of rows(network, latitude,
+    longitude, country, city_en, city_any); rows without both coordinates or of no network are dropped, English city
+    names preferred."""
     low, high, bits = _network_bounds(F.col("network"))
-    out = rows.select(low.alias("ip_lo"), high.alias("ip_hi"), bits.alias("prefix_len"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "country", F.coalesce("city_en", "city_any").alias("city"))
-    return out.dropna(subset=["ip_lo", "lat", "lon"])
+    low6, high6 = _network_bounds_v6(F.col("network"))
+    out = rows.select(low.alias("ip_lo"), high.alias("ip_hi"), low6.alias("hex_lo"), high6.alias("hex_hi"), bits.alias("prefix_len"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "country", F.coalesce("city_en", "city_any").alias("city"))
+    return out.where("ip_lo is not null or hex_lo is not null").dropna(subset=["lat", "lon"])
+
+
+def read_geo_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """S7 from CSV files with a header."""
+    return geo_blocks(spark.read.schema("network string, latitude double, longitude double, country string, city_en string, city_any string").csv(path, header=True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def cap_keys(partials: DataFrame, n: int = 4000) -> DataFrame:
 
 
 class _Sources(StatefulProcessor):
-    """Per destination: source -> last time seen."""
+    """Per destination: source -> last time seen. A timer drops sources once the watermark has left them behind."""
 
     def __init__(self, seconds: int, threshold: int):
         self.span, self.threshold = seconds * 1_000_000, threshold
@@ -85,50 +86,70 @@ class _Sources(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         flows = pd.concat(rows).sort_values(["recv_us", "flow_id"])
         last = {k[0]: v[0] for k, v in self.seen.iterator()}
-        at_start = dict(last)
-        out = []
-        for now, same in flows.groupby("recv_us", sort=True):
-            for src in same["src_addr"]:
-                last[src] = max(now, last.get(src, now))
-            n = sum(1 for t in last.values() if now - self.span <= t <= now)
-            out.append(same.assign(distinct_sources=n, flag=n > self.threshold)[["flow_id", "dst_addr", "recv_us", "distinct_sources", "flag"]])
-        newest = max(last.values())
-        for src, t in last.items():
+        known = flows.dropna(subset=["src_addr"])
+        times = pd.concat([pd.DataFrame({"src_addr": list(last), "recv_us": list(last.values())}), known[["src_addr", "recv_us"]]]).astype({"recv_us": "int64"})
+        times = times.drop_duplicates().sort_values(["src_addr", "recv_us"], ignore_index=True)
+        # a source counts from a time on until the span after its last one: starts and ends of such intervals
+        at, src = times["recv_us"].to_numpy(), times["src_addr"].to_numpy()
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (src[1:] != src[:-1]) | (at[1:] - at[:-1] > self.span)
+        starts, ends = np.sort(at[fresh]), np.sort(at[np.append(fresh[1:], True)[: len(at)]]) + self.span
+        now = flows["recv_us"].to_numpy()
+        n = np.searchsorted(starts, now, side="right") - np.searchsorted(ends, now, side="left")
+        newest = int(now[-1])
+        for s, t in times.groupby("src_addr", sort=False)["recv_us"].max().items():
             if t < newest - self.span:
-                if src in at_start:
-                    self.seen.removeKey((src,))
-            elif at_start.get(src) != t:
-                self.seen.updateValue((src,), (int(t),))
-        yield pd.concat(out)
+                if s in last:
+                    self.seen.removeKey((s,))
+            elif last.get(s) != t:
+                self.seen.updateValue((s,), (int(t),))
+        self._timer((newest + self.span) // 1000 + 1)
+        yield flows.assign(distinct_sources=n, flag=n > self.threshold)[["flow_id", "dst_addr", "recv_us", "distinct_sources", "flag"]]
+
+    def _timer(self, ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def fan_in_stream(stream: DataFrame, seconds: int = 60, threshold: int = 30) -> DataFrame:
+def fan_in_stream(stream: DataFrame, seconds: int = 60, threshold: int = 30, delay: str = "1 minute") -> DataFrame:
     """T5: fan-in of each flow as it arrives, from state by destination (needs the RocksDB state store). Flows must
-    arrive in order of time across micro-batches; within one they are sorted."""
-    rows = stream.select("dst_addr", "src_addr", "recv_us", "flow_id").groupBy("dst_addr")
-    return rows.transformWithStateInPandas(_Sources(seconds, threshold), "flow_id long, dst_addr string, recv_us long, distinct_sources long, flag boolean", "append", "none")
+    arrive in order of time across micro-batches; within one they are sorted. A source leaves the state ``seconds`` after
+    it was last seen, at the latest when the watermark, ``delay`` behind the newest flow, has passed that time; flows later
+    than the watermark are dropped. A flow without a source adds none; those without a destination or time are left out.
+    One destination's flows of a micro-batch are one group: bound them by the trigger's size."""
+    rows = timed(stream.where("dst_addr is not null and recv_us is not null").select("dst_addr", "src_addr", "recv_us", "flow_id")).withWatermark("recv_time", delay)
+    return rows.groupBy("dst_addr").transformWithStateInPandas(_Sources(seconds, threshold), "flow_id long, dst_addr string, recv_us long, distinct_sources long, flag boolean", "append", "eventTime")
 
 
 def run_passes(spark: SparkSession, now: int, tables: dict, flows: DataFrame, sni_log: DataFrame, home: tuple[float, float]) -> dict[str, int]:
     """One round of all passes over state tables (see plans.state.Table), each from the versions read at its start;
-    an outer scheduler, or every n-th micro-batch, calls it. Returns the new versions."""
+    an outer scheduler, or every n-th micro-batch, calls it. Returns the new versions.
+
+    A pass is named by the version it will publish. Its decisions are written under that name before the version, in the
+    place of those an interrupted attempt left, so an attempt that is made again tells nothing twice."""
     from flowlake.plans import passes
     from flowlake.plans.lineage import cut
 
-    versions = {}
-    old = tables["ip_geo"].read()
-    state, made = passes.observed_geo_pass(flows, old)
+    geo, apps, told, told_apps = (tables[n] for n in ("ip_geo", "ip_app", "geo_decisions", "app_decisions"))
+    before = geo.version() or 0
+    state, made = passes.observed_geo_pass(flows, geo.read(before or None))
     state, made = cut(state), cut(made)
-    tables["geo_decisions"].append(made)
     moved, why = passes.relocate(state, tables["routes"].read(), home)
-    moved, why = cut(moved), cut(why)
-    tables["geo_decisions"].append(why)
-    versions["ip_geo"] = tables["ip_geo"].publish(moved)
-    tables["geo_decisions"].append(cut(passes.bogon_audit(moved, tables["geo_decisions"].log())))
-    apps, told = passes.ip_app_pass(sni_log, tables["ip_app"].read(), now)
-    tables["app_decisions"].append(cut(told))
-    versions["ip_app"] = tables["ip_app"].publish(cut(apps))
+    moved = cut(moved)
+    reserved = passes.bogon_audit(moved, told.log(before))
+    told.append(cut(made.unionByName(why, allowMissingColumns=True).unionByName(reserved, allowMissingColumns=True)), before + 1)
+    versions = {"ip_geo": geo.publish(moved)}
+    before = apps.version() or 0
+    kept, made = passes.ip_app_pass(sni_log, apps.read(before or None), now)
+    kept = cut(kept)
+    told_apps.append(cut(made), before + 1)
+    versions["ip_app"] = apps.publish(kept)
     return versions

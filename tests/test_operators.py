@@ -1,3 +1,4 @@
+import ipaddress
 import math
 import random
 
@@ -12,6 +13,7 @@ from flowlake.operators import detect, enrich, spatial, stats
 from flowlake.plans import graph, passes
 from flowlake.plans.components import component_labels
 from flowlake.schemas import GEO_DECISIONS, HOPS, IP_APP, IP_GEO
+from flowlake.sources import text
 
 LOCAL = "10.0.0.1 172.16.5.4 192.168.1.1 127.0.0.1 169.254.1.1 100.64.0.1 224.0.0.1 0.0.0.0 ::1 fe80::1 fc00::1 fd12::1 ff02::1".split()
 PUBLIC = "8.8.8.8 203.0.113.10 1.1.1.1 2606:4700:4700::1111".split()
@@ -60,6 +62,21 @@ def test_narrowest_block_wins(spark):
     assert {r["ip"]: (r["g"]["country"], r["g"]["is_home"]) if r["g"] else None for r in rows} == {"93.0.1.7": ("slim", False), "93.0.2.7": ("wide", False), "5.5.5.5": ("all", False), "2606::1": None, "10.0.0.1": (None, True), None: None}
 
 
+def test_narrowest_block_of_either_family(spark):
+    nets = "::/0 2000::/3 2606:4700::/32 2606:4700::/33 2606:4700:8000::/34 2606:4700:0:1::/64 2606:4700:0:1::5/128 2a00:10:20:30:40::/76 93.0.0.0/16 93.0.1.0/24 bad/10 93.0.0.0/x".split()
+    rows = [(n, 1.0, 2.0, n, None, "any") for n in nets] + [("94.0.0.0/8", None, 2.0, "no place", None, None)]
+    blocks = text.geo_blocks(spark.createDataFrame(rows, "network string, latitude double, longitude double, country string, city_en string, city_any string"))
+    assert blocks.count() == 10
+    ips = "2606:4700::1 2606:4700:8000::1 2606:4700:c000::1 2606:4700:0:1::5 2606:4700:0:1::6 2a00:10:20:30:4f:: 2a00:10:20:30:50:: 2400::1 f000::1 93.0.1.7 93.0.2.7 94.1.1.1 ::ffff:93.0.1.7".split()
+    want = {}
+    for ip in ips:
+        a = ipaddress.ip_address(ip)
+        fits = [n for n in map(ipaddress.ip_network, nets[:10]) if n.version == a.version and a in n]
+        want[ip] = str(max(fits, key=lambda n: n.prefixlen)) if fits else None
+    found = enrich.cidr_join(spark.createDataFrame([(i,) for i in ips], "ip string"), "ip", blocks).collect()
+    assert {r["ip"]: r["block"]["country"] for r in found} == {i: n for i, n in want.items() if n}
+
+
 def agg_flows(spark):
     rows = [(1, 10**8, "192.0.2.10", "8.8.8.8", 1000, 1, True, False, None, "US"), (2, 10**8, "1.1.1.1", "192.0.2.10", 5000, 5, False, True, "AU", None), (3, 10, "1.1.1.1", "192.0.2.10", 7, 1, False, True, "AU", None), (4, 10**8, "1.1.1.1", "192.0.2.10", 0, 1, False, True, "AU", None)]
     return spark.createDataFrame([(*r, "https", 0, 15169, 443, 40000, 6) for r in rows], "flow_id long, recv_us long, src_addr string, dst_addr string, octets long, packets long, src_home boolean, dst_home boolean, src_country string, dst_country string, service string, src_as long, dst_as long, src_port int, dst_port int, protocol int")
@@ -85,6 +102,35 @@ def test_fan_in_sweep_equals_sets(spark):
     assert a == b and any(r[2] for r in a) and not all(r[2] for r in a)
 
 
+def test_fan_in_keeps_rows_without_ends(spark):
+    rows = [(1, 10, "d", "s"), (2, 20, "d", None), (3, 30, None, "s"), (4, None, "d", "t"), (5, 30, "d", "u"), (6, 30, "d", "u"), (7, 30 + 61_000_000, "d", "s")]
+    flows = spark.createDataFrame(rows, "flow_id long, recv_us long, dst_addr string, src_addr string")
+    for method in ("sweep", "sets"):
+        got = {r["flow_id"]: r["distinct_sources"] for r in detect.fan_in(flows, 60, 30, method).collect()}
+        assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 2, 6: 2, 7: 1}, method
+
+
+def test_windows_are_clamped_for_rates_too(spark):
+    flows, now = agg_flows(spark), 10**8
+    long, most = (sorted(tuple(r) for r in stats.live_report(flows, now, s).collect()) for s in (1200, 600))
+    assert long == most and long
+
+
+def test_dimensions_are_sent_by_their_size(spark):
+    df = spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 100))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(enrich.dimension(df)) and not hinted(enrich.dimension(df, 50_000))
+    assert enrich.dimension(df).count() == 1000
+
+
+def test_sql_functions(spark):
+    from flowlake.functions.register import register_functions
+
+    register_functions(spark)
+    r = spark.sql("SELECT geo_haversine_km(0, 0, 0, 180) AS km, direction(true, null) AS d, in_cidr('93.0.1.7', '93.0.0.0/16') AS a, in_cidr('::1', '93.0.0.0/16') AS b, in_cidr(null, '::/0') AS c, bogon_class('10.1.1.1') AS x, bogon_class('8.8.8.8') AS y").first()
+    assert r["km"] == pytest.approx(math.pi * 6371) and tuple(r)[1:] == ("out", True, False, None, "private-use", None)
+
+
 def test_geometry(spark):
     one = spark.range(1)
     km = one.select(geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("k"), geo.wrap_lon(F.lit(190.0)).alias("w"), geo.grid_cell(F.lit(-4.5), 3).alias("c")).first()
@@ -192,6 +238,37 @@ def test_every_query_is_registered():
     assert set(catalog.QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
 
 
+def test_bridges_of_chains_landings_and_zones(spark):
+    # islands half a degree apart: each joins once its neighbour has
+    chain = [(i, 0.45 * i, 0.0) for i in range(5)]
+    hubs = spark.createDataFrame(chain + [(10, 100.0, 10.0), (20, 120.0, 10.0)], "id long, lon double, lat double")
+    edges = spark.createDataFrame([(0, 1, 50.0)], "a long, b long, km double")
+    built = lambda **kw: {(r["a"], r["b"]) for r in graph.bridge(hubs, edges, **kw).collect()}
+    near = {(i, i + 1) for i in range(4)}
+    assert built() == near
+    landings = spark.createDataFrame([(1, 100.1, 10.0)], "id long, lon double, lat double")
+    # pieces without a landing have no other link and are joined at once; 10 is served by its own
+    assert built(landings=landings) == {(0, 1), (1, 2), (1, 3), (1, 4), (1, 20)}
+    wall = spark.createDataFrame([(1, 1, [(0.6, -1.0), (0.8, -1.0), (0.8, 1.0), (0.6, 1.0)])], "id long, grp long, ring array<struct<lon: double, lat: double>>")
+    assert (1, 2) not in built(zones=wall)
+
+
+def test_legs_go_by_land_cable_or_circle(spark):
+    square = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    land = spark.createDataFrame([(1, 10, square(0.0, 0.0, 10.0, 10.0)), (2, 20, square(20.0, 0.0, 30.0, 10.0))], "id long, grp long, ring array<struct<lon: double, lat: double>>")
+    hubs = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 1.0), (3, 21.0, 1.0), (4, 29.0, 9.0), (5, 5.0, 9.0)], "id long, lon double, lat double")
+    edge = lambda rows: spark.createDataFrame(rows, "a long, b long, km double")
+    network = {"land": edge([(1, 2, 900.0)]), "cable": edge([(2, 3, 1300.0)]), "joint": edge([(1, 2, 900.0), (2, 3, 1300.0)])}
+    p = lambda lon, lat: (lon, lat)
+    legs = spark.createDataFrame([(1, p(1.04, 1.0), p(9.0, 1.0)), (2, p(1.0, 1.0), p(21.0, 1.0)), (3, p(1.0, 1.0), p(29.0, 9.0)), (4, p(5.0, 9.0), p(1.0, 1.0)), (5, p(1.01, 1.0), p(9.01, 1.0))], "i long, a struct<lon: double, lat: double>, b struct<lon: double, lat: double>")
+    routed = legs.withColumn("key", graph.od_key(F.col("a"), F.col("b"))).join(graph.leg_routes(legs, network, hubs, land), "key").collect()
+    assert {r["i"]: (r["rule"], [x["lon"] for x in r["via"]]) for r in routed} == {1: ("land", [1.0, 9.0]), 2: ("joint", [1.0, 9.0, 21.0]), 3: ("circle", []), 4: ("circle", []), 5: ("land", [1.0, 9.0])}
+    hops = spark.createDataFrame([("x", [(1, "a", 1.0, 1.0, None, 1.0), (2, "b", 1.0, 21.0, None, 2.0)])], f"dst_ip string, hops {HOPS}")
+    (line,) = graph.route_polylines(hops, network, hubs, land).collect()
+    lons = [round(x["lon"], 3) for x in line["points"]]
+    assert lons[0] == 1.0 and 9.0 in lons and lons[-1] == 21.0 and lons == sorted(lons) and len(lons) == 1 + 4 + 5
+
+
 def test_bridges_that_do_not_settle_are_an_error(spark):
     islands = spark.createDataFrame([(i, 0.45 * i, 0.0) for i in range(4)], "id long, lon double, lat double")
     with pytest.raises(RuntimeError):

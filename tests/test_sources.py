@@ -136,3 +136,35 @@ def test_seed_rules(spark):
     rows = seed_app_rules(spark, own)
     assert rows.count() == len({s[0] for s in SEEDS}) and rows.where("app = 'Mine'").count() == 1
     assert seed_app_rules(spark).count() == rows.count()
+
+
+def test_files_beyond_the_bound_are_errors(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(GOLDEN * 3)
+    (tmp_path / "b.log").write_bytes(GOLDEN)
+    rows = flowd.read_flowd(spark, str(tmp_path), most=200).collect()
+    assert sum(r["error"] is None for r in rows) == 1 and [r["error"].split(":")[0] for r in rows if r["error"]] == ["file too large"]
+    with pytest.raises(ValueError, match="too large"):
+        pcap.read_pcap(spark, str(tmp_path), most=200)
+
+
+def test_a_lost_pointer_falls_back_to_the_newest_whole_version(spark, tmp_path):
+    table = Table(spark, str(tmp_path), "t", "ip string, n long")
+    for n in (1, 2):
+        table.publish(spark.createDataFrame([("a", n)], "ip string, n long"))
+    assert table.version() == 2
+    (tmp_path / "t" / "CURRENT").unlink()
+    (tmp_path / "t" / ".CURRENT.crc").unlink(missing_ok=True)
+    (tmp_path / "t" / "v=3").mkdir()  # a version cut off before its end
+    assert table.version() == 2 and table.read().first()["n"] == 2
+    assert table.publish(spark.createDataFrame([("a", 3)], "ip string, n long")) == 3 and table.read().first()["n"] == 3
+
+
+def test_decisions_of_a_repeated_pass_are_told_once(spark, tmp_path):
+    table = Table(spark, str(tmp_path), "d", "ip string")
+    rows = spark.createDataFrame([("a",), ("b",)], "ip string")
+    table.append(rows, 1)
+    table.append(rows, 1)
+    table.append(rows.limit(1), 2)
+    assert table.log().count() == 3 and table.log(1).count() == 2
+    table.append(rows)
+    assert table.log(0).count() == 2
