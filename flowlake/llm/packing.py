@@ -2,8 +2,8 @@
 
 Every document's ids (with an end id) are cut into pieces of at most ``capacity`` ids. The plan needs only how many
 pieces there are of each length, so it is made from a histogram of at most ``capacity`` counts. From the longest
-length down, combinations of one, two or three lengths that exactly fill the gap are looked up by their sum among the
-lengths still available and consumed in bulk; what has no complement goes to the sequence with the tightest gap. The
+length down, combinations of one, two or three lengths that exactly fill the gap are looked up in an index of single,
+pair and triple sums and consumed in bulk, as far as all their lengths are available; what has no complement goes to the sequence with the tightest gap. The
 plan is a bounded table (length, ranks) -> sequences, which places all pieces in parallel.
 
 Cases: null or empty text: one piece holding the end id alone; empty table: no rows; repeated rows: each is packed on
@@ -25,6 +25,8 @@ from flowlake.llm.tokens import crc32_ids, encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
+#: Pieces of one length that a task ranks, about, and slots that pieces of one length are dealt to at most.
+SLOT_ROWS, MOST_SLOTS = 100_000, 1 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,32 +52,60 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity:
     return slim.mapInArrow(cut, _PIECES)
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum ``gap``; of several, those available most often."""
-    if left[gap]:
-        return (gap,)
-    short = np.arange(1, gap // 2 + 1)
-    both = np.minimum(left[short], left[gap - short])
-    twice = short * 2 == gap
-    both[twice] = left[short[twice]] // 2
-    if len(both) and both.max():
-        a = int(short[both.argmax()])
-        return gap - a, a
-    present = np.flatnonzero(left[: max(0, gap - 1)])
-    for c in present[::-1].tolist():  # the largest of the three
-        rest = gap - c
-        a = np.arange(max(1, rest - c), rest // 2 + 1)
-        if len(a) == 0:
-            continue
-        left[c] -= 1
-        able = (left[a] > 0) & (left[rest - a] > 0) & ((a * 2 != rest) | (left[a] > 1))
-        left[c] += 1
-        if able.any():
-            a0 = int(a[able.argmax()])
-            return c, rest - a0, a0
-        if 3 * c < gap:
-            break
-    return None
+class SumIndex:
+    """Lengths and pairs of lengths by their sum, built once; an entry leaves once a length of it is used up, for good, as
+    counts only fall. Triples are a single and a pair by their sum, so they need no entries of their own."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        present, capacity = np.flatnonzero(left), len(left) - 1
+        kind = np.int16 if capacity < 1 << 14 else np.int32
+        # the shorter lengths that still fit beside each length: at most capacity^2 / 4 pairs, in few bytes a length
+        beside = [present[: np.searchsorted(present, min(n, capacity - n), side="right")].astype(kind) for n in present.tolist()]
+        large = np.repeat(present.astype(kind), [len(b) for b in beside])
+        small = np.concatenate([np.empty(0, dtype=kind), *beside])
+        sums = large + small
+        # of one sum, the pair that can be taken most often comes first
+        often = np.where(large == small, left[small] // 2, np.minimum(left[large], left[small]))
+        order = np.argsort((sums.astype(np.int64) << 40) - np.minimum(often, (1 << 40) - 1), kind="stable")
+        self.large, self.small = large[order], small[order]
+        bounds = np.searchsorted(sums[order], np.arange(len(left) + 1))
+        self.at, self.end = bounds[:-1].copy(), bounds[1:]
+
+    def _able(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[n] >= lengths.count(n) for n in lengths)
+
+    def pair(self, gap: int) -> tuple[int, int] | None:
+        """The first pair of this sum whose lengths are left."""
+        at, end, left = int(self.at[gap]), int(self.end[gap]), self.left
+        while at < end:
+            large, small = self.large[at : min(at + 256, end)], self.small[at : min(at + 256, end)]
+            able = np.flatnonzero((left[large] > 0) & (left[small] > 0) & ((large != small) | (left[large] > 1)))
+            if len(able):
+                self.at[gap] = at + able[0]
+                return int(large[able[0]]), int(small[able[0]])
+            at += len(large)
+        self.at[gap] = end
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths with the sum ``gap``."""
+        if self.left[gap]:
+            return (gap,)
+        if (found := self.pair(gap)) is not None:
+            return found
+        # singles that are left, and whose rest has pairs left, from the longest on
+        singles = np.flatnonzero(self.left[:gap])
+        rests = gap - singles
+        for single in singles[self.at[rests] < self.end[rests]][::-1].tolist():
+            rest = gap - single
+            if self.pair(rest) is None:
+                continue
+            for i in range(self.at[rest], self.end[rest]):
+                found = single, int(self.large[i]), int(self.small[i])
+                if self._able(found):
+                    return found
+        return None
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -87,10 +117,11 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     if left[capacity]:
         done.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    sums = SumIndex(left)
     for length in range(capacity - 1, 0, -1):
         while left[length]:
             left[length] -= 1
-            found = _complement(left, capacity - length)
+            found = sums.complement(capacity - length)
             left[length] += 1
             if found is None:
                 break
@@ -145,35 +176,34 @@ def allocation(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, piece, length, ...)."""
     spark = pieces.sparkSession
-    spread = min(256, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # the commonest length may hold most pieces: as many slots as give each a bounded share of it
+    most = pieces.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+    spread = min(MOST_SLOTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), most // SLOT_ROWS))
     slots = pieces.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int"))
-    # at most capacity x 256 rows, whatever the input
-    sizes = slots.groupBy("length", "_slot").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
-    bases = []
-    for length, slot, n in sorted(sizes):
-        bases.append((length, slot, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    # at most capacity rows go to the driver, whatever the input; the bases of the slots stay a table
+    sizes = checkpointed(slots.groupBy("length", "_slot").agg(F.count("*").alias("_n")))
+    ahead = Window.partitionBy("length").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "_slot", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = allocation(plan_patterns(counts, capacity))
     keys = (table[:, 0] << 45) + table[:, 1]
-    base_of = np.full((capacity + 1, spread), 0, dtype=np.int64)
-    for length, slot, n in bases:
-        base_of[length, slot] = n
     names = pieces.columns
-    ranked = slots.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_slot").orderBy("doc_id", "piece")).cast("long"))
-    shared = spark.sparkContext.broadcast((table, keys, base_of))
+    order = Window.partitionBy("length", "_slot").orderBy("doc_id", "piece")
+    ranked = slots.withColumn("_rank", F.row_number().over(order).cast("long") - 1).join(bases, ["length", "_slot"])
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base"))
+    shared = spark.sparkContext.broadcast((table, keys))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys, base_of = shared.value
+        table, keys = shared.value
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False)
-            rank = b.column("_rank").to_numpy(zero_copy_only=False) - 1 + base_of[length, b.column("_slot").to_numpy(zero_copy_only=False)]
+            rank = b.column("_rank").to_numpy(zero_copy_only=False)
             row = table[np.searchsorted(keys, (length << 45) + rank, side="right") - 1] if len(rank) else np.empty((0, 4), dtype=np.int64)
             arrays = [b.column(n) for n in names] + [pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "sequence_id", "offset"])
 
     schema = pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.select(*names, "_slot", "_rank").mapInArrow(place, schema)
+    return ranked.select(*names, "_rank").mapInArrow(place, schema)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -38,9 +38,14 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 _MANIFEST = "first_id long, part int, number int, file string, records long, tokens long"
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder's name as Arrow knows it: Hadoop's several names of S3 are one scheme there."""
+    return re.sub("^s3[an]://", "s3://", uri)
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder as Spark names it: Hadoop's names of S3 are those of one scheme here."""
-    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+    """The file system and path of a folder as Spark names it."""
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def masked_crc(data: bytes) -> int:

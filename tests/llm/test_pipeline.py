@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from flowlake.llm import ngram_join, packing
-from test_numbered import brute_components, brute_hits, check_packing, labelled, near_docs, shingles
+from test_numbered import brute_hits, check_packing, labelled, near_docs, shingles
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_stages(spark, tables):
     for name, expected in (
         ("toxicity", lambda ids: {i for i in ids if not toxic.get(i)}),
         ("language_id", lambda ids: {i for i in ids if any(c.isalpha() for c in text[i] or "")}),
-        ("ngram_jaccard_join", lambda ids: {i for i, (_, c) in brute_components([(i, text[i]) for i in ids]).items() if i == c}),
+        ("ngram_jaccard_join", lambda ids: brute_near_copies([(i, text[i]) for i in ids])),
         ("benchmark_decontamination", lambda ids: ids - {h[0] for h in brute_hits([(i, text[i]) for i in ids], items)}),
     ):
         out = stages[name](spark, docs, folder)
@@ -51,6 +51,18 @@ def test_stages(spark, tables):
     check_packing(rows, docs, packing.CAPACITY)
 
 
+def test_stages_of_empty_repeated_and_long_rows(spark, tables):
+    folder, _, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = " ".join(f"long{k % 9000}" for k in range(40_000))
+    base = docs.where("doc_id < 400").unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((5000, long), (5001, long + " end"), (5002, "a repeated row"), (5002, "a repeated row"))], docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    left = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, base, folder).collect()}
+    assert 5000 in left and 5001 not in left and 5002 in left
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, base, folder).where("doc_id = 5002").count() == 2
+
+
 def test_run_gives_the_last_stage(spark, tables):
     folder, _, _ = tables
     out = corpus_pipeline.run(spark, folder)
