@@ -11,13 +11,15 @@ from flowlake.ship import shipped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar does not reject."""
+    """Documents that the toxicity grammar does not reject. Null, empty and wordless texts stay, as their score is 0;
+    repeated rows are judged alike; without labels only the fixed words reject."""
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).where("predicted = 0").select(docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without a letter go."""
+    """Documents in one of the learned languages; null texts and texts without a letter go. Where there is no training row
+    at all, every document goes, as no language is known."""
     judged = langid.identify(docs, langid.train(docs))
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
@@ -30,12 +32,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null and empty texts contain none and stay; rows of one doc_id are one
+    document and go together; rows without a doc_id go by their own texts."""
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document left."""
+    """The place of every piece of every document left: a null or empty text is one piece of the end id alone, repeated rows
+    are packed each, very long texts are cut into pieces."""
     return packing.pack_documents(spark, docs)
 
 
