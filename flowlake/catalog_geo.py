@@ -288,7 +288,7 @@ def route_polylines(spark, sf_dir):
     _LINES + f""", hp AS (SELECT a, b, i, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM unw WINDOW w AS (PARTITION BY a ORDER BY b, i)),
 q AS (SELECT a, count(*)::INT AS n_points, max({HAVERSINE.format("plat", "plon", "lat", "lon")}) FILTER (plat IS NOT NULL) AS hop, sum({HAVERSINE.format("plat", "plon", "lat", "lon")}) FILTER (plat IS NOT NULL) AS len, min(lat) AS lo, max(lat) AS hi,
  arg_min(lat, (b, i)) AS flat, arg_min(lon, (b, i)) AS flon, arg_max(lat, (b, i)) AS llat, arg_max(lon, (b, i)) AS llon FROM hp GROUP BY a)
-SELECT a AS dst_ip, n_points, round(hop, 3) AS max_hop_km, round(len, 3) AS length_km, round(CASE WHEN {HAVERSINE.format("flat", "flon", "llat", "llon")} >= 0.001 THEN len / {HAVERSINE.format("flat", "flon", "llat", "llon")} END, 3) AS detour, round(lo, 3) AS min_lat, round(hi, 3) AS max_lat FROM q""",
+SELECT a AS dst_ip, n_points, round(hop, 3) AS max_hop_km, round(len, 3) AS length_km, round(CASE WHEN {HAVERSINE.format("flat", "flon", "llat", "llon")} >= 0.001 THEN len / ({HAVERSINE.format("flat", "flon", "llat", "llon")}) END, 3) AS detour, round(lo, 3) AS min_lat, round(hi, 3) AS max_lat FROM q""",
     "traces",
 )
 def route_quality(spark, sf_dir):

@@ -11,6 +11,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+#: What a batch of rows may take on its way to a Python worker, where the session does not say so itself: rows hold whole
+#: texts, and a batch lies in memory several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    given = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,11 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """``f(spark, ...)`` after the package was sent."""
+    """``f(spark, ...)`` after the package was sent and batches were bounded."""
 
     @wraps(f)
     def call(spark: SparkSession, *args) -> DataFrame:
         ship(spark)
+        bound_batches(spark)
         return f(spark, *args)
 
     return call
