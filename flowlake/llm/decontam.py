@@ -84,10 +84,14 @@ def document_hashes(docs: DataFrame, widths: list[int], limits: dict[int, list[t
     for each width, only of hashes that a partition within reach may hold."""
 
     def of(width: int):
+        row = lambda x, reach: F.struct(F.lit(width).alias("width"), reach.alias("reach"), x.alias("h"))
+
         def hashes(h: Column) -> Column:
-            reach, limit = reached(F.size(h), limits[width]) if limits else (F.lit(None).cast("int"), None)
-            few = F.filter(h, lambda x: x <= limit) if limits else h
-            return F.transform(few, lambda x: F.struct(F.lit(width).alias("width"), reach.alias("reach"), x.alias("h")))
+            if not limits:
+                return F.transform(h, lambda x: row(x, F.lit(None).cast("int")))
+            reach, limit = reached(F.size(h), limits[width])
+            # both once a document, not once a hash
+            return let(F.struct(reach.alias("reach"), limit.alias("limit")), lambda r: F.transform(F.filter(h, lambda x: x <= r["limit"]), lambda x: row(x, r["reach"])))
 
         return hashes
 
