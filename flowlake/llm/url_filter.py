@@ -41,7 +41,7 @@ RULES = (
 #: About so many distinct keys share a cascade.
 SHARD_KEYS = 100_000
 #: Pages of a shard that share one reading of its cascade.
-PART_ROWS = 1_000_000
+PART_ROWS = 200_000
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LEVELS = "shard long, level int, hashes int, size long, bits binary"
 
