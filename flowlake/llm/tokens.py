@@ -21,7 +21,7 @@ from flowlake.llm.hashing import LONG, block, blocks_of, range_hashes, runs
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Entries of the memo of one Python worker; it is emptied beyond this, which changes speed only.
-MEMO_LIMIT = 2_000_000
+MEMO_LIMIT = 400_000
 
 #: In a text of these characters only, the tokenizer splits runs of letters from runs of other marks, whatever stands
 #: around them, and no normal form changes them. Apostrophes and "<|" (contractions, special tokens) are left out.
