@@ -25,13 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *tables: str):
+def query(sql: str | None = None, *tables: str, recursive: bool = False):
     """Registers a query and, given SQL that follows common table expressions, its oracle over the named fixtures."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = with_fixtures(sql, *tables)
+            body = with_fixtures(sql, *tables)
+            ORACLE_SQL[f.__name__] = body.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else body
         return f
 
     return add

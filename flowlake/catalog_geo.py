@@ -12,7 +12,7 @@ from flowlake.catalog import HAVERSINE, gathered, query, traces_of
 from flowlake.fixtures import fixture
 from flowlake.functions import geo
 from flowlake.operators import spatial, stats
-from flowlake.plans import graph
+from flowlake.plans import cables, graph
 from flowlake.plans.lineage import cut
 
 _DIST = HAVERSINE.format("a.lat", "a.lon", "b.lat", "b.lon")
@@ -182,12 +182,17 @@ def sssp(spark, sf_dir):
     return graph.shortest(edges, first).select("id", F.round("dist", 3).alias("dist"))
 
 
-def network_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Land edges between near places of one rectangle, cables between the first hops, and both together."""
+def land_edges(spark: SparkSession, sf_dir: str, km: float = 600) -> DataFrame:
+    """Land edges between near places of one rectangle."""
     hubs = cut(spatial.locate(places_of(spark, sf_dir), land_of(spark)).select("id", "lon", "lat", "grp"))
     grp = lambda e: hubs.select(F.col("id").alias(e), F.col("grp").alias(f"g{e}"))
-    land = spatial.within_km(hubs, hubs, 600).where("a < b").join(grp("a"), "a").join(grp("b"), "b").where("ga = gb")
-    land = cut(land.select("a", "b", F.round("dist", 3).alias("km")))
+    land = spatial.within_km(hubs, hubs, km).where("a < b").join(grp("a"), "a").join(grp("b"), "b").where("ga = gb")
+    return cut(land.select("a", "b", F.round("dist", 3).alias("km")))
+
+
+def network_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Land edges, cables between the first hops, and both together."""
+    land = land_edges(spark, sf_dir)
     cable = cut(hop_edges(spark, sf_dir, 2).distinct())
     return {"land": land, "cable": cable, "joint": land.unionByName(cable)}
 
@@ -241,6 +246,122 @@ def routed_polylines(spark, sf_dir):
     return lines.select("dst_ip", F.size("points").alias("n_points"), F.round(F.element_at("points", -1)["lat"], 6).alias("last_lat"))
 
 
+# ---- cables ---------------------------------------------------------------------------------------------------------
+
+
+def cable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's points as lines."""
+    point = F.struct("i", F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).alias("p"))
+    rows = fixture(spark, sf_dir, "cables").groupBy("line", "system").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    return rows.select("line", "system", F.transform("s", lambda x: x["p"]).alias("points"))
+
+
+def cable_network(spark: SparkSession, sf_dir: str) -> cables.Network:
+    return cables.cable_graph(cable_lines(spark, sf_dir))
+
+
+def _reached(name: str, pairs: str, ids: str) -> str:
+    """SQL: name(id, component) of ids(id) over pairs(a, b)."""
+    return f"""{name}w AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}), {name}r(id, c) AS (SELECT id, id FROM {ids} UNION SELECT w.b, r.c FROM {name}r r JOIN {name}w w ON w.a = r.id),
+{name} AS MATERIALIZED (SELECT id, min(c) AS component FROM {name}r GROUP BY id)"""
+
+
+#: lp(key, alon, alat, blon, blat): the ends of leg_places.
+_LEG_PLACES = """, lp AS MATERIALIZED (SELECT landmass AS key, (arg_min(lon, id) + 0.31 + 540) % 360 - 180 AS alon, arg_min(lat, id) AS alat, (arg_max(lon, id) - 0.23 + 540) % 360 - 180 AS blon, arg_max(lat, id) AS blat FROM places GROUP BY landmass)"""
+#: le(a, b, km): land edges between near hubs of one rectangle.
+_NETWORK_TAIL = _LEG_PLACES + f"""{_LAND}, hub AS (SELECT id, lon, lat, (SELECT min(grp) FROM land WHERE p.lon >= x0 AND p.lon < x1 AND p.lat >= y0 AND p.lat < y1) AS grp FROM places p),
+le2 AS MATERIALIZED (SELECT a.id AS a, b.id AS b, round({_DIST}, 3) AS km FROM hub a JOIN hub b ON a.grp = b.grp AND a.id < b.id WHERE {_DIST} <= 1500)"""
+
+
+def _km_of(a: str, b: str) -> str:
+    return HAVERSINE.format(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+
+
+#: Lines as lists of points, stitched; two of a system at most meet the dateline on either side, so two rounds do.
+_STITCHED = """, l0 AS MATERIALIZED (SELECT line, system, list({'lon': lon::DOUBLE, 'lat': lat::DOUBLE} ORDER BY i) AS p FROM cables GROUP BY line, system),
+le AS (SELECT line, system, head, CASE WHEN head THEN p[1] ELSE p[-1] END AS e FROM l0, (VALUES (true), (false)) t(head)),
+sp AS MATERIALIZED (SELECT a.line AS p, b.line AS n, a.head AS ph, b.head AS nh, (abs(a.e.lat - b.e.lat), a.line, b.line) AS k FROM le a JOIN le b ON a.system = b.system AND a.line <> b.line WHERE a.e.lon >= 179.5 AND b.e.lon <= -179.5 AND abs(a.e.lat - b.e.lat) < 2),
+s1 AS MATERIALIZED (SELECT * FROM sp x WHERE NOT EXISTS (SELECT 1 FROM sp y WHERE y.k < x.k AND (y.p IN (x.p, x.n) OR y.n IN (x.p, x.n)))),
+sq AS MATERIALIZED (SELECT * FROM sp WHERE p NOT IN (SELECT p FROM s1) AND n NOT IN (SELECT n FROM s1)),
+s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT * FROM sq x WHERE NOT EXISTS (SELECT 1 FROM sq y WHERE y.k < x.k AND (y.p IN (x.p, x.n) OR y.n IN (x.p, x.n)))),
+l1 AS MATERIALIZED (SELECT line, system, p FROM l0 WHERE line NOT IN (SELECT p FROM s2) AND line NOT IN (SELECT n FROM s2)
+ UNION ALL SELECT a.line, a.system, list_concat(CASE WHEN ph THEN list_reverse(a.p) ELSE a.p END, list_transform(CASE WHEN nh THEN b.p ELSE list_reverse(b.p) END, lambda q: {'lon': q.lon + 360, 'lat': q.lat})[2:]) FROM s2 JOIN l0 a ON a.line = s2.p JOIN l0 b ON b.line = s2.n),
+gl AS MATERIALIZED (SELECT line, system, p, len(p) AS n FROM l1 WHERE len(list_filter(p, lambda q: q.lat > 69 OR (q.lat > 60 AND ((q.lon + 540) % 360 - 180 < -60 OR (q.lon + 540) % 360 - 180 > 30)))) = 0)"""
+
+_CABLES = (
+    _STITCHED + f""", en AS MATERIALIZED (SELECT line * 2 AS id, line, system, (p[1].lon + 540) % 360 - 180 AS lon, p[1].lat AS lat FROM gl UNION ALL SELECT line * 2 + 1, line, system, (p[-1].lon + 540) % 360 - 180, p[-1].lat FROM gl),
+np AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM en a JOIN en b ON a.id < b.id WHERE {_km_of("a", "b")} <= 60), {_reached("nd", "np", "en")},
+nodes AS MATERIALIZED (SELECT en.id, lon, lat FROM en JOIN nd USING (id) WHERE id = component),
+lk AS (SELECT line, sum({HAVERSINE.format("plat", "plon", "lat", "lon")}) AS km FROM (SELECT line, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM (SELECT line, unnest(p).lon AS lon, unnest(p).lat AS lat, generate_subscripts(p, 1) AS i FROM gl) WINDOW w AS (PARTITION BY line ORDER BY i)) WHERE plat IS NOT NULL GROUP BY line),
+dl AS MATERIALIZED (SELECT 'line:' || line AS edge, x.component AS a, y.component AS b, km, n, system, line FROM gl JOIN lk USING (line) JOIN nd x ON x.id = line * 2 JOIN nd y ON y.id = line * 2 + 1 WHERE x.component <> y.component AND km > 0),
+fl AS (SELECT system, component AS node, min(en.id) AS first FROM en JOIN nd USING (id) GROUP BY system, component),
+cc AS MATERIALIZED (SELECT f.system, f.first, z.node AS a, f.node AS b, (f.system, 1, f.first) AS k FROM fl f JOIN (SELECT system, arg_min(node, first) AS node FROM fl GROUP BY system) z ON z.system = f.system AND z.node <> f.node),
+ke AS MATERIALIZED (SELECT a, b, (system, 0, line) AS k FROM dl UNION ALL SELECT a, b, k FROM cc UNION ALL SELECT b, a, (system, 0, line) FROM dl UNION ALL SELECT b, a, k FROM cc),
+-- a chord stays where no lines and chords of a smaller key join its ends
+cr(k, b, here) AS (SELECT k, b, a FROM cc UNION SELECT r.k, r.b, e.b FROM cr r JOIN ke e ON e.a = r.here AND e.k < r.k),
+ch AS (SELECT 'chord:' || c.system || ':' || c.first AS edge, c.a, c.b, {_km_of("p", "q")} AS km FROM cc c JOIN nodes p ON p.id = c.a JOIN nodes q ON q.id = c.b WHERE NOT EXISTS (SELECT 1 FROM cr WHERE cr.k = c.k AND cr.here = c.b)),
+ue AS MATERIALIZED (SELECT edge, a, b, km, n FROM dl UNION ALL SELECT edge, a, b, km, NULL FROM ch), {_reached("pc", "ue", "nodes")},
+pm AS (SELECT component FROM pc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+br AS (SELECT o.component, min(({_km_of("p", "q")}, o.id, i.id)) AS t FROM pc o JOIN nodes p ON p.id = o.id JOIN pc i ON i.component = (SELECT component FROM pm) JOIN nodes q ON q.id = i.id WHERE o.component <> (SELECT component FROM pm) GROUP BY o.component),
+bt AS (SELECT struct_extract_at(t, 1) AS km, least(struct_extract_at(t, 2), struct_extract_at(t, 3)) AS a, greatest(struct_extract_at(t, 2), struct_extract_at(t, 3)) AS b FROM br),
+cables_e AS MATERIALIZED (SELECT edge, a, b, km, n FROM ue UNION ALL SELECT 'bridge:' || a || ':' || b, a, b, km, NULL FROM bt)"""
+)
+
+
+@query(_CABLES + " SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM nodes", "cables", recursive=True)
+def cable_nodes(spark, sf_dir):
+    """The places that ends of cable lines within 60 km share."""
+    return cable_network(spark, sf_dir).vertices.select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(_CABLES + " SELECT edge, a, b, round(km, 3) AS km, n::INT AS n_points FROM cables_e", "cables", recursive=True)
+def cable_edges(spark, sf_dir):
+    """Lines between shared nodes with their own length and points, chords and bridges."""
+    points = F.when(F.col("points").isNotNull(), F.size("points"))
+    return cable_network(spark, sf_dir).edges.select("edge", "a", "b", F.round("km", 3).alias("km"), points.alias("n_points"))
+
+
+def leg_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each landmass, from beside its first place to beside its last."""
+    ends = places_of(spark, sf_dir).groupBy(F.col("landmass").alias("key")).agg(F.min_by(F.struct("lon", "lat"), "id").alias("a"), F.max_by(F.struct("lon", "lat"), "id").alias("b"))
+    beside = lambda p, d: F.struct(geo.wrap_lon(F.col(p)["lon"] + d).alias("lon"), F.col(p)["lat"].alias("lat"))
+    return ends.select("key", beside("a", 0.31).alias("a"), beside("b", -0.23).alias("b"))
+
+
+@query(
+    _CABLES + _NETWORK_TAIL + """, jb AS (SELECT 'cable:' || n.id AS a, 'hub:' || arg_min(p.id, (@KM, p.id)) AS b, min(@KM) AS km FROM nodes n, places p GROUP BY n.id),
+je AS MATERIALIZED (SELECT a, b, km, n FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY km, edge) AS r FROM (
+  SELECT 'land:' AS edge, 'hub:' || a AS a, 'hub:' || b AS b, km, 2 AS n FROM le2 UNION ALL SELECT 'land:', 'hub:' || b, 'hub:' || a, km, 2 FROM le2 UNION ALL SELECT edge, 'cable:' || a, 'cable:' || b, km, coalesce(n, 2) FROM cables_e UNION ALL SELECT edge, 'cable:' || b, 'cable:' || a, km, coalesce(n, 2) FROM cables_e
+  UNION ALL SELECT 'backhaul:', a, b, km, 2 FROM jb UNION ALL SELECT 'backhaul:', b, a, km, 2 FROM jb)) WHERE r = 1),
+jv AS MATERIALIZED (SELECT 'hub:' || id AS id, lon, lat FROM places UNION ALL SELECT 'cable:' || id, lon, lat FROM nodes),
+ja AS MATERIALIZED (SELECT w.key, arg_min(v.id, (@A, v.id)) AS s, arg_min(v.id, (@B, v.id)) AS t FROM lp w, jv v WHERE TRUE GROUP BY w.key),
+jr(s, id, dist, n) USING KEY (s, id) AS (SELECT DISTINCT s, s, 0::DOUBLE, 1 FROM ja UNION SELECT q.s, q.id, q.dist, q.n FROM (SELECT r.s, e.b AS id, min(r.dist + e.km) AS dist, arg_min(r.n + e.n - 1, r.dist + e.km) AS n FROM jr r JOIN je e ON e.a = r.id GROUP BY r.s, e.b) q LEFT JOIN recurring.jr o ON o.s = q.s AND o.id = q.id WHERE o.id IS NULL OR q.dist < o.dist)
+SELECT ja.key, round(dist, 3) AS km, (n + 2)::INT AS n_points, ja.s AS boards, ja.t AS leaves FROM ja JOIN jr ON jr.s = ja.s AND jr.id = ja.t""".replace("@A", HAVERSINE.format("w.alat", "w.alon", "v.lat", "v.lon")).replace("@B", HAVERSINE.format("w.blat", "w.blon", "v.lat", "v.lon")).replace("@KM", _km_of("n", "p")),
+    "places", "cables", recursive=True,
+)
+def joint_routes(spark, sf_dir):
+    """The shortest way over land, backhaul and cables between two places of each landmass, with its line."""
+    hubs = places_of(spark, sf_dir)
+    net = cables.joint_graph(hubs, land_edges(spark, sf_dir, 1500), cable_network(spark, sf_dir))
+    found = cables.network_routes(leg_places(spark, sf_dir), net)
+    return found.select("key", F.round("km", 3).alias("km"), F.size("points").alias("n_points"), F.col("ids")[0].alias("boards"), F.element_at("ids", -1).alias("leaves"))
+
+
+@query(
+    _CABLES + _LEG_PLACES + """, sp2 AS (SELECT key, 0 AS side, alon AS lon, alat AS lat FROM lp UNION ALL SELECT key, 1, blon, blat FROM lp),
+bd AS MATERIALIZED (SELECT s.key, s.side, n.id, @KM AS d, row_number() OVER (PARTITION BY s.key, s.side ORDER BY @KM, n.id) AS r FROM sp2 s, nodes n),
+ac AS MATERIALIZED (SELECT key, side, id, d FROM bd WHERE d <= 800 OR r = 1 AND d > 800),
+ce AS MATERIALIZED (SELECT a, b, min(km) AS km, arg_min(coalesce(n, 2), (km, edge)) AS n FROM (SELECT edge, a, b, km, n FROM cables_e UNION ALL SELECT edge, b, a, km, n FROM cables_e) GROUP BY a, b),
+jr(s, id, dist, n) USING KEY (s, id) AS (SELECT key, id, d, 1 FROM ac WHERE side = 0 UNION SELECT q.s, q.id, q.dist, q.n FROM (SELECT r.s, e.b AS id, min(r.dist + e.km) AS dist, arg_min(r.n + e.n - 1, r.dist + e.km) AS n FROM jr r JOIN ce e ON e.a = r.id GROUP BY r.s, e.b) q LEFT JOIN recurring.jr o ON o.s = q.s AND o.id = q.id WHERE o.id IS NULL OR q.dist < o.dist)
+SELECT key, round(min(dist + d), 3) AS km, (arg_min(n, dist + d) + 2)::INT AS n_points FROM jr JOIN ac ON ac.key = jr.s AND ac.side = 1 AND ac.id = jr.id GROUP BY key""".replace("@KM", _km_of("s", "n")),
+    "places", "cables", recursive=True,
+)
+def cable_legs(spark, sf_dir):
+    """The shortest way over cables alone, boarded and left at any node within 800 km, accesses included."""
+    found = cables.cable_routes(leg_places(spark, sf_dir), cable_network(spark, sf_dir))
+    return found.select("key", F.round("km", 3).alias("km"), F.size("points").alias("n_points"))
+
+
 # ---- lines of routes ------------------------------------------------------------------------------------------------
 
 _PATHS = f""", w0 AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM traces WINDOW w AS (PARTITION BY dst_ip ORDER BY idx)),

@@ -69,6 +69,19 @@ FROM (SELECT CAST(q.k AS BIGINT) AS k, h.idx, 1 + ((q.k%46337)*(q.k%46337)*CAST(
 JOIN (SELECT c_custkey AS id, CAST((c_custkey*7919)%36000 AS DOUBLE)/100 - 180 AS lon, CAST((c_custkey*104729)%15000 AS DOUBLE)/100 - 75 AS lat FROM customer) p ON p.id = s.hop
 """
 
+#: Two cable lines of four points for each supplier, four lines a system, between the places of other suppliers; every
+#: twelfth system ends at the dateline and goes on behind it.
+CABLES = r"""
+SELECT k*2+j AS line, CAST(floor(k/2.0) AS BIGINT) AS system, i,
+ CASE WHEN d AND j=0 AND i=3 THEN 179.8 WHEN d AND j=1 AND i=0 THEN -179.7 ELSE hlon + (tlon-hlon)*i/3.0 + CASE WHEN i IN (0,3) THEN ((k*31+j*17+i*7)%21-10)/50.0 ELSE 0.0 END END AS lon,
+ CASE WHEN d AND j=1 AND i=0 THEN hlat0 + (k%5)/4.0 ELSE CASE WHEN d AND j=0 AND i=3 THEN hlat0 ELSE hlat + (tlat-hlat)*i/3.0 END + i*(3-i)*0.5 END AS lat
+FROM (SELECT CAST(s.k AS BIGINT) AS k, CAST(v.j AS BIGINT) AS j, CAST(p.i AS INT) AS i, CAST(floor(s.k/2.0) AS BIGINT)%12=0 AS d,
+  CAST((h*9973)%36000 AS DOUBLE)/100 - 180 AS hlon, CAST((h*50021)%15000 AS DOUBLE)/100 - 75 AS hlat, CAST((t*9973)%36000 AS DOUBLE)/100 - 180 AS tlon, CAST((t*50021)%15000 AS DOUBLE)/100 - 75 AS tlat,
+  CAST((s.k*50021)%9000 AS DOUBLE)/100 - 45 AS hlat0
+ FROM (SELECT s_suppkey AS k FROM supplier) s CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) v CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p
+ CROSS JOIN LATERAL (SELECT 1+(s.k*7+v.j*3)%n AS h, 1+(s.k*11+v.j*5+2)%n AS t FROM (SELECT count(*) AS n FROM supplier) c) e) q
+"""
+
 SNI_LOG = r"""
 SELECT page_id AS obs_id, 1704067200000000 + page_id*60000000 AS ts_us,
  concat('93.',CAST((page_id*7%97)%25 AS STRING),'.0.',CAST(page_id*7%97 AS STRING)) AS dst_addr,
@@ -83,7 +96,7 @@ SELECT suffix, min(app) AS app, min(category) AS category FROM (
  UNION ALL SELECT 'example.org','ExampleOrg','cloud') u GROUP BY suffix
 """
 
-FIXTURES = {"flows": FLOWS, "geo_blocks": GEO_BLOCKS, "places": PLACES, "sites": SITES, "traces": TRACES, "route_hops": ROUTE_HOPS, "sni_log": SNI_LOG, "app_rules": APP_RULES}
+FIXTURES = {"flows": FLOWS, "geo_blocks": GEO_BLOCKS, "places": PLACES, "sites": SITES, "cables": CABLES, "traces": TRACES, "route_hops": ROUTE_HOPS, "sni_log": SNI_LOG, "app_rules": APP_RULES}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
