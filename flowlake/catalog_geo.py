@@ -129,19 +129,38 @@ def edge_terrain(spark, sf_dir):
     return share.join(shut, ["a", "b"]).select("a", "b", F.round("land", 6).alias("land"), "blocked")
 
 
+_BACKBONE = f"""{_LAND}, hb AS MATERIALIZED (SELECT id, lon, lat, CASE WHEN id % 10 <> 3 THEN landmass % 5 END AS grp, id % 50 < 2 AS corridor, floor(lon)::INT AS cx, floor(lat)::INT AS cy FROM places),
+sq AS MATERIALIZED (SELECT a.id, b.id AS target, greatest(abs(a.cx - b.cx), abs(a.cy - b.cy), 1) AS r, {_DIST} AS dist, (a.grp IS NULL OR b.grp IS NULL OR a.grp = b.grp) AND NOT (a.corridor AND b.corridor) AS may FROM hb a JOIN hb b ON a.id <> b.id AND abs(a.cx - b.cx) <= 8 AND abs(a.cy - b.cy) <= 8),
+rc AS (SELECT id, coalesce(min(r) FILTER (n >= 12), 8) AS reach FROM (SELECT DISTINCT id, r, count(*) OVER (PARTITION BY id ORDER BY r) AS n FROM sq) GROUP BY id),
+ca AS MATERIALIZED (SELECT id, target, dist FROM sq JOIN rc USING (id) WHERE r <= reach AND may),
+e AS MATERIALIZED (SELECT p.a, p.b, x.lon AS alon, x.lat AS alat, y.lon AS blon, y.lat AS blat FROM (SELECT DISTINCT least(id, target) AS a, greatest(id, target) AS b FROM ca) p JOIN hb x ON x.id = p.a JOIN hb y ON y.id = p.b),
+{_samples("s", "e", "40")}, {_samples("t", "e", f"greatest(2, least(256, ceil({_KM} / 25)))")},
+frac AS (SELECT a, b, avg(CASE WHEN EXISTS (SELECT 1 FROM land WHERE s.lon >= x0 AND s.lon < x1 AND s.lat >= y0 AND s.lat < y1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM s GROUP BY a, b),
+shut AS (SELECT a, b, bool_or(EXISTS (SELECT 1 FROM zone WHERE t.lon >= x0 AND t.lon < x1 AND t.lat >= y0 AND t.lat < y1)) AS blocked FROM t GROUP BY a, b),
+ok AS MATERIALIZED (SELECT id, target, dist FROM ca JOIN frac ON frac.a = least(id, target) AND frac.b = greatest(id, target) JOIN shut ON shut.a = least(id, target) AND shut.b = greatest(id, target) WHERE share >= 0.85 AND NOT blocked),
+-- one hub after the other: its three nearest that did not take it before; -1 marks that its turn came
+taken(id, target) USING KEY (id, target) AS (SELECT 0::BIGINT, (-1)::BIGINT UNION SELECT id, target FROM (
+ WITH now AS (SELECT max(id) + 1 AS i FROM taken WHERE id < (SELECT max(id) FROM hb))
+ SELECT i AS id, -1 AS target FROM now WHERE i IS NOT NULL UNION ALL
+ SELECT id, target FROM (SELECT ok.id, ok.target, row_number() OVER (ORDER BY dist, ok.target) AS n FROM ok JOIN now ON ok.id = i WHERE NOT EXISTS (SELECT 1 FROM recurring.taken t WHERE t.id = ok.target AND t.target = ok.id)) WHERE n <= 3)),
+decl AS (SELECT id AS a, id + 1 AS b FROM sites WHERE id IN (SELECT id FROM places) AND id + 1 IN (SELECT id FROM places))"""
+
+
 @query(
-    _NEAR + f""", decl AS (SELECT id AS a, id + 1 AS b FROM sites WHERE id IN (SELECT id FROM places) AND id + 1 IN (SELECT id FROM places))
-SELECT e.a, e.b, round({_KM}, 3) AS km FROM e JOIN frac USING (a, b) JOIN shut USING (a, b) WHERE share >= 0.85 AND NOT blocked AND (a, b) NOT IN (SELECT (a, b) FROM decl)
+    _BACKBONE + f"""SELECT DISTINCT least(id, target) AS a, greatest(id, target) AS b, round(dist, 3) AS km FROM taken JOIN ok USING (id, target) WHERE (least(id, target), greatest(id, target)) NOT IN (SELECT (a, b) FROM decl)
 UNION ALL SELECT a.id, b.id, round({_DIST}, 3) FROM decl JOIN places a ON a.id = decl.a JOIN places b ON b.id = decl.b""",
-    "places", "sites",
+    "places", "sites", recursive=True,
 )
 def backbone_edges(spark, sf_dir):
-    """G1: three nearest of a landmass over land and around zones, and declared links."""
+    """G1: three edges of each hub's own over land and around zones, and declared links; some hubs lie on no landmass, some
+    in a corridor."""
     hubs = places_of(spark, sf_dir)
+    grp = F.when(F.col("id") % 10 != 3, F.col("landmass") % 5)
+    placed = hubs.select("id", "lon", "lat", grp.alias("grp"), (F.col("id") % 50 < 2).alias("corridor"))
     declared = fixture(spark, sf_dir, "sites").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     for end in ("a", "b"):
         declared = declared.join(hubs.select(F.col("id").alias(end)), end, "left_semi")
-    return graph.backbone_edges(hubs, land_of(spark), zones_of(spark), declared, 3).select("a", "b", F.round("km", 3).alias("km"))
+    return graph.backbone_edges(placed, land_of(spark), zones_of(spark), declared, 3, "grp").select("a", "b", F.round("km", 3).alias("km"))
 
 
 @query(None)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowlake.functions.geo import densify, haversine_km, in_ring, wrap_lon
+from flowlake.functions.geo import densify, haversine_km, wrap_lon
 from flowlake.plans.lineage import cut
 
 KM_PER_DEGREE = 111.19492664455873
@@ -81,19 +81,39 @@ def knn(points: DataFrame, targets: DataFrame, k: int, same: str | None = None,
     return done.unionByName(_nearest(rest.select("id", "target", dist.alias("dist")), k))
 
 
-def polygon_cells(polygons: DataFrame) -> DataFrame:
-    """polygons(id, grp, ring) in every whole-degree cell of their bounding box."""
-    lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    box = polygons.select("id", "grp", "ring", F.array_min(lons).alias("x0"), F.array_max(lons).alias("x1"), F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"))
-    whole = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
-    return box.withColumn("cx", whole("x0", "x1")).withColumn("cy", whole("y0", "y1"))
+#: Edges of rings lie in strips of so many a degree of latitude, and in columns of so many degrees of longitude.
+STRIPS, COLUMN = 8, 8
+
+
+def ring_edges(polygons: DataFrame) -> DataFrame:
+    """poly, grp, px, py, qx, qy of every edge of polygons(id, grp, ring), in each strip that it reaches and each column from
+    its ring's western end to its own eastern end: where a ray to the east may cross it."""
+    lons = F.transform("ring", lambda p: p["lon"])
+    following = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    # the western end first: an edge must not carry its ring along
+    rows = polygons.where(F.size("ring") > 0).select(F.col("id").alias("poly"), "grp", F.array_min(lons).alias("_west"), F.arrays_zip(F.col("ring").alias("p"), following.alias("q")).alias("_edges"))
+    rows = rows.select("poly", "grp", "_west", F.explode("_edges").alias("e"))
+    rows = rows.select("poly", "grp", "_west", F.col("e.p.lon").alias("px"), F.col("e.p.lat").alias("py"), F.col("e.q.lon").alias("qx"), F.col("e.q.lat").alias("qy")).where("py <> qy")
+    strip, column = lambda y: F.floor(y * STRIPS).cast("int"), lambda x: F.floor(x / COLUMN).cast("int")
+    rows = rows.withColumn("strip", F.explode(F.sequence(strip(F.least("py", "qy")), strip(F.greatest("py", "qy")))))
+    # a crossing may be rounded beyond the edge's end
+    rows = rows.withColumn("column", F.explode(F.sequence(column(F.col("_west")), column(F.greatest("px", "qx") + 1e-6))))
+    return rows.drop("_west")
 
 
 def locate(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points plus grp (smallest group of the polygons that hold the point, else null) and on_land."""
-    at = points.select("lon", "lat").distinct().withColumn("cx", F.floor("lon").cast("int")).withColumn("cy", F.floor("lat").cast("int"))
-    hits = at.join(polygon_cells(polygons), ["cx", "cy"]).where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    land = hits.groupBy("lon", "lat").agg(F.min("grp").alias("grp"))
+    """Points plus grp (smallest group of the polygons that hold the point, else null) and on_land.
+
+    A point meets the single edges of its strip and column; a polygon holds it if a ray to the east crosses an odd number
+    of its edges. Longitudes beyond 180 degrees go round.
+    """
+    at = points.select("lon", "lat").distinct().withColumn("x", F.when(F.col("lon").between(-180, 180), F.col("lon")).otherwise(wrap_lon(F.col("lon"))))
+    at = at.withColumn("strip", F.floor(F.col("lat") * STRIPS).cast("int")).withColumn("column", F.floor(F.col("x") / COLUMN).cast("int"))
+    crosses = ((F.col("py") > F.col("lat")) != (F.col("qy") > F.col("lat"))) & (F.col("x") < (F.col("qx") - F.col("px")) * (F.col("lat") - F.col("py")) / (F.col("qy") - F.col("py")) + F.col("px"))
+    hits = at.join(ring_edges(polygons), ["strip", "column"]).where(crosses)
+    # keys begin with those of the join, so its partitions are used again
+    held = hits.groupBy("strip", "column", "lon", "lat", "poly").agg(F.count("*").alias("n"), F.min("grp").alias("grp")).where("n % 2 = 1")
+    land = held.groupBy("strip", "column", "lon", "lat").agg(F.min("grp").alias("grp")).select("lon", "lat", "grp")
     return points.join(land, ["lon", "lat"], "left").select(*points.columns, "grp", F.col("grp").isNotNull().alias("on_land"))
 
 
