@@ -15,7 +15,7 @@ from flowlake.operators import detect, enrich, stats
 from flowlake.plans.lineage import shared_folder
 from flowlake.plans.state import Table, merge, seed_if_absent
 from flowlake.schemas import APP_DECISIONS, GEO_DECISIONS, HOPS, IP_APP, IP_GEO
-from flowlake.sources import flowd, pcap, sinks, text
+from flowlake.sources import flowd, flowd_source, pcap, sinks, text
 from flowlake.sources.app_rules import SEEDS
 from flowlake.streaming import flows as streaming
 
@@ -35,9 +35,11 @@ def address_hex(ip: Column) -> Column:
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT flow_id AS flow_sequence, src_addr, dst_addr, src_port, dst_port, protocol, octets, packets, recv_us FROM flows WHERE src_addr NOT LIKE '%:%' AND dst_addr NOT LIKE '%:%'", "flows")
-def flowd_log(spark, sf_dir):
-    """The IPv4 flows as binary log files of a few thousand records, decoded again."""
+_LOGGED = "SELECT flow_id AS flow_sequence, src_addr, dst_addr, src_port, dst_port, protocol, octets, packets, recv_us FROM flows WHERE src_addr NOT LIKE '%:%' AND dst_addr NOT LIKE '%:%'"
+
+
+def log_files(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """file, content: the IPv4 flows as binary logs of at most ``most`` records."""
     c = F.col
     rows = flows_of(spark, sf_dir).where("not contains(src_addr, ':') and not contains(dst_addr, ':')")
     mask = sum(1 << b for b in (1, 2, 5, 7, 11, 12, 13, 18))
@@ -46,12 +48,44 @@ def flowd_log(spark, sf_dir):
         number_hex(c("src_port"), 4), number_hex(c("dst_port"), 4), number_hex(c("packets"), 16), number_hex(c("octets"), 16), F.lit("00000000"), number_hex(c("flow_id"), 8), F.lit("00000000"),
     )
     record = F.concat(F.lit("60"), number_hex(F.length(body) / 8, 2), F.lit(f"0000{mask:08x}"), body)
-    files = rows.select((F.floor(c("flow_id") / 2000)).alias("file"), record.alias("r")).groupBy("file").agg(F.unhex(F.array_join(F.collect_list("r"), "")).alias("content"))
-    out = flowd.decode_files(files.select(c("file").cast("string").alias("path"), F.length("content").cast("bigint").alias("length"), "content"))
+    return rows.select((F.floor(c("flow_id") / most)).alias("file"), record.alias("r")).groupBy("file").agg(F.unhex(F.array_join(F.collect_list("r"), "")).alias("content"))
+
+
+def log_columns(out: DataFrame) -> DataFrame:
+    c = F.col
     at = enrich.recv_us(c("recv_sec"), c("recv_usec"))
     return out.select("flow_sequence", "src_addr", "dst_addr", "src_port", "dst_port", "protocol", c("octets").cast("bigint").alias("octets"), c("packets").cast("bigint").alias("packets"), at.alias("recv_us"))
 
 
+@query(_LOGGED, "flows")
+def flowd_log(spark, sf_dir):
+    """The IPv4 flows as binary log files of a few thousand records, decoded again."""
+    files = log_files(spark, sf_dir, 2000)
+    out = flowd.decode_files(files.select(F.col("file").cast("string").alias("path"), F.length("content").cast("bigint").alias("length"), "content"))
+    return log_columns(out)
+
+
+@query(_LOGGED, "flows")
+def flowd_pieces(spark, sf_dir):
+    """The same flows as log files of a few megabytes, read in pieces that begin and end at record borders."""
+    path = folder(spark, "logs")
+    flowd_source.write_logs(log_files(spark, sf_dir, 50_000).select(F.concat(F.lit("log-"), "file").alias("name"), "content"), path)
+    return log_columns(flowd_source.read_flowd_pieces(spark, path, "FAILFAST", 256 << 10))
+
+
+@query(_LOGGED, "flows")
+def flowd_tail(spark, sf_dir):
+    """Logs that are tailed as a stream: half of the files, and after a restart the others."""
+    path, out, checkpoint = folder(spark, "logs"), folder(spark, "tailed"), folder(spark, "checkpoint")
+    files = log_files(spark, sf_dir, 2000)
+    flowd_source.register(spark)
+    for half in (0, 1):
+        flowd_source.write_logs(files.where(F.col("file") % 2 == half).select(F.concat(F.lit("log-"), "file").alias("name"), "content"), path)
+        stream = spark.readStream.format("flowd").load(path)
+        streaming.run(stream, [lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")], checkpoint).awaitTermination()
+    return log_columns(spark.read.schema(flowd_source.SCHEMA).parquet(out))
+
+
 @query("SELECT CAST(floor(recv_us/1000.0::DOUBLE) AS BIGINT)*1000 AS recv_us, src_addr, dst_addr, src_port, dst_port, protocol, octets, packets, src_as, dst_as FROM flows UNION ALL SELECT NULL, 'rejected', NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL FROM flows WHERE protocol = 1", "flows")
 def netflow_json(spark, sf_dir):
     """Flows as JSON lines, a damaged line for each ICMP flow; and how many lines were rejected."""
