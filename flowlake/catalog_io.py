@@ -4,6 +4,7 @@ is compared with the tables themselves. Files lie in the shared folder that Spar
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from flowlake import catalog
 from flowlake.catalog import HOME, flows_of, query
 from flowlake.fixtures import fixture
 from flowlake.operators import detect, enrich, stats
-from flowlake.plans.lineage import shared_folder
+from flowlake.plans.lineage import cut, shared_folder
 from flowlake.plans.state import Table, merge, seed_if_absent
 from flowlake.schemas import APP_DECISIONS, GEO_DECISIONS, HOPS, IP_APP, IP_GEO
 from flowlake.sources import flowd, flowd_source, pcap, sinks, text
@@ -285,12 +286,67 @@ def ended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
+#: Micro-batches of the stream queries; the stream is started anew for each.
+PARTS = 4
+
+
+def in_parts(spark: SparkSession, rows: DataFrame, part: Column, name: str, build) -> DataFrame:
+    """What ``build(stream, out)`` makes of rows that arrive in PARTS parts, one micro-batch each, with a restart before each:
+    ``build`` gives the stream to run and its sink, which hands each result to ``out(batch, id)``."""
+    source, path, checkpoint = folder(spark, name), folder(spark, f"{name}-out"), folder(spark, f"{name}-checkpoint")
+    kept = cut(rows.withColumn("_part", part))
+    for k in range(PARTS):
+        kept.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(source)
+        stream, sink = build(spark.readStream.schema(rows.schema).parquet(source), lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"))
+        streaming.run(stream, [sink], checkpoint).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+def time_part(rows: DataFrame) -> Column:
+    """Parts of equal time."""
+    first, last = rows.agg(F.min("recv_us"), F.max("recv_us")).first()
+    first, last = first or 0, last or 0
+    return F.least(F.lit(PARTS - 1), F.floor((F.col("recv_us") - first) * PARTS / (last - first + 1))).cast("int")
+
+
+def rocks(f):
+    """Runs a stream on the RocksDB state store, and leaves the session's settings as they were."""
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    @wraps(f)
+    def run(spark, sf_dir):
+        before = spark.conf.get(key, None)
+        spark.conf.set(key, provider)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+    return run
+
+
 @query("SELECT flow_id, octets FROM flows", "flows")
 def resumed_flows(spark, sf_dir):
-    """Every flow once, though the input holds each twice."""
+    """Every flow once, though the input holds each again in the next micro-batch, and the stream starts anew for each."""
+    flows = flows_of(spark, sf_dir).select("flow_id", "recv_us", "octets")
+    part = time_part(flows)
+    again = flows.withColumn("_again", part).where(F.col("_again") < PARTS - 1).drop("_again").withColumn("copy", F.lit(1))
+    rows = flows.withColumn("copy", F.lit(0)).unionByName(again)
+    build = lambda stream, out: (streaming.resume(stream, "3650 days").select("flow_id", "octets"), out)
+    return in_parts(spark, rows, part + F.col("copy"), "twice", build)
+
+
+@query("SELECT flow_id, recv_us, octets FROM flows WHERE recv_us IS NOT NULL ORDER BY recv_us DESC, flow_id DESC LIMIT 1500", "flows")
+def hot_flows(spark, sf_dir):
+    """The newest rows of a table that a stream appends to in micro-batches, one of which is made twice, after older
+    partitions were dropped."""
+    path = folder(spark, "hot")
     flows = flows_of(spark, sf_dir).select("flow_id", "recv_us", "octets")
-    stream = streaming.resume(stream_of(spark, flows.unionByName(flows), "twice"), "3650 days")
-    return ended(spark, stream.select("flow_id", "octets"), "resumed")
+    kept = cut(flows.withColumn("_part", time_part(flows)))
+    for k in (0, 1, 2, 2, 3):
+        sinks.append_flows(kept.where(F.col("_part") == k).drop("_part"), path, batch_id=k)
+    sinks.keep_newest(spark, path, 1500)
+    return sinks.newest(spark, path, 1500)
 
 
 @query(
@@ -323,11 +379,13 @@ def partials_rollup(spark, sf_dir):
 
 
 @query(catalog._FAN + " SELECT flow_id, distinct_sources, distinct_sources > 30 AS flag FROM fan", "flows")
+@rocks
 def fan_in_stream(spark, sf_dir):
-    """T5: the batch answer from state by destination."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = stream_of(spark, flows_of(spark, sf_dir).select("flow_id", "dst_addr", "src_addr", "recv_us"), "fan")
-    return ended(spark, streaming.fan_in_stream(stream), "fan-out").select("flow_id", "distinct_sources", "flag")
+    """T5: the batch answer from state by destination and source and sums over time, in micro-batches with restarts."""
+    fan = streaming.FanIn(folder(spark, "fan-state"))
+    flows = flows_of(spark, sf_dir).select("flow_id", "dst_addr", "src_addr", "recv_us")
+    out = in_parts(spark, flows, time_part(flows), "fan", lambda stream, out: (fan.changes(stream), fan.sink(out)))
+    return out.select("flow_id", "distinct_sources", "flag")
 
 
 @query(

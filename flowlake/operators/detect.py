@@ -34,8 +34,15 @@ def fan_in(flows: DataFrame, seconds: int = 60, threshold: int = 30, method: str
     # an interval holds its last instant plus the span, so it ends just after
     ends = gaps.where(F.col("after").isNull() | (F.col("after") - F.col("recv_us") > span)).select("dst_addr", (F.col("recv_us") + span + 1).alias("t"), F.lit(-1).alias("d"))
     asked = timed.select("dst_addr", F.col("recv_us").alias("t"), F.lit(0).alias("d"))
-    # one row for each destination and instant; sums within its second, over seconds of a stretch, and over stretches
-    steps = starts.unionByName(ends).unionByName(asked).groupBy("dst_addr", "t").agg(F.sum("d").alias("d"))
+    levels = running(starts.unionByName(ends).unionByName(asked)).withColumnRenamed("t", "recv_us")
+    rows = flows.join(levels, ["dst_addr", "recv_us"], "left").withColumn("distinct_sources", F.coalesce("distinct_sources", F.lit(0).cast("long")))
+    return rows.select(*flows.columns, "distinct_sources", (F.col("distinct_sources") > threshold).alias("flag"))
+
+
+def running(changes: DataFrame) -> DataFrame:
+    """dst_addr, t, distinct_sources: the sum of all changes(dst_addr, t, d) of a destination up to each of its instants, by
+    sums within the instant's second, over the seconds of its stretch, and over stretches, each in tasks of its own."""
+    steps = changes.groupBy("dst_addr", "t").agg(F.sum("d").alias("d"))
     steps = steps.withColumn("second", F.floor(F.col("t") / SECOND))
     by_second = steps.groupBy("dst_addr", "second").agg(F.sum("d").alias("whole")).withColumn("stretch", F.floor(F.col("second") / STRETCH))
     by_stretch = by_second.groupBy("dst_addr", "stretch").agg(F.sum("whole").alias("whole"))
@@ -44,10 +51,8 @@ def fan_in(flows: DataFrame, seconds: int = 60, threshold: int = 30, method: str
     seconds_ = by_second.withColumn("within", before(Window.partitionBy("dst_addr", "stretch").orderBy("second")))
     bases = seconds_.join(stretches, ["dst_addr", "stretch"]).select("dst_addr", "second", (F.col("ahead") + F.col("within")).alias("base"))
     inside = Window.partitionBy("dst_addr", "second").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    running = steps.withColumn("run", F.sum("d").over(inside)).join(bases, ["dst_addr", "second"])
-    levels = running.select("dst_addr", F.col("t").alias("recv_us"), (F.col("base") + F.col("run")).cast("long").alias("distinct_sources"))
-    rows = flows.join(levels, ["dst_addr", "recv_us"], "left").withColumn("distinct_sources", F.coalesce("distinct_sources", F.lit(0).cast("long")))
-    return rows.select(*flows.columns, "distinct_sources", (F.col("distinct_sources") > threshold).alias("flag"))
+    summed = steps.withColumn("run", F.sum("d").over(inside)).join(bases, ["dst_addr", "second"])
+    return summed.select("dst_addr", "t", (F.col("base") + F.col("run")).cast("long").alias("distinct_sources"))
 
 
 def alerts(flagged: DataFrame, big: int = 5_000_000, n: int = 100) -> DataFrame:

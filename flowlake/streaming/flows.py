@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
 from flowlake.operators import enrich, stats
+from flowlake.operators.detect import running
+from flowlake.plans.lineage import cut
+from flowlake.sources.sinks import drop_folder
 
 
 def timed(flows: DataFrame) -> DataFrame:
@@ -124,11 +129,100 @@ def fan_in_stream(stream: DataFrame, seconds: int = 60, threshold: int = 30, del
     arrive in order of time across micro-batches; within one they are sorted. A source leaves the state ``seconds`` after
     it was last seen, at the latest when the watermark, ``delay`` behind the newest flow, has passed that time; flows later
     than the watermark are dropped. A flow without a source adds none; those without a destination or time are left out.
-    One destination's flows of a micro-batch are one group: bound them by the trigger's size."""
+    One destination's flows of a micro-batch are one group: bound them by the trigger's size, or use FanIn."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = timed(stream.where("dst_addr is not null and recv_us is not null").select("dst_addr", "src_addr", "recv_us", "flow_id")).withWatermark("recv_time", delay)
     return rows.groupBy("dst_addr").transformWithStateInPandas(_Sources(seconds, threshold), "flow_id long, dst_addr string, recv_us long, distinct_sources long, flag boolean", "append", "eventTime")
 
 
+class _Intervals(StatefulProcessor):
+    """Per destination and source: the last time seen. Each row becomes a question (d = 0); a source's interval adds a start
+    (+1) and, just behind its span, an end (-1). A flow that comes before an end told earlier takes that end back (+1)."""
+
+    def __init__(self, seconds: int):
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        dst, src = key
+        flows = pd.concat(rows)
+        asked = pd.DataFrame({"dst_addr": dst, "t": flows["recv_us"], "d": 0, "flow_id": flows["flow_id"].astype("Int64")})
+        yield asked
+        if src is None or (isinstance(src, float) and src != src):
+            return
+        times = np.unique(flows["recv_us"].to_numpy(dtype=np.int64))
+        known = self.last.get() if self.last.exists() else None
+        # None where nothing is known; a flow as old as the last one changes nothing
+        before = known[0] if known is not None else None
+        if before is not None:
+            times = times[times > before]
+        if not len(times):
+            return
+        far = np.diff(times) > self.span
+        starts = list(times[1:][far])
+        ends = list(times[:-1][far] + self.span + 1) + [int(times[-1]) + self.span + 1]
+        starts.append(int(times[0]) if before is None or times[0] - before > self.span else before + self.span + 1)
+        at = np.array(starts + ends, dtype=np.int64)
+        yield pd.DataFrame({"dst_addr": dst, "t": at, "d": [1] * len(starts) + [-1] * len(ends), "flow_id": pd.array([None] * len(at), dtype="Int64")})
+        self.last.update((int(times[-1]),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer((int(times[-1]) + self.span) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class FanIn:
+    """T5 in two stateful steps, neither of which holds a destination in one group.
+
+    The first keeps, by destination and source, when the source was last seen (state store, with a timer), and tells
+    changes of the number of sources. The second adds them up over time by ``detect.running``, with what the micro-batches
+    before left: each destination's number at their last instant, and changes still to come, kept in ``folder`` under the
+    batch's id, so a batch that is made again gives the same. Flows must arrive in order of time across micro-batches."""
+
+    def __init__(self, folder: str, seconds: int = 60, threshold: int = 30, delay: str = "1 minute"):
+        self.folder, self.seconds, self.threshold, self.delay = folder.rstrip("/"), seconds, threshold, delay
+
+    def changes(self, stream: DataFrame) -> DataFrame:
+        """The first step's rows of a stream of flows (needs the RocksDB state store)."""
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+        rows = timed(stream.where("dst_addr is not null and recv_us is not null").select("dst_addr", "src_addr", "recv_us", "flow_id")).withWatermark("recv_time", self.delay)
+        return rows.groupBy("dst_addr", "src_addr").transformWithStateInPandas(_Intervals(self.seconds), "dst_addr string, t long, d long, flow_id long", "append", "eventTime")
+
+    def _left(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """dst_addr, t, d: what the batch before left; a destination's number is a change at its horizon."""
+        schema = "dst_addr string, t long, d long"
+        return spark.createDataFrame([], schema) if batch_id == 0 else spark.read.schema(schema).parquet(f"{self.folder}/left={batch_id - 1}")
+
+    def sink(self, out: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """The second step, for ``run``: hands (flow_id, dst_addr, recv_us, distinct_sources, flag) on."""
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            # read several times below, while the first step must run once
+            new = cut(batch.select("dst_addr", "t", "d", "flow_id"))
+            every = cut(self._left(spark, batch_id).unionByName(new.select("dst_addr", "t", "d").where("d <> 0")))
+            asked = new.where("flow_id is not null")
+            levels = running(every.unionByName(asked.select("dst_addr", "t", "d")))
+            told = asked.join(levels, ["dst_addr", "t"])
+            out(told.select("flow_id", "dst_addr", F.col("t").alias("recv_us"), "distinct_sources", (F.col("distinct_sources") > self.threshold).alias("flag")), batch_id)
+            horizon = asked.agg(F.max("t")).first()[0]
+            if horizon is not None:
+                every = every.withColumn("t", F.greatest("t", F.lit(horizon)))
+            every.groupBy("dst_addr", "t").agg(F.sum("d").alias("d")).where("d <> 0").write.mode("overwrite").parquet(f"{self.folder}/left={batch_id}")
+            drop_folder(spark, f"{self.folder}/left={batch_id - 3}")
+
+        return step
+
+
 def run_passes(spark: SparkSession, now: int, tables: dict, flows: DataFrame, sni_log: DataFrame, home: tuple[float, float]) -> dict[str, int]:
     """One round of all passes over state tables (see plans.state.Table), each from the versions read at its start;
     an outer scheduler, or every n-th micro-batch, calls it. Returns the new versions.
