@@ -3,8 +3,10 @@
 Every document's ids (with an end id) are cut into pieces of at most ``capacity`` ids. The plan needs only how many
 pieces there are of each length, so it is made from a histogram of at most ``capacity`` counts. From the longest
 length down, combinations of one, two or three lengths that exactly fill the gap are looked up in an index of single,
-pair and triple sums and consumed in bulk, as far as all their lengths are available; what has no complement goes to the sequence with the tightest gap. The
-plan is a bounded table (length, ranks) -> sequences, which places all pieces in parallel.
+pair and triple sums and consumed in bulk, as far as all their lengths are available; what has no complement goes to the
+sequence with the tightest gap. Complements of many short lengths may take what best fit needs later, so the plan is also made
+with pairs first, with pairs or singles at most, and by best fit alone, and the one of fewest sequences counts. The plan is a
+bounded table (length, ranks) -> sequences, which places all pieces in parallel.
 
 Cases: null or empty text: one piece holding the end id alone; empty table: no rows; repeated rows: each is packed on
 its own; other columns are left behind.
@@ -88,11 +90,13 @@ class SumIndex:
         self.at[gap] = end
         return None
 
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths with the sum ``gap``."""
+    def complement(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """One, two or three available lengths (``most`` at most) with the sum ``gap``."""
         if self.left[gap]:
             return (gap,)
-        if (found := self.pair(gap)) is not None:
+        if most == 1:
+            return None
+        if (found := self.pair(gap)) is not None or most == 2:
             return found
         # singles that are left, and whose rest has pairs left, from the longest on
         singles = np.flatnonzero(self.left[:gap])
@@ -108,8 +112,25 @@ class SumIndex:
         return None
 
 
+#: Turns of complements of so many lengths at most, before best fit; plans are made with each.
+TURNS = ((3,), (2, 3), (2,), (1,), ())
+
+
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, how many such sequences) that use up ``counts``; its size does not grow with counts."""
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for turns in TURNS:
+        plan = _plan(counts, capacity, turns)
+        n = sum(times for _, times in plan)
+        if fewest is None or n < fewest:
+            best, fewest = plan, n
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, turns: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -117,19 +138,20 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     if left[capacity]:
         done.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    sums = SumIndex(left)
-    for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            found = sums.complement(capacity - length)
-            left[length] += 1
-            if found is None:
-                break
-            uses = np.bincount((length, *found), minlength=capacity + 1)
-            used = np.flatnonzero(uses)
-            times = int((left[used] // uses[used]).min())
-            left[used] -= times * uses[used]
-            done.append(((length, *found), times))
+    for most in turns:
+        sums = SumIndex(left)
+        for length in range(capacity - 1, 0, -1):
+            while left[length]:
+                left[length] -= 1
+                found = sums.complement(capacity - length, most)
+                left[length] += 1
+                if found is None:
+                    break
+                uses = np.bincount((length, *found), minlength=capacity + 1)
+                used = np.flatnonzero(uses)
+                times = int((left[used] // uses[used]).min())
+                left[used] -= times * uses[used]
+                done.append(((length, *found), times))
     open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     gaps = np.zeros(capacity + 1, dtype=np.int64)  # gap -> open sequences with it
 

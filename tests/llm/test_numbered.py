@@ -745,6 +745,27 @@ def test_packing_plans_are_near_the_optimum():
     assert worse <= 7
 
 
+@pytest.mark.parametrize("kind", ["few", "many", "lognormal", "short", "long"])
+def test_packing_plans_are_never_above_best_fit(kind):
+    rng = np.random.default_rng(4)
+    lengths = np.arange(1, 4097)
+    counts = {
+        "few": lambda: dict(zip(lengths.tolist(), rng.integers(0, 10, 4096).tolist())),
+        "many": lambda: dict(zip(lengths.tolist(), rng.integers(0, 10**6, 4096).tolist())),
+        "lognormal": lambda: dict(zip(*(x.tolist() for x in np.unique(np.minimum(4096, rng.lognormal(7.6, 0.5, 20_000).astype(int) + 1), return_counts=True)))),
+        "short": lambda: dict(zip(range(1, 200), rng.integers(0, 1000, 199).tolist())),
+        "long": lambda: dict(zip(range(1300, 2100), rng.integers(0, 100, 800).tolist())),
+    }[kind]()
+    plan, alone = packing.plan_patterns(counts), packing._plan(counts, packing.CAPACITY, ())
+    used = {}
+    for pattern, times in plan:
+        assert sum(pattern) <= packing.CAPACITY and times > 0
+        for n in pattern:
+            used[n] = used.get(n, 0) + times
+    assert used == {n: c for n, c in counts.items() if c}
+    assert sum(t for _, t in plan) <= sum(t for _, t in alone)
+
+
 def test_packing_ranks_a_common_length_in_many_slots(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLOT_ROWS", 7)
     pieces = spark.createDataFrame([(i // 3, i % 3, 5 if i % 4 else 3) for i in range(600)] + [(None, 0, 5)] * 40, "doc_id long, piece int, length long").repartition(4)
