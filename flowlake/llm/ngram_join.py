@@ -16,7 +16,7 @@ pairs are filtered in the same way and verified over whole texts.
   become components, and dense lists are listed again for pairs of different components only, in turn, until the last
   turn hands on all pairs that are left: no link is lost, and a list of one component is dropped whole.
 - A list of any length is cut into blocks, each a task's work of its own. In the first turn its first row in that order meets
-  all blocks; later, all rows outside the list's largest component do.
+  all blocks; later, chunks of the rows outside the list's largest component meet all chunks, each two in one block.
 
 Cases: null and wordless texts have no shingles and stand alone; fewer words than a shingle has are one shingle; repeated rows
 and equal texts are one class; rows of one doc_id, or without one, are linked by their own texts only, as classes and not
@@ -206,15 +206,26 @@ def group_lists(groups: DataFrame) -> DataFrame:
 
 
 def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same columns (and wide, component) for lists(token, v) that hold several components. The rows outside a list's
-    largest component are sent to all its blocks, all others to their own."""
+    """The same columns (and wide, component, side) for lists(token, v) that hold several components. Rows outside a list's
+    largest component and rows of it are cut into chunks of half a block; each chunk of outside rows meets itself (side -1) and
+    every other chunk (sides 0 and 1) in one block, so each pair stands in one block only and no block has more than two
+    chunks. A list of one block at most is not cut."""
     rows = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
     several = parts.groupBy("token").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
-    several = several.where("parts > 1").select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.col("main.component").alias("main"))
-    own = F.array(F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    rows = rows.join(several, "token").withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = kept(rows.select("token", "block", "blocks", "v", "component"), "rows")
+    chunks_of = lambda n: F.when(F.col("rows") <= BLOCK, 1).otherwise(F.ceil(n / (BLOCK / 2))).cast("long")
+    several = several.where("parts > 1").select("token", (F.col("rows") > BLOCK).alias("cut"), chunks_of(F.col("rows") - F.col("main.n")).alias("outside"), chunks_of(F.col("main.n")).alias("inside"), F.col("main.component").alias("main"))
+    rows = rows.join(several, "token").withColumn("blocks", F.when(F.col("cut"), F.col("outside") + F.col("inside")).otherwise(1))
+    own = lambda n: F.pmod(F.xxhash64("v"), n)
+    dealt = lambda first, last, side: F.struct((first * F.col("blocks") + last).alias("block"), side.cast("int").alias("side"))
+    c = F.col("chunk")
+    of_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outside") - 1), lambda k: dealt(k, c, F.lit(1)))
+    of_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: dealt(F.least(c, k), F.greatest(c, k), F.when(k == c, -1).when(k > c, 0).otherwise(1)))
+    whole = F.array(dealt(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(-1)))
+    in_main = F.col("component") == F.col("main")
+    rows = rows.withColumn("chunk", F.when(in_main, F.col("outside") + own(F.col("inside"))).otherwise(own(F.col("outside"))))
+    rows = rows.withColumn("_d", F.explode(F.when(~F.col("cut"), whole).when(in_main, of_main).otherwise(of_others)))
+    rows = kept(rows.select("token", "_d.block", F.col("blocks").cast("long").alias("blocks"), "_d.side", "v", "component"), "rows")
     return rows.join(facts_of(classes, rows.select("v")).select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide"), "v")
 
 
@@ -277,6 +288,8 @@ class ListRows:
         self.p = turn_order(self.v, turn)
         self.blocks, self.several = column("blocks"), t["several"].to_numpy()
         self.component = column("component") if "component" in t.column_names else None
+        # in blocks of two chunks, the chunk; -1 where all rows meet
+        self.side = column("side") if "side" in t.column_names else None
         self.bits = _words(t["bitmap"].to_pylist())
         self.wide = WideBitmaps([w or b for w, b in zip(t["wide"].to_pylist(), t["bitmap"].to_pylist())]) if "wide" in t.column_names else None
         new = np.concatenate([[True], (self.token[1:] != self.token[:-1]) | (block[1:] != block[:-1])])
@@ -293,6 +306,8 @@ class ListRows:
         ok = (self.percent * self.n[y] <= 100 * self.n[x]) & (apart <= limit) & (self.v[x] != self.v[y])
         if self.component is not None:
             ok &= self.component[x] != self.component[y]
+        if self.side is not None:
+            ok &= (self.side[x] != self.side[y]) | (self.side[x] < 0)
         if self.wide is not None:
             long = np.flatnonzero(ok & (self.wide.width[x] * 8 > BITMAP_BITS))
             ok[long] = self.wide.apart(x[long], y[long]) <= limit[long]
@@ -315,6 +330,9 @@ class ListRows:
     def block_pairs(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs left in block k, some rows against all larger ones at a time."""
         first, last = self.starts[k], self.starts[k] + self.sizes[k]
+        if self.side is not None and self.side[first] >= 0:
+            yield from self.chunk_pairs(first, last)
+            return
         step = max(1, (1 << 20) // (last - first))
         for s in range(first, last, step):
             e = min(s + step, last)
@@ -326,6 +344,29 @@ class ListRows:
             ok = self.left(x + s, y + s, apart[x, y].astype(np.int64))
             yield x[ok] + s, y[ok] + s
 
+    def chunk_pairs(self, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs left of a block's two chunks, some rows of the one against those of the other that are near in size."""
+        rows = np.arange(first, last)
+        one, other = rows[self.side[first:last] == 0], rows[self.side[first:last] == 1]
+        sizes, slack = self.n[other], 2 * self.slack[first:last].max()
+        step = max(1, (1 << 20) // max(1, len(other)))
+        for s in range(0, len(one), step):
+            these = one[s : s + step]
+            small, large = self.n[these[0]], self.n[these[-1]]
+            near = other[np.searchsorted(sizes, small * self.percent // 100, side="left") : np.searchsorted(sizes, large * 100 // self.percent + 1, side="right")]
+            if not len(near):
+                continue
+            apart = np.zeros((len(these), len(near)), dtype=np.int16)
+            for w in range(self.bits.shape[1]):
+                apart += np.bitwise_count(self.bits[these, w][:, None] ^ self.bits[near, w][None, :])
+            x, y = np.nonzero(apart <= most_different(max(large, self.n[near[-1]]), max(large, self.n[near[-1]]), self.percent) + 2 + slack)
+            d = apart[x, y].astype(np.int64)
+            x, y = these[x], near[y]
+            swap = self.n[x] > self.n[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            ok = self.left(x, y, d)
+            yield x[ok], y[ok]
+
     def proposals(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs, for each block and lower row the pair with the highest row."""
         low, high = self.ordered(x, y)
@@ -371,7 +412,7 @@ class ListRows:
 def list_pairs(lists: DataFrame, percent: int, turn: int = 0, every: bool = False) -> DataFrame:
     """a, b, p, kind: pairs to verify (0), a's proposed partner b with its order p (1), dense list a (2). 3 is a pair to
     verify of groups, of which one has several members."""
-    columns = [c for c in ("token", "block", "blocks", "v", "n", "bitmap", "slack", "several", "component", "wide") if c in lists.columns]
+    columns = [c for c in ("token", "block", "blocks", "v", "n", "bitmap", "slack", "several", "component", "side", "wide") if c in lists.columns]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

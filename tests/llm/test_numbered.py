@@ -772,3 +772,42 @@ def test_packing_ranks_a_common_length_in_many_slots(spark, monkeypatch):
     rows = packing.pack(pieces, 10).collect()
     # 490 fives fill 245 sequences, 150 threes 50 more
     assert len(rows) == 640 and check_packing(rows, None, 10) == 295
+
+
+def test_a_hot_list_of_unlinked_rows_is_compared_once(spark, monkeypatch):
+    """Template texts that share most of their shingles but link to nothing: each pair of a list stands in one block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    lists = spark.createDataFrame([(7, i) for i in range(200)], "token long, v long")
+    labels = spark.createDataFrame([(i, 0 if i < 30 else i) for i in range(200)], "id long, component long")
+    classes = spark.createDataFrame([(i, i, i, i, 100, bytes(64), None) for i in range(200)], "v long, row long, d1 long, d2 long, n int, bitmap binary, wide binary")
+    dealt = ngram_join.member_lists(lists, labels, classes).collect()
+    blocks = {}
+    for r in dealt:
+        blocks.setdefault(r["block"], []).append((r["v"], r["side"], r["component"]))
+    assert max(map(len, blocks.values())) <= 2 * ngram_join.BLOCK
+    met = {}
+    for own in blocks.values():
+        for (a, sa, ca), (b, sb, cb) in itertools.combinations(own, 2):
+            if sa < 0 or sa != sb:
+                met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    wanted = {(a, b) for a, b in itertools.combinations(range(200), 2) if not (a < 30 and b < 30)}
+    assert set(met) == wanted and set(met.values()) == {1}
+    assert sum(met.values()) <= 200 * 200 / 2
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_ngram_join_of_templates(spark, monkeypatch, block):
+    """A template that many texts share, with a few that do link, small and large blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(90)]
+    docs = []
+    for i in range(130):
+        words = list(base)
+        for at in (range(8) if i % 3 else range(i % 2)):
+            words[10 * at + 3] = f"x{i}_{at}"
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(frame).collect()}
+    assert got == brute_components(docs)
