@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowlake.llm import ngram_join, packing
@@ -114,3 +115,18 @@ def test_bounds_hold_for_every_similarity():
             for b in range(a, 40):
                 fit = [a + b - 2 * both for both in range(a + 1) if 100 * both >= percent * (a + b - both)]
                 assert ngram_join.most_different(a, b, percent) >= max(fit, default=-1) and (not fit or ngram_join.most_different(a, b, percent) == max(fit))
+
+
+def test_stages_keep_every_column_of_their_input(spark, tables):
+    folder, _, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 or doc_id >= 1000")
+    clash = ["score", "predicted", "lang_pred", "_found", "shard", "component_id", "n_shingles", "Row", "token", "block", "item_id", "width", "_own0", "held_out"]
+    more = docs
+    for i, c in enumerate(clash):
+        more = more.withColumn(c, F.concat(F.lit(f"{i}:"), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, folder)
+        assert out.dtypes == more.dtypes, name
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stage(spark, docs, folder).collect()}, name
+        assert all(r[c] == f"{i}:{r['doc_id']}" for r in rows for i, c in enumerate(clash)), name
