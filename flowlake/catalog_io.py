@@ -14,10 +14,11 @@ from flowlake.catalog import HOME, flows_of, query
 from flowlake.fixtures import fixture
 from flowlake.operators import detect, enrich, stats
 from flowlake.plans.lineage import cut, shared_folder
-from flowlake.plans.state import Table, merge, seed_if_absent
+from flowlake.plans.state import BucketedTable, Table, merge, seed_if_absent
 from flowlake.schemas import APP_DECISIONS, GEO_DECISIONS, HOPS, IP_APP, IP_GEO
 from flowlake.sources import flowd, flowd_source, pcap, sinks, text
 from flowlake.sources.app_rules import SEEDS
+from flowlake.streaming import capped
 from flowlake.streaming import flows as streaming
 
 
@@ -254,6 +255,22 @@ def stored_decisions(spark, sf_dir):
     return decisions.log(state.version()).select("ip", "reason", "obs_count")
 
 
+@query(
+    """SELECT 'a' || id AS ip, CASE WHEN id % 10 = 0 THEN lat WHEN id % 7 = 0 THEN lat + 1 ELSE lat END AS lat, CASE WHEN id % 10 = 0 THEN 'manual' WHEN id % 7 = 0 THEN 'second' ELSE 'first' END AS source, CASE WHEN id % 10 <> 0 AND id % 7 = 0 THEN 2 ELSE 1 END AS obs_count FROM places
+UNION ALL SELECT 'b' || id, lat, 'second', 2 FROM sites""",
+    "places", "sites",
+)
+def bucketed_state(spark, sf_dir):
+    """A table in buckets after a second upsert of some rows and new ones; manual rows stay."""
+    table = BucketedTable(spark, folder(spark, "buckets"), "ip_geo", "ip string, lat double, source string, obs_count int", buckets=16)
+    places, sites = fixture(spark, sf_dir, "places"), fixture(spark, sf_dir, "sites")
+    kind = F.when(F.col("id") % 10 == 0, "manual").otherwise("first")
+    table.upsert(places.select(F.concat(F.lit("a"), "id").alias("ip"), "lat", kind.alias("source"), F.lit(1).alias("obs_count")))
+    again = places.where("id % 7 = 0").select(F.concat(F.lit("a"), "id").alias("ip"), (F.col("lat") + 1).alias("lat"))
+    table.upsert(again.unionByName(sites.select(F.concat(F.lit("b"), "id").alias("ip"), "lat")).withColumns({"source": F.lit("second"), "obs_count": F.lit(2)}))
+    return table.read()
+
+
 @query(catalog._MARKED + "SELECT flow_id, dst_addr AS dst, dst_lat, dst_country, service FROM m", "flows", "geo_blocks")
 def enriched_json(spark, sf_dir):
     """Fields of the nested JSON of every flow."""
@@ -302,6 +319,11 @@ def in_parts(spark: SparkSession, rows: DataFrame, part: Column, name: str, buil
     return spark.read.parquet(path).drop("batch")
 
 
+def both(*of):
+    """A sink that hands a batch to several."""
+    return lambda batch, i: [sink(batch, i) for sink in of] and None
+
+
 def time_part(rows: DataFrame) -> Column:
     """Parts of equal time."""
     first, last = rows.agg(F.min("recv_us"), F.max("recv_us")).first()
@@ -388,6 +410,36 @@ def fan_in_stream(spark, sf_dir):
     return out.select("flow_id", "distinct_sources", "flag")
 
 
+#: Keys of a second and axis that capped_partials keeps: far fewer than there are.
+FEW = 12
+
+
+@query(
+    catalog._AXES.replace("recv_us > now - 60000000 AND recv_us <= now", "recv_us >= (now // 1000000 - 59) * 1000000 AND recv_us < (now // 1000000 + 1) * 1000000")
+    + """SELECT axis, key, bytes, total, true AS within, true AS counted FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY axis) AS BIGINT) AS total FROM roll) q WHERE bytes * 13 > total""",
+    "flows", "geo_blocks",
+)
+def capped_partials(spark, sf_dir):
+    """The keys that a summary of twelve must hold, from one-second summaries of micro-batches, with their true bytes
+    within its bound, and the number of distinct keys within its sketch's."""
+    flows = flows_of(spark, sf_dir)
+    now = catalog.now_of(flows)
+    marked = cut(catalog.marked_flows(spark, sf_dir, stats.trailing(flows, now, 120)))
+    partials = capped.CappedPartials(spark, folder(spark, "capped"), FEW)
+    # parts that share seconds: summaries of one second merge
+    in_parts(spark, marked, F.pmod("flow_id", F.lit(PARTS)).cast("int"), "capped-in", lambda stream, out: (stream, both(partials.sink(), out)))
+    last = now // 1_000_000 * 1_000_000
+    found = partials.rollup(last - 59_000_000, last)
+    rows = stats.axis_rows(stats.nonzero(marked)).where(F.col("recv_us").between(last - 59_000_000, last + 999_999))
+    exact = rows.groupBy("axis", "key").agg(F.sum("octets").cast("bigint").alias("exact"))
+    true_keys = exact.groupBy("axis").agg(F.count("*").alias("n"))
+    within = (F.col("bytes") <= F.col("exact")) & (F.col("exact") <= F.col("bytes") + F.col("lost")) & (F.col("lost") * (FEW + 1) <= F.col("total"))
+    # four sigmas of a sketch of 2^12 bins
+    counted = F.abs(F.col("keys") - F.col("n")) <= 1 + F.col("n") * 4 * 1.04 / 64
+    out = found.join(exact, ["axis", "key"]).join(true_keys, "axis").where(F.col("exact") * (FEW + 1) > F.col("total"))
+    return out.select("axis", "key", F.col("exact").alias("bytes"), "total", within.alias("within"), counted.alias("counted"))
+
+
 @query(
     catalog._MARKED + catalog._CORR + catalog._APPS + "SELECT flow_id, coalesce(x.lat, src_lat) AS src_lat, coalesce(y.lon, dst_lon) AS dst_lon, coalesce(d.app, s.app) AS app FROM m LEFT JOIN corr x ON x.ip = src_addr LEFT JOIN corr y ON y.ip = dst_addr LEFT JOIN (SELECT * FROM ip_app WHERE app IS NOT NULL) d ON d.ip = dst_addr LEFT JOIN (SELECT * FROM ip_app WHERE app IS NOT NULL) s ON s.ip = src_addr",
     "flows", "geo_blocks", "sni_log", "app_rules",
