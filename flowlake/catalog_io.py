@@ -455,12 +455,15 @@ def enriched_stream(spark, sf_dir):
     return spark.read.parquet(path).drop("batch")
 
 
+def pass_tables(spark: SparkSession, root: str) -> dict[str, Table]:
+    schemas = {"ip_geo": IP_GEO, "geo_decisions": GEO_DECISIONS, "ip_app": IP_APP, "app_decisions": APP_DECISIONS, "routes": f"dst_ip string, traced_us long, hops {HOPS}, hop_count int"}
+    return {n: Table(spark, root, n, s) for n, s in schemas.items()}
+
+
 @query(catalog._PLACES + "SELECT ip, obs_count, dirty FROM pg", "flows", "geo_blocks")
 def pass_round(spark, sf_dir):
     """The canonical places after two rounds of all passes; the second finds nothing new."""
-    root = folder(spark, "tables")
-    schemas = {"ip_geo": IP_GEO, "geo_decisions": GEO_DECISIONS, "ip_app": IP_APP, "app_decisions": APP_DECISIONS, "routes": f"dst_ip string, traced_us long, hops {HOPS}, hop_count int"}
-    tables = {n: Table(spark, root, n, s) for n, s in schemas.items()}
+    tables = pass_tables(spark, folder(spark, "tables"))
     tables["routes"].publish(catalog.routes_of(spark, sf_dir))
     flows, log = catalog.located_flows(spark, sf_dir), catalog.classified_log(spark, sf_dir)
     now = catalog.now_of(log, "ts_us")
@@ -469,6 +472,32 @@ def pass_round(spark, sf_dir):
     return tables["ip_geo"].read().select("ip", "obs_count", "dirty")
 
 
+@query(catalog._PLACES + "SELECT ip, obs_count, dirty FROM pg UNION ALL SELECT * FROM (VALUES ('pass:apps', 5, false), ('pass:places', 3, false), ('pass:traces', 9, false)) v WHERE (SELECT count(*) FROM flows) > 0", "flows", "geo_blocks")
+def scheduled_passes(spark, sf_dir):
+    """The canonical places after passes with intervals of their own, driven by a stream in micro-batches with restarts, and
+    the last slot that each pass has finished, in tenths and less of the flows' time."""
+    root, store = folder(spark, "scheduled"), folder(spark, "scheduled-flows")
+    located, log = cut(catalog.located_flows(spark, sf_dir)), cut(catalog.classified_log(spark, sf_dir))
+    first, last = located.agg(F.min("recv_us"), F.max("recv_us")).first()
+    tables = pass_tables(spark, root)
+    routes = catalog.routes_of(spark, sf_dir)
+    measure = lambda wanted: routes.join(wanted.select(F.col("ip").alias("dst_ip")), "dst_ip", "left_semi").select("dst_ip", "traced_us", "hops")
+    # flows so far; times begin at 0, so that slots count from there
+    so_far = lambda: spark.read.schema(located.schema).parquet(store)
+    tenth = max(1, (last - first) // 10_000_000 + 1)
+    periodic = [
+        streaming.Periodic("places", 3 * tenth, lambda now: streaming.geo_pass(tables, so_far(), HOME)),
+        streaming.Periodic("apps", 2 * tenth - tenth // 10, lambda now: streaming.app_pass(tables, log, now)),
+        streaming.Periodic("traces", tenth + 1, lambda now: streaming.trace_pass(tables, so_far(), now, measure)),
+    ]
+    schedule = streaming.PassScheduler(Table(spark, root, "ledger", streaming.PassScheduler.LEDGER), periodic)
+    keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{store}/batch={i}")
+    clock = lambda batch, i: schedule.sink("clock")(batch.withColumn("clock", F.col("recv_us") - first), i)
+    in_parts(spark, located, time_part(located), "scheduled-in", lambda stream, out: (stream, both(keep, clock, lambda b, i: out(b.select("flow_id"), i))))
+    done = schedule.ledger.read().select(F.concat(F.lit("pass:"), "pass").alias("ip"), F.col("slot").alias("obs_count"), F.lit(False).alias("dirty"))
+    return tables["ip_geo"].read().select("ip", "obs_count", "dirty").unionByName(done)
+
+
 @query(catalog._FAN + " SELECT flow_id, octets >= 5000000 OR distinct_sources > 30 AS told FROM flows JOIN fan USING (flow_id)", "flows")
 def told_flows(spark, sf_dir):
     """W2 and K6's conditions on every flow."""

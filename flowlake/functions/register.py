@@ -13,8 +13,13 @@ from flowlake.functions.ip import BOGONS
 
 @F.pandas_udf("boolean")
 def _in_cidr(ip: pd.Series, cidr: pd.Series) -> pd.Series:
-    """Null for a null argument; false for the other address family and for what is no address."""
-    nets = {c: ipaddress.ip_network(c, strict=False) for c in cidr.dropna().unique()}
+    """Null for a null argument; false for the other address family and for what is no address or no network."""
+    nets = {}
+    for c in cidr.dropna().unique():
+        try:
+            nets[c] = ipaddress.ip_network(c, strict=False)
+        except ValueError:
+            nets[c] = ()
 
     def within(a, c):
         if a is None or c is None:
@@ -27,9 +32,12 @@ def _in_cidr(ip: pd.Series, cidr: pd.Series) -> pd.Series:
     return pd.Series([within(a, c) for a, c in zip(ip, cidr)], dtype=object)
 
 
+_NETS = [(ipaddress.ip_network(c), name) for c, name in BOGONS]
+
+
 @F.pandas_udf("string")
 def _bogon_class(ip: pd.Series) -> pd.Series:
-    nets = [(ipaddress.ip_network(c), name) for c, name in BOGONS]
+    nets = _NETS
 
     def one(a):
         try:

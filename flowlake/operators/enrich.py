@@ -104,6 +104,11 @@ def cidr_join(addresses: DataFrame, ip_col: str, blocks: DataFrame) -> DataFrame
     of cells with the range as a residual.
     """
     named = addresses.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
+    return _narrowest(named if named.isStreaming else cut(named), blocks)
+
+
+def _narrowest(named: DataFrame, blocks: DataFrame) -> DataFrame:
+    """cidr_join of distinct addresses."""
     found = _hits_v4(named, blocks)
     if "hex_lo" in blocks.columns:
         found = found.unionByName(_hits_v6(named, blocks))
@@ -116,7 +121,9 @@ def places_of(addresses: DataFrame, ip_col: str, blocks: DataFrame, home: tuple[
     bounds = [c for c in ("ip_lo", "ip_hi", "hex_lo", "hex_hi") if c in blocks.columns]
     blocks = blocks.select(*bounds, *(F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("lat", "lon", "country", "city"))).dropna(subset=["lat", "lon"])
     named = addresses.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
-    rows = named.join(cidr_join(named, "ip", blocks), "ip", "left")
+    # looked up in several layouts of blocks: the addresses are gathered once
+    named = named if named.isStreaming else cut(named)
+    rows = named.join(_narrowest(named, blocks), "ip", "left")
     point = lambda lat, lon, country, city, home_: F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), country.cast("string").alias("country"), city.cast("string").alias("city"), F.lit(home_).alias("is_home"))
     null = F.lit(None)
     here = point(F.lit(home[0]), F.lit(home[1]), null, null, True)

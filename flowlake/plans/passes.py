@@ -9,6 +9,7 @@ from flowlake.functions.flow import app_confidence, geo_confidence, relocation_c
 from flowlake.functions.geo import haversine_km
 from flowlake.functions.ip import bogon_class, is_public
 from flowlake.operators.stats import SECOND, shared_coords
+from flowlake.plans.lineage import cut
 from flowlake.plans.state import merge
 
 
@@ -29,7 +30,8 @@ def observed_places(flows: DataFrame) -> DataFrame:
     per_ip = endpoints(flows).where(is_public(F.col("ip"), "observed")).groupBy("ip").agg(
         mode_of("lat").alias("lat"), mode_of("lon").alias("lon"), mode_of("country").alias("country"), F.count("*").alias("obs_count"), F.min("recv_us").alias("first_seen"), F.max("recv_us").alias("last_seen")
     )
-    shared = shared_coords(per_ip)
+    # one row an address, read twice below: the flows behind it are read once
+    shared = shared_coords(per_ip if per_ip.isStreaming else cut(per_ip))
     return shared.withColumn("confidence", geo_confidence(F.col("obs_count"), F.col("dirty"))).drop("ip_share")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from flowlake.operators import enrich, stats
 from flowlake.operators.detect import running
+from flowlake.plans import passes
 from flowlake.plans.lineage import cut
 from flowlake.sources.sinks import drop_folder
 
@@ -229,10 +231,14 @@ def run_passes(spark: SparkSession, now: int, tables: dict, flows: DataFrame, sn
 
     A pass is named by the version it will publish. Its decisions are written under that name before the version, in the
     place of those an interrupted attempt left, so an attempt that is made again tells nothing twice."""
-    from flowlake.plans import passes
-    from flowlake.plans.lineage import cut
+    versions = {"ip_geo": geo_pass(tables, flows, home)}
+    versions["ip_app"] = app_pass(tables, sni_log, now)
+    return versions
+
 
-    geo, apps, told, told_apps = (tables[n] for n in ("ip_geo", "ip_app", "geo_decisions", "app_decisions"))
+def geo_pass(tables: dict, flows: DataFrame, home: tuple[float, float]) -> int:
+    """C1 to C4 on tables ip_geo, routes and geo_decisions, as in run_passes; returns the version published."""
+    geo, told = tables["ip_geo"], tables["geo_decisions"]
     before = geo.version() or 0
     state, made = passes.observed_geo_pass(flows, geo.read(before or None))
     state, made = cut(state), cut(made)
@@ -240,10 +246,67 @@ def run_passes(spark: SparkSession, now: int, tables: dict, flows: DataFrame, sn
     moved = cut(moved)
     reserved = passes.bogon_audit(moved, told.log(before))
     told.append(cut(made.unionByName(why, allowMissingColumns=True).unionByName(reserved, allowMissingColumns=True)), before + 1)
-    versions = {"ip_geo": geo.publish(moved)}
+    return geo.publish(moved)
+
+
+def app_pass(tables: dict, sni_log: DataFrame, now: int) -> int:
+    """C5 on tables ip_app and app_decisions."""
+    apps, told = tables["ip_app"], tables["app_decisions"]
     before = apps.version() or 0
     kept, made = passes.ip_app_pass(sni_log, apps.read(before or None), now)
     kept = cut(kept)
-    told_apps.append(cut(made), before + 1)
-    versions["ip_app"] = apps.publish(kept)
-    return versions
+    told.append(cut(made), before + 1)
+    return apps.publish(kept)
+
+
+def trace_pass(tables: dict, flows: DataFrame, now: int, measure: Callable[[DataFrame], DataFrame], n: int = 48) -> int:
+    """The n addresses to trace next, measured by ``measure`` (ip -> dst_ip, traced_us, hops), and the routes stored."""
+    routes = tables["routes"]
+    wanted = cut(passes.trace_candidates(flows, routes.read(), tables["ip_geo"].read(), now, n))
+    return routes.publish(cut(passes.store_routes(routes.read(), measure(wanted))))
+
+
+@dataclass
+class Periodic:
+    """A pass that is due once in each ``seconds`` of the flows' time; ``run(now)`` must be able to be made again."""
+
+    name: str
+    seconds: int
+    run: Callable[[int], object]
+
+
+class PassScheduler:
+    """Passes with intervals of their own, driven by the time of the micro-batches.
+
+    Time is cut into slots of each pass's interval; a pass is due if its newest finished slot, in the ledger, is an earlier
+    one. The ledger is written after a pass. A run that was killed anywhere is made again: until its state is published,
+    its decisions lie under the id it will have, and are replaced; afterwards it finds nothing new."""
+
+    LEDGER = "pass string, slot long, now_us long"
+
+    def __init__(self, ledger, periodic: list[Periodic]):
+        self.ledger, self.periodic = ledger, periodic
+
+    def due(self, now: int) -> list[Periodic]:
+        done = {r["pass"]: r["slot"] for r in self.ledger.read().collect()}  # one row a pass
+        return [p for p in self.periodic if now // (p.seconds * 1_000_000) > done.get(p.name, -1)]
+
+    def tick(self, now: int) -> list[str]:
+        """Runs what is due at ``now``, in order; returns the names."""
+        ran = []
+        for p in self.due(now):
+            p.run(now)
+            row = self.ledger.spark.createDataFrame([(p.name, now // (p.seconds * 1_000_000), now)], self.LEDGER)
+            self.ledger.upsert(row, key="pass", protect=None)
+            ran.append(p.name)
+        return ran
+
+    def sink(self, time: str = "recv_us") -> Callable[[DataFrame, int], None]:
+        """For ``run``: each micro-batch's newest time drives the clock; place it behind the sinks that store the flows."""
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            now = batch.agg(F.max(time)).first()[0]
+            if now is not None:
+                self.tick(now)
+
+        return step
