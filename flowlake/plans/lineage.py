@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, set for checkpoints too; where it is unset (as in tests), a folder of our own."""
+    """spark.checkpoint.dir, set for checkpoints too; where it is unset and all runs on one machine (as in tests), a folder of
+    our own. On a cluster that names none this is an error, as executors would not see such a folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="flowlake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
