@@ -465,7 +465,7 @@ def self_heal(spark, sf_dir):
     """Routes of odd addresses are gone in the second pass, and so are their corrections."""
     routes = routes_of(spark, sf_dir)
     first, _ = passes.relocate(cut(ip_geo_of(spark, sf_dir)), routes, HOME)
-    second, _ = passes.relocate(cut(first), routes.where("cast(split_part(dst_ip, '.', 4) as int) % 2 = 0"), HOME)
+    second, _ = passes.relocate(cut(first), routes.where("try_cast(split_part(dst_ip, '.', 4) as int) % 2 = 0"), HOME)
     return second.where("dirty").select("ip", F.col("corr_lat").isNotNull().alias("corrected"))
 
 

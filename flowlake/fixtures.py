@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("events", "nation", "pages", "customer", "supplier", "part")
 
+#: Peers of the flows are as many addresses as there are customers, 97 at least.
 FLOWS = r"""
 SELECT k AS flow_id, 1704067200000000 + k*250000 AS recv_us,
   CASE WHEN m<=4 OR m=8 THEN lan WHEN m<=7 THEN rip ELSE rip END AS src_addr,
@@ -21,16 +22,16 @@ SELECT k AS flow_id, 1704067200000000 + k*250000 AS recv_us,
   10000000 + k - (k%1000) - (k*37%60000) AS flow_start_ms, 10000000 + k - (k%1000) AS flow_finish_ms, 10000000 + k AS uptime_ms
 FROM (
  SELECT e.event_id AS k, e.event_id%10 AS m, e.event_type AS et, CAST(floor(e.event_id/1000.0) AS BIGINT)%2 AS ph,
-  e.event_id*7%97 AS r,
+  e.event_id*7%peers AS r,
   concat('192.168.',CAST(e.user_id%4 AS STRING),'.',CAST(1+e.user_id%250 AS STRING)) AS lan,
-  CASE WHEN (e.event_id*7%97)%16=15 THEN concat('203.0.113.',CAST(e.event_id*7%97 AS STRING))
-       WHEN (e.event_id*7%97)%16=14 THEN concat('2606:4700::',CAST(e.event_id*7%97 AS STRING))
-       ELSE concat('93.',CAST((e.event_id*7%97)%25 AS STRING),'.0.',CAST(e.event_id*7%97 AS STRING)) END AS rip,
+  CASE WHEN (e.event_id*7%peers)%16=15 THEN concat('203.0.113.',CAST((e.event_id*7%peers)%250 AS STRING))
+       WHEN (e.event_id*7%peers)%16=14 THEN concat('2606:4700::',CAST((e.event_id*7%peers)%9999 AS STRING))
+       ELSE concat('93.',CAST((e.event_id*7%peers)%25 AS STRING),'.',CAST(CAST(floor((e.event_id*7%peers)/250.0) AS BIGINT)%250 AS STRING),'.',CAST((e.event_id*7%peers)%250 AS STRING)) END AS rip,
   concat('94.',CAST(e.event_id*11%25 AS STRING),'.0.',CAST(e.event_id*11%89 AS STRING)) AS rip2,
   CASE e.user_id%6 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 53 WHEN 3 THEN 22 WHEN 4 THEN 8080 ELSE 50001 END AS svc,
   49152+e.event_id%16000 AS eph,
   CASE WHEN e.event_id%50=0 THEN CAST(0 AS BIGINT) ELSE CAST(floor(e.value*1000) AS BIGINT) + CASE WHEN e.event_id%200=1 THEN 6000000 ELSE 0 END END AS octets
- FROM events e) z
+ FROM events e CROSS JOIN (SELECT CASE WHEN count(*) < 97 THEN 97 ELSE count(*) END AS peers FROM customer) p) z
 """
 
 GEO_BLOCKS = r"""
@@ -44,10 +45,10 @@ UNION ALL SELECT CAST(1002 AS BIGINT), NULL, NULL, NULL, NULL, CAST(-12.0 AS DOU
 """
 
 ROUTE_HOPS = r"""
-SELECT concat('93.',CAST(r%25 AS STRING),'.0.',CAST(r AS STRING)) AS dst_ip, 1704067200000000 + r*1000000 AS traced_us, CAST(h.idx AS INT) AS idx,
+SELECT concat('93.',CAST(r%25 AS STRING),'.',CAST(CAST(floor(r/250.0) AS BIGINT)%250 AS STRING),'.',CAST(r%250 AS STRING)) AS dst_ip, 1704067200000000 + r*1000000 AS traced_us, CAST(h.idx AS INT) AS idx,
   CAST(-60+5*((r+h.idx*3)%25) AS DOUBLE) AS lat, CAST(-170+13*((r+h.idx*3)%25) AS DOUBLE) AS lon, CASE WHEN (r+h.idx)%6=0 THEN NULL ELSE CAST(h.idx*(5+r%40) AS DOUBLE) END AS rtt_ms,
   concat('93.',CAST((r+h.idx*3)%25 AS STRING),'.255.1') AS ip
- FROM (SELECT DISTINCT event_id*7%97 AS r FROM events) q CROSS JOIN (SELECT 1 AS idx UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) h WHERE r%16 < 14
+ FROM (SELECT DISTINCT event_id*7%peers AS r FROM (SELECT event_id, peers FROM events CROSS JOIN (SELECT CASE WHEN count(*) < 97 THEN 97 ELSE count(*) END AS peers FROM customer) p) e) q CROSS JOIN (SELECT 1 AS idx UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) h WHERE r%16 < 14
 """
 
 #: One place for each customer; nations are landmasses.
@@ -84,8 +85,8 @@ FROM (SELECT CAST(s.k AS BIGINT) AS k, CAST(v.j AS BIGINT) AS j, CAST(p.i AS INT
 
 SNI_LOG = r"""
 SELECT page_id AS obs_id, 1704067200000000 + page_id*60000000 AS ts_us,
- concat('93.',CAST((page_id*7%97)%25 AS STRING),'.0.',CAST(page_id*7%97 AS STRING)) AS dst_addr,
- concat('192.168.0.',CAST(1+page_id%20 AS STRING)) AS src_addr, lower(regexp_extract(url,'://([^/?#]+)',1)) AS sni FROM pages
+ concat('93.',CAST((page_id*7%peers)%25 AS STRING),'.',CAST(CAST(floor((page_id*7%peers)/250.0) AS BIGINT)%250 AS STRING),'.',CAST((page_id*7%peers)%250 AS STRING)) AS dst_addr,
+ concat('192.168.0.',CAST(1+page_id%20 AS STRING)) AS src_addr, lower(regexp_extract(url,'://([^/?#]+)',1)) AS sni FROM pages CROSS JOIN (SELECT CASE WHEN count(*) < 97 THEN 97 ELSE count(*) END AS peers FROM customer) p
 """
 
 APP_RULES = r"""

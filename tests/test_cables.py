@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.plans import cables, components
+from flowlake.plans import cables, components, graph
 
 LINES = "line long, system long, points array<struct<lon: double, lat: double>>"
 PAIRS = "key long, a struct<lon: double, lat: double>, b struct<lon: double, lat: double>"
@@ -183,3 +183,20 @@ def test_spanning_forest_equals_taking_edges_in_order(spark, monkeypatch, task_e
             want.add(k)
     got = [r["key"] for r in cables.spanning_forest(spark.createDataFrame(edges, "a long, b long, key long")).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("width", [None, 0.5, 40.0])
+def test_distances_by_buckets_and_from_several_starts(spark, width):
+    rng = random.Random(6)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice([0.5, 1.0, 7.0, 30.0])) for _ in range(90)]
+    frame = spark.createDataFrame(edges, "a long, b long, km double")
+    got = {(r["source"], r["id"]): r["dist"] for r in graph.shortest(frame, spark.createDataFrame([(0,), (7,)], "id long"), width=width).collect()}
+    want = {(s, v): d for s in (0, 7) for v, d in dijkstra({}, edges, {s: 0.0}).items()}
+    assert got == want
+    seeds = [(-1, 3, 2.0), (-1, 4, 0.25), (-1, 4, 9.0), (-2, 5, 1.0)]
+    tree = graph.shortest(frame, spark.createDataFrame(seeds, "source long, id long, dist double"), width=width)
+    got = {(r["source"], r["id"]): r["dist"] for r in tree.collect()}
+    assert got == {(-1, v): d for v, d in dijkstra({}, edges, {3: 2.0, 4: 0.25}).items()} | {(-2, v): d for v, d in dijkstra({}, edges, {5: 1.0}).items()}
+    far = max(v for s, v in got if s == -1)
+    (path,) = graph.paths(tree, spark.createDataFrame([(-1, far)], "source long, id long")).collect()
+    assert path["ids"][0] in (3, 4) and path["ids"][-1] == far
