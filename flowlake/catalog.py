@@ -438,29 +438,29 @@ def geo_pass_decisions(spark, sf_dir):
     return made.select("ip", "reason", "old_lat", "old_lon", "new_lat", "new_lon", "obs_count", F.round("confidence", 6).alias("confidence"))
 
 
-_RELOCATE = _PLACES + f""", cand AS (SELECT ip, lat, lon, country FROM pg WHERE dirty AND ip IN (SELECT dst_ip FROM route_hops)),
-hop AS (SELECT c.ip, h.idx, h.lat AS hlat, h.lon AS hlon, h.ip AS hip, rtt_ms AS rtt, {HAVERSINE.format("(-45.0)", "(-131.0)", "h.lat", "h.lon")} AS hdist FROM cand c JOIN route_hops h ON h.dst_ip = c.ip WHERE rtt_ms IS NOT NULL),
-worst AS (SELECT ip, max(rtt) AS dst_rtt FROM hop GROUP BY ip),
-imp AS (SELECT c.*, dst_rtt FROM cand c JOIN worst USING (ip) WHERE {HAVERSINE.format("(-45.0)", "(-131.0)", "c.lat", "c.lon")} > dst_rtt * 100),
-anchor AS (SELECT * FROM (SELECT hop.*, imp.dst_rtt, row_number() OVER (PARTITION BY ip ORDER BY idx DESC) AS rn FROM hop JOIN imp USING (ip) WHERE hdist <= rtt * 100 + 50) q WHERE rn = 1)
+_FAR = HAVERSINE.format("(-45.0)", "(-131.0)", "{0}.lat", "{0}.lon")
+#: moved: one aggregate over an address's measured hops: its longest time, and of the hops that their own times allow the deepest.
+_RELOCATE = _PLACES + f""", moved AS (SELECT p.ip, max(h.rtt_ms) AS dst_rtt, max(h.idx) FILTER (fits) AS idx, arg_max(h.lat, h.idx) FILTER (fits) AS hlat, arg_max(h.lon, h.idx) FILTER (fits) AS hlon, arg_max(h.ip, h.idx) FILTER (fits) AS hip
+ FROM pg p JOIN (SELECT *, {_FAR.format("r")} <= rtt_ms * 100 + 50 AS fits FROM route_hops r WHERE rtt_ms IS NOT NULL) h ON h.dst_ip = p.ip WHERE p.dirty GROUP BY p.ip, p.lat, p.lon
+ HAVING {_FAR.format("p")} > max(h.rtt_ms) * 100 AND bool_or(fits))
 """
 
 
-@query(_RELOCATE + "SELECT ip, hlat AS corr_lat, hlon AS corr_lon, hip AS corr_anchor_ip, dst_rtt AS corr_rtt_ms, round(least(0.85::DOUBLE, 0.55::DOUBLE + 0.30::DOUBLE * (idx / 4.0::DOUBLE)), 6) AS corr_conf FROM anchor", "flows", "geo_blocks", "route_hops")
+@query(_RELOCATE + "SELECT ip, hlat AS corr_lat, hlon AS corr_lon, hip AS corr_anchor_ip, dst_rtt AS corr_rtt_ms, round(least(0.85::DOUBLE, 0.55::DOUBLE + 0.30::DOUBLE * (idx / 4.0::DOUBLE)), 6) AS corr_conf FROM moved", "flows", "geo_blocks", "route_hops")
 def relocate(spark, sf_dir):
     """C2, J3, J4, J7, J8, W1, E16."""
     state, _ = passes.relocate(cut(ip_geo_of(spark, sf_dir)), routes_of(spark, sf_dir), HOME)
     return state.where("corr_lat is not null").select("ip", "corr_lat", "corr_lon", "corr_anchor_ip", "corr_rtt_ms", F.round("corr_conf", 6).alias("corr_conf"))
 
 
-@query(_RELOCATE + "SELECT ip, 'relocate(mtr-rtt)' AS reason, 'observed' AS old_source, hlat AS new_lat, hlon AS new_lon, 'mtr-rtt' AS new_source FROM anchor", "flows", "geo_blocks", "route_hops")
+@query(_RELOCATE + "SELECT ip, 'relocate(mtr-rtt)' AS reason, 'observed' AS old_source, hlat AS new_lat, hlon AS new_lon, 'mtr-rtt' AS new_source FROM moved", "flows", "geo_blocks", "route_hops")
 def relocate_decisions(spark, sf_dir):
     """C2's audit."""
     _, made = passes.relocate(cut(ip_geo_of(spark, sf_dir)), routes_of(spark, sf_dir), HOME)
     return made.select("ip", "reason", "old_source", "new_lat", "new_lon", "new_source")
 
 
-@query(_RELOCATE + "SELECT ip, ip IN (SELECT ip FROM anchor WHERE ip IN (SELECT dst_ip FROM route_hops WHERE CAST(split_part(dst_ip, '.', 4) AS INT) % 2 = 0)) AS corrected FROM pg WHERE dirty", "flows", "geo_blocks", "route_hops")
+@query(_RELOCATE + "SELECT ip, ip IN (SELECT ip FROM moved WHERE ip IN (SELECT dst_ip FROM route_hops WHERE CAST(split_part(dst_ip, '.', 4) AS INT) % 2 = 0)) AS corrected FROM pg WHERE dirty", "flows", "geo_blocks", "route_hops")
 def self_heal(spark, sf_dir):
     """Routes of odd addresses are gone in the second pass, and so are their corrections."""
     routes = routes_of(spark, sf_dir)
