@@ -51,10 +51,15 @@ def distinct_shingles(a: Column, k: int = SKETCH_SIZE) -> Column:
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(k - 1.0) / share)
 
 
+def share_within(j: Column, a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
+    """Estimated share of a's shingles that b has, where their resemblance j is known."""
+    na, nb = distinct_shingles(a, k), distinct_shingles(b, k)
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), j * (na + nb) / ((1 + j) * na)))
+
+
 def containment(a: Column, b: Column, k: int = SKETCH_SIZE) -> Column:
     """Estimated share of a's shingles that b has."""
-    j, na, nb = resemblance(a, b, k), distinct_shingles(a, k), distinct_shingles(b, k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), j * (na + nb) / ((1 + j) * na)))
+    return share_within(resemblance(a, b, k), a, b, k)
 
 
 def merge_parts(parts: DataFrame, key: str, column: str, k: int = SKETCH_SIZE) -> DataFrame:
@@ -112,7 +117,9 @@ def with_next(docs: DataFrame, partitions: int | None = None, extra: dict[str, C
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and estimated from the
+    sketches: distinct_shingles of the text, within_edited and within_next (the shares of its shingles that the edited
+    text and the next document have).
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many (or all) first ones of the next
     document.
@@ -123,12 +130,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
     rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    own, new, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    rows = rows.withColumns({"near_edited": resemblance(own, new), "near_next": resemblance(own, following)})
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(own).alias("fingerprint"),
+        as_text(new).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        distinct_shingles(own).alias("distinct_shingles"),
+        share_within(F.col("near_edited"), own, new).alias("within_edited"),
+        share_within(F.col("near_next"), own, following).alias("within_next"),
     )
