@@ -260,7 +260,7 @@ def leg_keys(spark, sf_dir):
 def routed_polylines(spark, sf_dir):
     """C8 over G5: lines of the most recent routes along land, cables or great circles (a top-k report as K4; brute force
     in the tests)."""
-    routes = cut(stats.recent_routes(gathered(traces_of(spark, sf_dir)), 30))
+    routes = cut(stats.recent_routes(gathered(traces_of(spark, sf_dir))))
     lines = graph.route_polylines(routes, network_of(spark, sf_dir), places_of(spark, sf_dir), land_of(spark))
     return lines.select("dst_ip", F.size("points").alias("n_points"), F.round(F.element_at("points", -1)["lat"], 6).alias("last_lat"))
 
