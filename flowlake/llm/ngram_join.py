@@ -56,6 +56,8 @@ BLOCK = 4096
 SPARSE = 10
 #: Turns over dense lists by proposals, before the turn that hands on all pairs left.
 TURNS = 1
+#: Of the lists a row stands in, the first are known to it: of lists that two rows share, the first hands their pair on.
+FIRST_LISTS = 16
 #: Partners of one text that are verified by one task.
 HUB_ROWS = 256
 
@@ -205,11 +207,11 @@ def group_lists(groups: DataFrame) -> DataFrame:
     return rows.select("token", "block", "blocks", "v").join(facts, "v")
 
 
-def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame, every: bool = False) -> DataFrame:
     """The same columns (and wide, component, side) for lists(token, v) that hold several components. Rows outside a list's
     largest component and rows of it are cut into chunks of half a block; each chunk of outside rows meets itself (side -1) and
     every other chunk (sides 0 and 1) in one block, so each pair stands in one block only and no block has more than two
-    chunks. A list of one block at most is not cut."""
+    chunks. A list of one block at most is not cut. With ``every``, first too: the first FIRST_LISTS of a row's lists."""
     rows = lists.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
     several = parts.groupBy("token").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
@@ -226,7 +228,10 @@ def member_lists(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
     rows = rows.withColumn("chunk", F.when(in_main, F.col("outside") + own(F.col("inside"))).otherwise(own(F.col("outside"))))
     rows = rows.withColumn("_d", F.explode(F.when(~F.col("cut"), whole).when(in_main, of_main).otherwise(of_others)))
     rows = kept(rows.select("token", "_d.block", F.col("blocks").cast("long").alias("blocks"), "_d.side", "v", "component"), "rows")
-    return rows.join(facts_of(classes, rows.select("v")).select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide"), "v")
+    facts = facts_of(classes, rows.select("v")).select("v", "n", "bitmap", F.lit(0).alias("slack"), F.lit(False).alias("several"), "wide")
+    if every:
+        facts = facts.join(rows.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRST_LISTS).alias("first")), "v")
+    return rows.join(facts, "v")
 
 
 def facts_of(classes: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -278,6 +283,10 @@ class WideBitmaps:
         return out
 
 
+#: Stands where a row has fewer lists than FIRST_LISTS.
+NO_LIST = np.iinfo(np.int64).max
+
+
 class ListRows:
     """Rows of whole blocks of lists, sorted by list, block and size: the pairs that can link, and what to hand on."""
 
@@ -292,6 +301,7 @@ class ListRows:
         self.side = column("side") if "side" in t.column_names else None
         self.bits = _words(t["bitmap"].to_pylist())
         self.wide = WideBitmaps([w or b for w, b in zip(t["wide"].to_pylist(), t["bitmap"].to_pylist())]) if "wide" in t.column_names else None
+        self.first = self.padded(t["first"]) if "first" in t.column_names else None
         new = np.concatenate([[True], (self.token[1:] != self.token[:-1]) | (block[1:] != block[:-1])])
         self.starts = np.flatnonzero(new)
         self.sizes = np.diff(np.append(self.starts, len(new)))
@@ -313,6 +323,25 @@ class ListRows:
             ok[long] = self.wide.apart(x[long], y[long]) <= limit[long]
         return ok
 
+    @staticmethod
+    def padded(lists: pa.ChunkedArray) -> np.ndarray:
+        out = np.full((len(lists), FIRST_LISTS), NO_LIST)
+        size = lists.combine_chunks().value_lengths().to_numpy()
+        out[np.arange(FIRST_LISTS)[None, :] < size[:, None]] = lists.combine_chunks().flatten().to_numpy()
+        return out
+
+    def owned(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that no list before this one hands on. The smallest number in both rows' first lists is the first list that
+        they share; where these have none in common, each list hands the pair on."""
+        if self.first is None:
+            return x, y
+        ok = np.empty(len(x), dtype=bool)
+        for k in range(0, len(x), 10_000):
+            a, b = self.first[x[k : k + 10_000]], self.first[y[k : k + 10_000]]
+            shared = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, NO_LIST).min(axis=1)
+            ok[k : k + 10_000] = (shared == NO_LIST) | (shared == self.token[x[k : k + 10_000]])
+        return x[ok], y[ok]
+
     def short_pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """All pairs left in blocks of at most ``most`` rows."""
         rows = np.flatnonzero((self.sizes <= most)[self.bucket])
@@ -382,7 +411,7 @@ class ListRows:
     def handed_on(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(x, y, kind) of pairs to verify (0) or proposed (1), y the higher row; (a row of it, same, 2) for each dense list.
         With ``every``, no list is dense."""
-        x, y = self.short_pairs(32)
+        x, y = self.owned(*self.short_pairs(32))
         many = np.bincount(self.bucket[x], minlength=len(self.starts))
         dense = (many > np.maximum(self.sizes, SPARSE)) & (not every)
         heavy = dense[self.bucket[x]]
@@ -393,7 +422,7 @@ class ListRows:
             for x, y in self.block_pairs(k):
                 n += len(x)
                 if every:
-                    yield (*self.ordered(x, y), 0)
+                    yield (*self.ordered(*self.owned(x, y)), 0)
                     continue
                 held.append((x, y) if n <= most else self.proposals(x, y))
             if every or not held:
@@ -412,7 +441,7 @@ class ListRows:
 def list_pairs(lists: DataFrame, percent: int, turn: int = 0, every: bool = False) -> DataFrame:
     """a, b, p, kind: pairs to verify (0), a's proposed partner b with its order p (1), dense list a (2). 3 is a pair to
     verify of groups, of which one has several members."""
-    columns = [c for c in ("token", "block", "blocks", "v", "n", "bitmap", "slack", "several", "component", "side", "wide") if c in lists.columns]
+    columns = [c for c in ("token", "block", "blocks", "v", "n", "bitmap", "slack", "several", "component", "side", "wide", "first") if c in lists.columns]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -575,7 +604,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     for turn in range(1, TURNS + 2):
         if lists.isEmpty():
             break
-        found = kept(list_pairs(member_lists(lists, labels, classes), percent, turn, turn > TURNS), "found")
+        found = kept(list_pairs(member_lists(lists, labels, classes, turn > TURNS), percent, turn, turn > TURNS), "found")
         # labels name the links found so far as stars
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(checked(found))
         labels = component_labels(links)

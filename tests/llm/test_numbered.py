@@ -811,3 +811,19 @@ def test_ngram_join_of_templates(spark, monkeypatch, block):
     frame = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(frame).collect()}
     assert got == brute_components(docs)
+
+
+def test_the_last_turn_hands_each_pair_on_once(spark, monkeypatch):
+    """Near copies share many lists, and each of these handed on all of their pairs."""
+    monkeypatch.setattr(ngram_join, "FIRST_LISTS", 3)
+    own = {v: {t for t in range(12) if (v * 7 + t) % 5} for v in range(60)} | {60: {90, 91, 92, 11}, 61: {80, 81, 82, 11}}
+    lists = spark.createDataFrame([(t, v) for v, tokens in own.items() for t in tokens], "token long, v long")
+    labels = spark.createDataFrame([(v, v % 40) for v in range(62)], "id long, component long")
+    classes = spark.createDataFrame([(v, v, v, v, 100, bytes(64), None) for v in range(62)], "v long, row long, d1 long, d2 long, n int, bitmap binary, wide binary")
+    found = ngram_join.list_pairs(ngram_join.member_lists(lists, labels, classes, True), 90, 2, True).collect()
+    pairs = [tuple(sorted((r["a"], r["b"]))) for r in found]
+    wanted = {(a, b) for a, b in itertools.combinations(range(62), 2) if own[a] & own[b] and a % 40 != b % 40}
+    # a pair whose first lists have none in common is not lost
+    assert set(pairs) == wanted and (60, 61) in wanted
+    known = [p for p in pairs if set(sorted(own[p[0]])[:3]) & set(sorted(own[p[1]])[:3])]
+    assert len(known) == len(set(known)) and len(known) > 1000
