@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.geo import crosses_polar, haversine_km, wrap_lon
-from flowlake.operators.spatial import knn, within_km
+from flowlake.operators.spatial import knn, near_components, within_km
 from flowlake.plans.components import component_labels
 from flowlake.plans.graph import bridge, paths, shortest
 from flowlake.plans.lineage import cut
@@ -88,6 +88,19 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the forest did not settle")
 
 
+def cable_nodes(lines: DataFrame, km: float = NODE_KM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines as cable_graph() takes them, stitched and without those left out; their ends(id, line, system, lon, lat, node); and
+    the nodes(id, lon, lat) that these share."""
+    good = cut(stitch(lines.where(F.size("points") >= 2)).where(~crosses_polar(F.col("points"))))
+    end = lambda k, at: good.select((F.col("line") * 2 + k).alias("id"), "line", "system", wrap_lon(F.element_at("points", at)["lon"]).alias("lon"), F.element_at("points", at)["lat"].alias("lat"))
+    ends = cut(end(0, 1).unionByName(end(1, -1)))
+    # equal places are one point before distances are looked at
+    place = cut(ends.groupBy("lon", "lat").agg(F.min("id").alias("id")))
+    named = place.join(near_components(place, km).withColumnRenamed("component", "node"), "id").select("lon", "lat", "node")
+    ends = cut(ends.join(named, ["lon", "lat"]))
+    return good, ends, cut(ends.where("id = node").select("id", "lon", "lat"))
+
+
 def cable_graph(lines: DataFrame, km: float = NODE_KM) -> Network:
     """The network of lines(line, system, points): ids of lines are whole numbers and give their order in a system.
 
@@ -97,15 +110,7 @@ def cable_graph(lines: DataFrame, km: float = NODE_KM) -> Network:
     first node of each other piece; pieces of the whole network are then bridged by their nearest pair to the largest.
     Lines of which both ends share a node are no edges.
     """
-    good = cut(stitch(lines.where(F.size("points") >= 2)).where(~crosses_polar(F.col("points"))))
-    end = lambda k, at: good.select((F.col("line") * 2 + k).alias("id"), "line", "system", wrap_lon(F.element_at("points", at)["lon"]).alias("lon"), F.element_at("points", at)["lat"].alias("lat"))
-    ends = cut(end(0, 1).unionByName(end(1, -1)))
-    # equal places are one point before distances are looked at
-    place = cut(ends.groupBy("lon", "lat").agg(F.min("id").alias("id")))
-    label = component_labels(within_km(place, place, km).where("a < b"))
-    named = place.join(label, "id", "left").select("lon", "lat", F.coalesce("component", "id").alias("node"))
-    ends = cut(ends.join(named, ["lon", "lat"]))
-    nodes = cut(ends.where("id = node").select("id", "lon", "lat"))
+    good, ends, nodes = cable_nodes(lines, km)
     side = lambda k, name: ends.where(F.col("id") % 2 == k).select("line", F.col("node").alias(name))
     drawn = good.join(side(0, "a"), "line").join(side(1, "b"), "line").withColumn("km", line_km(F.col("points"))).where("a <> b and km > 0")
     drawn = cut(drawn.select(F.concat(F.lit("line:"), "line").alias("edge"), "a", "b", "km", "points", "system", "line"))

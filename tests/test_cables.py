@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowlake.operators import spatial
 from flowlake.plans import cables, components, graph
 
 LINES = "line long, system long, points array<struct<lon: double, lat: double>>"
@@ -200,3 +201,31 @@ def test_distances_by_buckets_and_from_several_starts(spark, width):
     far = max(v for s, v in got if s == -1)
     (path,) = graph.paths(tree, spark.createDataFrame([(-1, far)], "source long, id long")).collect()
     assert path["ids"][0] in (3, 4) and path["ids"][-1] == far
+
+
+@pytest.mark.parametrize("km_", [3.0, 60.0, 170.0])
+def test_near_components_equal_all_pairs(spark, km_):
+    rng = random.Random(3)
+    places = {i: (rng.uniform(-3, 3) * km_ / 60 + 179.9, rng.uniform(-4, 4) * km_ / 60 + 50) for i in rng.sample(range(1000), 150)}
+    places = {i: ((x + 180) % 360 - 180, y) for i, (x, y) in places.items()} | {2000: (10.0, 10.0), 2001: (10.0, 10.0), 2002: (0.0, 90.0)}
+    up = {i: i for i in places}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(places, 2):
+        if km(places[i], places[j]) <= km_:
+            up[max(top(i), top(j))] = min(top(i), top(j))
+    got = spatial.near_components(spark.createDataFrame([(i, *p) for i, p in places.items()], "id long, lon double, lat double"), km_)
+    assert {r["id"]: r["component"] for r in got.collect()} == {i: top(i) for i in places}
+    assert 5 < len({top(i) for i in places}) < 140
+
+
+def test_shared_nodes_are_found_without_all_pairs_and_without_edges(spark, monkeypatch, built):
+    lines, net = built
+    monkeypatch.setattr(cables, "within_km", None)
+    monkeypatch.setattr(cables, "bridge", None)
+    _, _, nodes = cables.cable_nodes(spark.createDataFrame(lines, LINES))
+    assert sorted(nodes.collect()) == sorted(net.vertices.collect())
