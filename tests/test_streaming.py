@@ -60,3 +60,11 @@ def test_all_passes_run_on_tables(spark, tmp_path):
     assert min(first) > 0
     assert streaming.run_passes(spark, now, tables, flows, log, catalog.HOME) == {"ip_geo": 2, "ip_app": 2}
     assert (tables["geo_decisions"].log().count(), tables["app_decisions"].log().count()) == first
+
+
+def test_second_partials_of_one_axis_are_those_of_all(spark):
+    rows = [(i, 1704067200000000 + i * 250_000, i % 3 * 100, 1 + i, f"192.168.0.{i % 4}", f"93.0.0.{i % 5}", 0, 64512, True, False, None, "FR", ["https", "ssh", None][i % 3]) for i in range(40)]
+    kinds = "flow_id long, recv_us long, octets long, packets long, src_addr string, dst_addr string, src_as int, dst_as int, src_home boolean, dst_home boolean, src_country string, dst_country string, service string"
+    marked = spark.createDataFrame(rows, kinds)
+    every, some = streaming.second_partials(marked).collect(), streaming.second_partials(marked, axes=["service"]).collect()
+    assert sorted(map(str, some)) == sorted(str(r) for r in every if r["axis"] == "service") and 0 < len(some) < len(every)
