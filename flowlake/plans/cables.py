@@ -16,6 +16,7 @@ from flowlake.operators.spatial import knn, near_components, within_km
 from flowlake.plans.components import component_labels
 from flowlake.plans.graph import bridge, paths, shortest
 from flowlake.plans.lineage import cut
+from flowlake.plans.near import Near, near_ways
 
 #: Ends of lines nearer than this share a node; ends of a leg may board a cable at any node so near.
 NODE_KM, BOARD_KM = 60.0, 800.0
@@ -26,8 +27,11 @@ _POINT = "struct<lon: double, lat: double>"
 
 @dataclass
 class Network:
+    """``near``: edges between vertices of one grp, which are not written out."""
+
     vertices: DataFrame
     edges: DataFrame
+    near: Near | None = None
 
 
 def line_km(points: Column) -> Column:
@@ -130,17 +134,27 @@ def cable_graph(lines: DataFrame, km: float = NODE_KM) -> Network:
     return Network(nodes, edges.unionByName(straight(new)))
 
 
-def joint_graph(hubs: DataFrame, land: DataFrame, cables: Network) -> Network:
+def joint_graph(hubs: DataFrame, land: DataFrame | Near, cables: Network) -> Network:
     """Hubs(id, lon, lat) with land edges(a, b, km), the cable network, and for each cable node one straight edge to its nearest
-    hub (backhaul). Ids become "hub:..." and "cable:..."."""
+    hub (backhaul). Ids become "hub:..." and "cable:...". Land edges between near hubs need not be written out."""
     hub, cable = (lambda c: F.concat(F.lit("hub:"), c)), (lambda c: F.concat(F.lit("cable:"), c))
     spots = cables.vertices.select(cable("id").alias("id"), "lon", "lat")
     places = hubs.select(hub("id").alias("id"), "lon", "lat")
     straight = lambda df: df.withColumn("points", F.lit(None).cast(f"array<{_POINT}>"))
-    over_land = straight(land.select(F.concat_ws(":", F.lit("land"), "a", "b").alias("edge"), hub("a").alias("a"), hub("b").alias("b"), "km"))
     under_sea = cables.edges.select("edge", cable("a").alias("a"), cable("b").alias("b"), "km", "points")
     backhaul = knn(spots, places, 1).select(F.concat(F.lit("backhaul:"), "id").alias("edge"), F.col("id").alias("a"), F.col("target").alias("b"), F.col("dist").alias("km"))
-    return Network(places.unionByName(spots), cut(over_land.unionByName(under_sea).unionByName(straight(backhaul))))
+    if not isinstance(land, Near):
+        over_land = straight(land.select(F.concat_ws(":", F.lit("land"), "a", "b").alias("edge"), hub("a").alias("a"), hub("b").alias("b"), "km"))
+        return Network(places.unionByName(spots), cut(over_land.unionByName(under_sea).unionByName(straight(backhaul))))
+    edges, vertices = cut(under_sea.unionByName(straight(backhaul))), places.unionByName(spots)
+    grp = land.hubs.select(hub("id").alias("id"), "lon", "lat", "grp")
+    # ends of a line may lie beside its nodes, so it may be shorter than the great circle between these
+    at = lambda e: vertices.select(F.col("id").alias(e), F.col("lon").alias(f"{e}lon"), F.col("lat").alias(f"{e}lat"))
+    circle = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    least = edges.join(at("a"), "a").join(at("b"), "b").select(F.min(F.when(circle > 0, F.col("km") / circle)).alias("least")).first()["least"]
+    lines = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("km").alias("km"))
+    hubs_ = grp.unionByName(spots.withColumn("grp", F.lit(None).cast(dict(grp.dtypes)["grp"])))
+    return Network(vertices, edges, Near(cut(hubs_), land.km, lines, min(1.0, least if least is not None else 1.0)))
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -152,10 +166,10 @@ def directed(edges: DataFrame) -> DataFrame:
 
 
 def _drawn(found: DataFrame, network: Network) -> DataFrame:
-    """key, points: places of found(key, ids), with every edge's own line between."""
+    """key, points: places of found(key, ids), with every edge's own line between; a hop without an edge is straight."""
     steps = found.select("key", F.posexplode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("i", "s")).select("key", "i", "s.a", "s.b")
     place = network.vertices.select(F.col("id").alias("b"), F.struct("lon", "lat").alias("p"))
-    rows = steps.join(directed(network.edges).select("a", "b", "points"), ["a", "b"]).join(place, "b")
+    rows = steps.join(directed(network.edges).select("a", "b", "points"), ["a", "b"], "left").join(place, "b")
     # each edge gives its points but the first, which ends the edge before
     piece = F.when(F.col("points").isNull(), F.array("p")).otherwise(F.slice("points", 2, F.size("points")))
     lines = rows.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("piece")))), lambda s: s["piece"])).alias("rest"))
@@ -172,12 +186,15 @@ def network_routes(pairs: DataFrame, network: Network) -> DataFrame:
     side = lambda p: near.select(F.col("id").alias(f"{p}_at"), F.col("target").alias(f"{p}_id"))
     at = lambda p: F.concat_ws(",", F.col(p)["lon"], F.col(p)["lat"])
     rows = cut(rows.withColumns({"a_at": at("a"), "b_at": at("b")}).join(side("a"), "a_at").join(side("b"), "b_at").select("key", "a", "b", "a_id", "b_id"))
-    tree = shortest(network.edges, rows.select(F.col("a_id").alias("id")).distinct())
-    ways = paths(tree, rows.select(F.col("a_id").alias("source"), F.col("b_id").alias("id")))
-    found = cut(rows.join(ways.select(F.col("source").alias("a_id"), F.col("id").alias("b_id"), "ids"), ["a_id", "b_id"]))
-    far = tree.select(F.col("source").alias("a_id"), F.col("id").alias("b_id"), F.col("dist").alias("km"))
+    asked = rows.select(F.col("a_id").alias("source"), F.col("b_id").alias("id"))
+    if network.near is not None:
+        ways = near_ways(asked, network.near)
+    else:
+        tree = shortest(network.edges, asked.select(F.col("source").alias("id")).distinct())
+        ways = paths(tree, asked).join(tree.select("source", "id", "dist"), ["source", "id"])
+    found = cut(rows.join(ways.select(F.col("source").alias("a_id"), F.col("id").alias("b_id"), F.col("dist").alias("km"), "ids"), ["a_id", "b_id"]))
     lines = _drawn(found.select("key", "ids"), network)
-    return found.join(far, ["a_id", "b_id"]).join(lines, "key").select("key", "km", "ids", F.concat(F.array("a"), "points", F.array("b")).alias("points"))
+    return found.join(lines, "key").select("key", "km", "ids", F.concat(F.array("a"), "points", F.array("b")).alias("points"))
 
 
 def _boards(spots: DataFrame, nodes: DataFrame, km: float) -> DataFrame:
