@@ -23,8 +23,8 @@ SLACK_KM = 1.0
 REACHES = ((0.03, 200.0), (0.25, 1500.0), (1.0, 8000.0))
 #: Places that one task searches at most, and degrees of the cells by which they are dealt to pairs (a divisor of 180).
 TASK_PLACES, CELL = 500_000, 3
-#: Rounds in which an end that no group holds is followed along its lines, and places these may lead to at most.
-ENTRY_ROUNDS, ENTRIES = 2, 64
+#: Rounds in which an end that no group holds is followed along its lines, and places these may lead over, and to, at most.
+ENTRY_ROUNDS, ENTRIES = 6, 64
 #: How much longer than the great circle the first ways are looked for; None: anywhere.
 STRETCHES = (1.05, 1.5, None)
 _SIZES = (1, 2, 3, 5, 6, 9, 10, 15, 18, 30, 45, 90)
@@ -253,7 +253,11 @@ def _entries(ends: DataFrame, spots: DataFrame, lines: DataFrame | None) -> tupl
         step = cut(fresh.join(both, "a").select("e", "a", "b", "km"))
         beside = step if beside is None else beside.unionByName(step)
         if i + 1 < ENTRY_ROUNDS:
-            fresh = cut(step.select("e", F.col("b").alias("a")).distinct().join(sea, "a", "left_semi").join(inner, ["e", "a"], "left_anti").select("e", "a"))
+            many = inner.groupBy("e").count().where(F.col("count") > ENTRIES).select("e")
+            fresh = step.select("e", F.col("b").alias("a")).distinct().join(sea, "a", "left_semi").join(inner, ["e", "a"], "left_anti").join(many, "e", "left_anti")
+            fresh = cut(fresh.select("e", "a"))
+            if fresh.isEmpty():
+                break
             inner = inner.unionByName(fresh)
     kind = dict(ends.dtypes)["id"]
 
