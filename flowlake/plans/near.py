@@ -21,6 +21,8 @@ from flowlake.plans.shortest import paths, shortest
 SLACK_KM = 1.0
 #: How much longer than the least it can be a way is searched for at first: a share and kilometres, one after the other.
 REACHES = ((0.03, 200.0), (0.25, 1500.0), (1.0, 8000.0))
+#: Of so few places all are searched at once.
+FEW_PLACES = 20_000
 #: Places that one task searches at most, and degrees of the cells by which they are dealt to pairs (a divisor of 180).
 TASK_PLACES, CELL = 500_000, 3
 #: Rounds in which an end that no group holds is followed along its lines, and places these may lead over, and to, at most.
@@ -227,7 +229,7 @@ def _over_places(km: float, least: float):
                 if x <= best[v]:
                     best[v], prev[v] = x, u
             most = min(most, best[goal] + SLACK_KM)
-        if best[goal] > limit - SLACK_KM:
+        if np.isinf(best[goal]) or best[goal] > limit - SLACK_KM:
             return none
         way = [int(goal)]
         while way[-1] != start:
@@ -407,6 +409,10 @@ def near_ways(pairs: DataFrame, near: Near) -> DataFrame:
     sums = F.flatten(F.transform("sa", lambda p: F.transform("sb", lambda q: p["w"] + q["w"] + near.least * haversine_km(p["lat"], p["lon"], q["lat"], q["lon"]))))
     left = cut(left.withColumn("_low", F.array_min(sums)))
     field, found = _field(spots, lines, beside, near), None
+    if (field.cells.agg(F.sum("n")).first()[0] or 0) <= FEW_PLACES:
+        # nothing joins the pairs that were looked at and not found
+        found, large = _nearest_ways(left.withColumn("limit", F.lit(float("inf"))), field)
+        left = cut(left.join(large, "k", "left_semi"))
     for share, more in REACHES:
         if left.isEmpty():
             break
